@@ -109,22 +109,33 @@ def confirm(pairs: DataFrame, texts: DataFrame, how: Banding) -> DataFrame:
 
 
 def near_classes(units: DataFrame, how: Banding = Banding(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(uid, n, component) for every row of ``units``.
+    """(uid, n, component) for every row of ``units``; rows with equal shingle sets are one node.
 
-    Rows with equal shingle sets are one node. Candidates share a band key; first every node of a bucket is
+    Candidates share a band key, pass a length test and the odd-sketch screen, and are confirmed on the full sets;
+    see ``linked_classes``. Null and empty texts and texts without words have n = 0 and link with nothing.
+    """
+    source = units.select(F.col(id_col).alias("uid"), F.col(text_col).alias("text"))
+    return linked_classes(signatures(units, how, id_col, text_col), source, ["n", "s0", "s1", "s2", "s3"], lambda a, b: _alike(how, a, b), lambda pairs, texts: confirm(pairs, texts, how), lambda texts: _only_own(texts, how))
+
+
+def linked_classes(sig: DataFrame, source: DataFrame, features: list[str], alike, confirmed, own) -> DataFrame:
+    """(uid, n, component) for every row of ``sig(uid, n, set_key, bands, features...)``.
+
+    Rows with one ``set_key`` are one node. First every node of a bucket (one band key) is
     paired with the bucket's smallest node, then, in buckets that still hold several components, nodes of different
-    components are paired. Pairs pass a length test and the odd-sketch screen and are confirmed on
-    the full sets. So a bucket of one group costs as many pairs as it has members, and no link between different
+    components are paired. ``alike(a, b)`` screens pairs by the columns with these prefixes; ``confirmed(pairs, texts)``
+    keeps the true ones by whole texts of ``source(uid, text)``, of which ``own`` drops those that aren't
+    the node's. So a bucket of one group costs as many pairs as it has members, and no link between different
     components is passed over. ``component`` is the smallest uid reachable over links, the row's own included.
 
-    Null and empty texts and texts without words have n = 0 and link with nothing; a null uid never becomes a component's id
+    Rows with n = 0 link with nothing; a null uid never becomes a component's id
     unless the component has no other; repeated rows and ids are rows of their own; an empty table gives an empty one.
     """
-    sig = cut(signatures(units, how, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "signatures")
+    sig = cut(sig.withColumn("row", F.monotonically_increasing_id()), "signatures")
     keyed = sig.where("n > 0").groupBy("set_key").agg(F.min("row").alias("node"), F.min("uid").alias("least"))
     keyed = cut(keyed, "nodes")
-    reps = cut(sig.join(keyed.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "uid", "n", "bands", "s0", "s1", "s2", "s3"), "reps")
-    sketches = reps.select("node", "n", "s0", "s1", "s2", "s3")
+    reps = cut(sig.join(keyed.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "uid", "bands", *features), "reps")
+    sketches = reps.select("node", *features)
     buckets = reps.select("node", F.explode("bands").alias("key"))
     shared = cut(buckets.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count("*").alias("c")).where("c > 1"), "buckets")
     crowd = cut(buckets.join(shared.where("c > 2").select("key", "a"), "key"), "crowd")
@@ -133,16 +144,15 @@ def near_classes(units: DataFrame, how: Banding = Banding(), id_col: str = "doc_
     def screened(p: DataFrame) -> DataFrame:
         x = sketches.select(F.col("node").alias("a"), *(F.col(c).alias(f"a_{c}") for c in sketches.columns[1:]))
         y = sketches.select(F.col("node").alias("b"), *(F.col(c).alias(f"b_{c}") for c in sketches.columns[1:]))
-        return p.join(x, "a").join(y, "b").where(_alike(how, "a_", "b_")).select("a", "b")
+        return p.join(x, "a").join(y, "b").where(alike("a_", "b_")).select("a", "b")
 
     pairs = cut(screened(pairs), "pairs")
     crowded = crowd.select("node").distinct()
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowded).distinct()
     wanted = wanted.join(reps.select("node", "uid"), "node").join(keyed.select("node", "set_key"), "node")
-    source = units.select(F.col(id_col).alias("uid"), F.col(text_col).alias("text"))
     texts = source.join(wanted, source.uid.eqNullSafe(wanted.uid)).select("node", "set_key", "text")
-    texts = cut(_only_own(texts, how), "texts")
-    links = cut(confirm(pairs, texts, how), "confirmed")
+    texts = cut(own(texts), "texts")
+    links = cut(confirmed(pairs, texts), "confirmed")
     roots = cut(components(links), "roots")
 
     inside = crowd.select("key", "node").join(roots.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -150,9 +160,9 @@ def near_classes(units: DataFrame, how: Banding = Banding(), id_col: str = "doc_
     members = cut(inside.join(mixed, "key", "left_semi").join(sketches, "node"), "mixed")
     x = members.select("key", *(F.col(c).alias(f"a_{c}") for c in members.columns if c != "key"))
     y = members.select("key", *(F.col(c).alias(f"b_{c}") for c in members.columns if c != "key"))
-    across = x.join(y, "key").where((F.col("a_node") < F.col("b_node")) & (F.col("a_root") != F.col("b_root")) & _alike(how, "a_", "b_"))
+    across = x.join(y, "key").where((F.col("a_node") < F.col("b_node")) & (F.col("a_root") != F.col("b_root")) & alike("a_", "b_"))
     across = across.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = cut(confirm(across, texts, how), "confirmed")
+    more = cut(confirmed(across, texts), "confirmed")
     if more.limit(1).count():
         roots = cut(components(links.union(more)), "roots")
 

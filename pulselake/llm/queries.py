@@ -54,3 +54,49 @@ QUERIES = {
     "op6_bin_packing": op6_bin_packing,
 }
 ORACLE: dict[str, str] = {}
+
+
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import remove_repeats
+
+    out = remove_repeats(_table(spark, sf_dir, "documents"), 200)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def _by_document(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Per document: how many units it has, how many repeat elsewhere, and the positions that go."""
+    got = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if("repeated").alias("r"), F.array_sort(F.collect_list(F.when(F.col("removed"), F.col("pos")))).alias("p"))
+    got = got.withColumnRenamed("doc_id", "of")
+    out = docs.select("doc_id").join(got, F.col("doc_id").eqNullSafe(F.col("of")), "left")
+    return out.select("doc_id", F.coalesce("n", F.lit(0)).alias("n_units"), F.coalesce("r", F.lit(0)).alias("n_repeated"), F.coalesce(F.size("p"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("p", F.array().cast("array<int>")).alias("removed"))
+
+
+def op7_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .paragraphs import repeated_paragraphs
+
+    docs = _table(spark, sf_dir, "documents")
+    return _by_document(docs, repeated_paragraphs(docs))
+
+
+def op8_benchmark_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import find_leaks
+
+    out = find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    items = F.array_sort(F.array_distinct(F.col("leaks.item_id")))
+    return out.select("doc_id", (F.size("leaks") > 0).alias("contaminated"), items.alias("item_ids"), F.coalesce(F.array_max("leaks.coverage"), F.lit(0.0)).alias("coverage"))
+
+
+def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import fuzzy_lines
+
+    docs = _table(spark, sf_dir, "documents")
+    return _by_document(docs, fuzzy_lines(docs))
+
+
+QUERIES |= {
+    "op1_suffix_dedup": op1_suffix_dedup,
+    "op7_paragraph_dedup": op7_paragraph_dedup,
+    "op8_benchmark_tiling": op8_benchmark_tiling,
+    "op10_fuzzy_lines": op10_fuzzy_lines,
+}
