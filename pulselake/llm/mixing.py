@@ -23,10 +23,10 @@ def token_count(text) -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _bag(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row for each lower-case word of each text."""
-    words = F.explode(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[\x20\x09-\x0D]+"))
-    return docs.select(F.col(id_col).alias("id"), words.alias("w")).where("w <> ''")
+def _bag(picked: DataFrame) -> DataFrame:
+    """(id, y, w): one row for each lower-case word of each text."""
+    words = F.explode(F.split(F.lower(F.coalesce(F.col("text"), F.lit(""))), r"[\x20\x09-\x0D]+"))
+    return picked.select("id", "y", words.alias("w")).where("w <> ''")
 
 
 def fit_domains(docs: DataFrame, labels: DataFrame, domain: F.Column, id_col: str = "doc_id", text_col: str = "text", most: int = 4_000, most_words: int = 2_000) -> tuple[list[str], DataFrame, dict[str, float]]:
@@ -38,9 +38,9 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domain: F.Column, id_col: st
     """
     y = labels.select(F.col(id_col).alias("id"), domain.alias("y")).where("id is not null and y is not null")
     y = y.groupBy("id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(most)
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(y), "id")
-    bag = _bag(picked.select("id", "text", "y"), "id", "text").distinct().join(F.broadcast(y), "id")
-    n = {r.y: r["count"] for r in y.groupBy("y").count().collect()}
+    picked = cut(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(y), "id"), "labelled")
+    bag = _bag(picked).distinct()
+    n = {r.y: r.n for r in picked.groupBy("y").agg(F.countDistinct("id").alias("n")).collect()}
     names = sorted(n)
     if not names:
         return [], bag.select("w", F.array().cast("array<double>").alias("ll")).limit(0), {}
@@ -56,7 +56,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domain: F.Column, id_col: st
     return names, vocabulary, {name: math.log(n[name] / sum(n.values())) for name in names}
 
 
-def posteriors(docs: DataFrame, model: tuple, id_col: str = "doc_id", text_col: str = "text", damp: float = 0.25) -> DataFrame:
+def posteriors(docs: DataFrame, model: tuple, id_col: str = "doc_id", text_col: str = "text", damp: float = 0.5) -> DataFrame:
     """(id, tokens, posterior) for every row of ``docs``; the array is in the order of the model's names.
 
     A word counts once per document. The log-likelihood is damped by ``damp``, which makes up for the
@@ -152,3 +152,14 @@ def mix(docs: DataFrame, labels: DataFrame, domain: F.Column, weights: dict[str,
 def label_domain() -> F.Column:
     """Domain of a row of a labels table: its quality and toxicity marks."""
     return F.concat(F.lit("quality"), F.col("quality").cast("string"), F.lit("_toxic"), F.col("toxic").cast("string"))
+
+
+#: Shares of tokens that a cleaned corpus aims at, by the domains of ``label_domain``.
+CLEAN_WEIGHTS = {"quality1_toxic0": 0.9, "quality0_toxic0": 0.1}
+
+
+def apply_rates(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` with every row as often as its id's ``repeats`` in ``mixed`` say; its columns stay as they are."""
+    times = mixed.groupBy(F.col(id_col).alias("_id")).agg(F.min("repeats").alias("_times"))
+    out = docs.join(times, docs[id_col].eqNullSafe(times["_id"]))
+    return out.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_times")))).select(*docs.columns)

@@ -26,7 +26,7 @@ class Banding:
     percent: int = 80
     bands: int = 25
     rows: int = 4
-    sketch_limit: int = 76
+    sketch_limit: int = 66
 
 
 _SEED = mix(np.arange(1, 1025, dtype=np.uint64))
@@ -118,14 +118,15 @@ def near_classes(units: DataFrame, how: Banding = Banding(), id_col: str = "doc_
     return linked_classes(signatures(units, how, id_col, text_col), source, ["n", "s0", "s1", "s2", "s3"], lambda a, b: _alike(how, a, b), lambda pairs, texts: confirm(pairs, texts, how), lambda texts: _only_own(texts, how))
 
 
-def linked_classes(sig: DataFrame, source: DataFrame, features: list[str], alike, confirmed, own) -> DataFrame:
+def linked_classes(sig: DataFrame, source: DataFrame, features: list[str], alike, confirmed, own, turns: int = 6) -> DataFrame:
     """(uid, n, component) for every row of ``sig(uid, n, set_key, bands, features...)``.
 
     Rows with one ``set_key`` are one node. First every node of a bucket (one band key) is
-    paired with the bucket's smallest node, then, in buckets that still hold several components, nodes of different
-    components are paired. ``alike(a, b)`` screens pairs by the columns with these prefixes; ``confirmed(pairs, texts)``
+    paired with the bucket's smallest node; then, in buckets that still hold several components, with a pseudo-random
+    one, for ``turns`` turns at most or until few pairs are open; at last all open pairs, those of nodes in
+    different components. ``alike(a, b)`` screens pairs by the columns with these prefixes; ``confirmed(pairs, texts)``
     keeps the true ones by whole texts of ``source(uid, text)``, of which ``own`` drops those that aren't
-    the node's. So a bucket of one group costs as many pairs as it has members, and no link between different
+    the node's. So a bucket of one group costs about as many pairs as it has members, and no link between different
     components is passed over. ``component`` is the smallest uid reachable over links, the row's own included.
 
     Rows with n = 0 link with nothing; a null uid never becomes a component's id
@@ -155,16 +156,30 @@ def linked_classes(sig: DataFrame, source: DataFrame, features: list[str], alike
     links = cut(confirmed(pairs, texts), "confirmed")
     roots = cut(components(links), "roots")
 
-    inside = crowd.select("key", "node").join(roots.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = inside.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    members = cut(inside.join(mixed, "key", "left_semi").join(sketches, "node"), "mixed")
-    x = members.select("key", *(F.col(c).alias(f"a_{c}") for c in members.columns if c != "key"))
-    y = members.select("key", *(F.col(c).alias(f"b_{c}") for c in members.columns if c != "key"))
-    across = x.join(y, "key").where((F.col("a_node") < F.col("b_node")) & (F.col("a_root") != F.col("b_root")) & alike("a_", "b_"))
-    across = across.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = cut(confirmed(across, texts), "confirmed")
-    if more.limit(1).count():
-        roots = cut(components(links.union(more)), "roots")
+    tested = pairs
+    for turn in range(turns + 1):
+        inside = crowd.select("key", "node").join(roots.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        shares = inside.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("own"))
+        mixed = cut(shares.where("m * m > own").select("key", "m", ((F.col("m") * F.col("m") - F.col("own")) / 2).alias("open")), "mixed")
+        left = mixed.agg(F.coalesce(F.sum("open"), F.lit(0.0)), F.coalesce(F.sum("m"), F.lit(0))).first()
+        if not left[0]:
+            break
+        last = turn == turns or left[0] <= 4 * left[1]
+        members = cut(inside.join(mixed.select("key"), "key", "left_semi").join(sketches, "node"), "members")
+        x = members.select("key", *(F.col(c).alias(f"a_{c}") for c in members.columns if c != "key"))
+        if not last:
+            chance = F.xxhash64("node", F.lit(turn))
+            centre = members.groupBy("key").agg(F.min(chance).alias("chance"))
+            x = members.join(centre, "key").where(chance == F.col("chance")).select("key", *(F.col(c).alias(f"a_{c}") for c in members.columns if c != "key"))
+        y = members.select("key", *(F.col(c).alias(f"b_{c}") for c in members.columns if c != "key"))
+        across = x.join(y, "key").where((F.col("a_root") != F.col("b_root")) & alike("a_", "b_"))
+        across = across.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
+        across = cut(across.join(tested, ["a", "b"], "left_anti"), "across")
+        links = links.union(cut(confirmed(across, texts), "confirmed"))
+        roots = cut(components(links), "roots")
+        tested = tested.union(across)
+        if last:
+            break
 
     named = keyed.join(roots.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least").alias("component"))
@@ -196,3 +211,16 @@ def near_duplicates(docs: DataFrame, how: Banding = Banding(), id_col: str = "do
     """(id, n_shingles, component_id, kept) for every row of ``docs``; see ``near_classes`` for nulls, ties and repeated rows."""
     found = near_classes(docs, how, id_col, text_col)
     return found.select(F.col("uid").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("uid").eqNullSafe(F.col("component")).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, how: Banding = Banding(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates, the one with the smallest id; all columns stay.
+
+    Texts without words are no group. Rows that repeat a kept id and text count once.
+    """
+    found = cut(near_duplicates(docs, how, id_col, text_col), "found")
+    gone = found.where("not kept").select(F.col(id_col).alias("_id")).distinct()
+    out = docs.join(gone, docs[id_col].eqNullSafe(gone["_id"]), "left_anti")
+    if found.where("kept").groupBy(id_col).count().where("count > 1").limit(1).count():
+        out = out.dropDuplicates([id_col, text_col])
+    return out

@@ -14,12 +14,12 @@ from .near import Banding, near_classes
 def tuned(percent: int = 80, recall: float = 0.9995, rows: int = 3, shingle: int = 5) -> Banding:
     """The fewest bands of ``rows`` values that find a pair at ``percent`` with probability ``recall``.
 
-    The sketch limit lets through what lies within six deviations of a pair at the threshold.
+    The sketch limit lets through what lies within five deviations of a pair at the threshold.
     """
     s = percent / 100
     bands = math.ceil(math.log(1 - recall) / math.log(1 - s**rows))
     k = bands * rows
-    most = min(k, k * (1 - s) + 6 * math.sqrt(k * s * (1 - s)))
+    most = min(k, k * (1 - s) + 5 * math.sqrt(k * s * (1 - s)))
     return Banding(shingle, percent, bands, rows, math.ceil(128 * (1 - math.exp(-4 * most / 256)) + 6))
 
 

@@ -24,9 +24,9 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .mixing import label_domain, mix
+    from .mixing import CLEAN_WEIGHTS, label_domain, mix
 
-    out = mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), label_domain())
+    out = mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), label_domain(), CLEAN_WEIGHTS)
     return out.select("doc_id", "tokens", F.col("domains")[F.array_position(F.col("posterior"), F.array_max("posterior")).cast("int") - 1].alias("domain"), "posterior", "rate", "repeats")
 
 
@@ -100,3 +100,13 @@ QUERIES |= {
     "op8_benchmark_tiling": op8_benchmark_tiling,
     "op10_fuzzy_lines": op10_fuzzy_lines,
 }
+
+
+def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import extract_pages
+
+    out = extract_pages(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+QUERIES["op9_html_main_text"] = op9_html_main_text

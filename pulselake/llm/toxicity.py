@@ -226,3 +226,18 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score, pa.float64()), pa.array(n, pa.int64()), pa.array(words, pa.list_(pa.string()))], [id_col, "score", "n_hits", "matches"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, score double, n_hits long, matches array<string>")
+
+
+def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose whole text scores below ``threshold``; see ``score_toxicity``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.matcher()
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                x = np.array([density(folded(t), m, model.smooth_words)[0] for t in part.column(text_col).to_pylist()])
+                score = 1 / (1 + np.exp(-np.clip(model.slope * x + model.offset, -30, 30)))
+                yield part.filter(pa.array(score < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
