@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,12 +41,44 @@ def drop_cut(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+#: Up to so many links (16 MB of ids) one task finds the components; more are settled by rounds over all executors.
+ONE_TASK_LINKS = 1_000_000
+
+
+def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = parent[x]
+        return x
+
+    for b in batches:
+        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            x, y = find(x), find(y)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+    ids = list(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([find(x) for x in ids], pa.int64())], ["id", "root"])
+
+
+def components(edges: DataFrame, most: int = ONE_TASK_LINKS) -> DataFrame:
+    """(id, root) of every long id that has a link (a, b), root being the smallest id of its component.
+
+    Nulls and loops are ignored; repeated links count once; no link gives no row. The number of links is counted: up to ``most`` go through union-find in one task,
+    more through ``star_rounds``; the result is the same.
+    """
+    links = edges.where("a is not null and b is not null and a <> b").select("a", "b")
+    if links.limit(most + 1).count() <= most:
+        return links.coalesce(1).mapInArrow(_union_find, "id long, root long")
+    return star_rounds(links)
+
+
+def star_rounds(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph.
 
-    ``edges(a, b)`` holds ids of one orderable type; nulls and loops are ignored. Returns
-    ``(id, root)`` for every id that has an edge, root being the smallest id of its component;
-    an empty input gives an empty table. Alternates large-star and small-star
+    As ``components``, for any number of links. Alternates large-star and small-star
     steps, so a component that is one long chain needs about log(length) rounds and no vertex's
     neighbours are ever gathered in one row. Every round is written to the shared folder.
     """

@@ -29,7 +29,7 @@ class Banding:
     sketch_limit: int = 66
 
 
-_SEED = mix(np.arange(1, 1025, dtype=np.uint64))
+_SEED = mix(np.arange(1, 4097, dtype=np.uint64))
 
 
 def minhashes(hashes: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
@@ -39,14 +39,14 @@ def minhashes(hashes: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
     if len(full):
         at = offsets[:-1][full]
         for i in range(n):
-            out[full, i] = np.minimum.reduceat((hashes ^ _SEED[i]) * (_SEED[i + 512] | np.uint64(1)), at)
+            out[full, i] = np.minimum.reduceat((hashes ^ _SEED[i]) * (_SEED[i + 2048] | np.uint64(1)), at)
     return out
 
 
 def odd_sketches(values: np.ndarray, words: int = 4) -> np.ndarray:
     """(rows, words) 64-bit parity bitmaps: every (position, MinHash value) flips one bit."""
     n, k = values.shape
-    bit = mix(values ^ _SEED[None, 256 : 256 + k]) % np.uint64(64 * words)
+    bit = mix(values ^ _SEED[None, 1024 : 1024 + k]) % np.uint64(64 * words)
     out = np.zeros((n, words), np.uint64)
     r = np.repeat(np.arange(n), k)
     b = bit.ravel()
@@ -115,10 +115,10 @@ def near_classes(units: DataFrame, how: Banding = Banding(), id_col: str = "doc_
     see ``linked_classes``. Null and empty texts and texts without words have n = 0 and link with nothing.
     """
     source = units.select(F.col(id_col).alias("uid"), F.col(text_col).alias("text"))
-    return linked_classes(signatures(units, how, id_col, text_col), source, ["n", "s0", "s1", "s2", "s3"], lambda a, b: _alike(how, a, b), lambda pairs, texts: confirm(pairs, texts, how), lambda texts: _only_own(texts, how))
+    return linked_classes(signatures(units, how, id_col, text_col), source, ["n", "s0", "s1", "s2", "s3"], lambda a, b: _alike(how, a, b), lambda pairs, texts: confirm(pairs, texts, how), lambda texts: _only_own(texts, how), (lambda texts: fine_sketches(texts, how), how.percent, fine_limit(how.percent)))
 
 
-def linked_classes(sig: DataFrame, source: DataFrame, features: list[str], alike, confirmed, own, turns: int = 6) -> DataFrame:
+def linked_classes(sig: DataFrame, source: DataFrame, features: list[str], alike, confirmed, own, screen, turns: int = 1) -> DataFrame:
     """(uid, n, component) for every row of ``sig(uid, n, set_key, bands, features...)``.
 
     Rows with one ``set_key`` are one node. First every node of a bucket (one band key) is
@@ -126,7 +126,8 @@ def linked_classes(sig: DataFrame, source: DataFrame, features: list[str], alike
     one, for ``turns`` turns at most or until few pairs are open; at last all open pairs, those of nodes in
     different components. ``alike(a, b)`` screens pairs by the columns with these prefixes; ``confirmed(pairs, texts)``
     keeps the true ones by whole texts of ``source(uid, text)``, of which ``own`` drops those that aren't
-    the node's. So a bucket of one group costs about as many pairs as it has members, and no link between different
+    the node's; ``screen`` is for the last step: (node, fine) bitmaps by texts, the percent that the smaller n must have of the larger
+    one, and the most bits that may differ. So a bucket of one group costs about as many pairs as it has members, and no link between different
     components is passed over. ``component`` is the smallest uid reachable over links, the row's own included.
 
     Rows with n = 0 link with nothing; a null uid never becomes a component's id
@@ -165,15 +166,19 @@ def linked_classes(sig: DataFrame, source: DataFrame, features: list[str], alike
         if not left[0]:
             break
         last = turn == turns or left[0] <= 4 * left[1]
-        members = cut(inside.join(mixed.select("key"), "key", "left_semi").join(sketches, "node"), "members")
-        x = members.select("key", *(F.col(c).alias(f"a_{c}") for c in members.columns if c != "key"))
-        if not last:
+        if last:
+            members = inside.join(mixed.select("key", "m"), "key")
+            fine = screen[0](texts.join(members.select("node").distinct(), "node", "left_semi"))
+            across = open_pairs(members.join(fine, "node").join(reps.select("node", "n", "bands"), "node"), *screen[1:])
+        else:
+            members = cut(inside.join(mixed.select("key"), "key", "left_semi").join(sketches, "node"), "members")
             chance = F.xxhash64("node", F.lit(turn))
             centre = members.groupBy("key").agg(F.min(chance).alias("chance"))
-            x = members.join(centre, "key").where(chance == F.col("chance")).select("key", *(F.col(c).alias(f"a_{c}") for c in members.columns if c != "key"))
-        y = members.select("key", *(F.col(c).alias(f"b_{c}") for c in members.columns if c != "key"))
-        across = x.join(y, "key").where((F.col("a_root") != F.col("b_root")) & alike("a_", "b_"))
-        across = across.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
+            named = [c for c in members.columns if c != "key"]
+            x = members.join(centre, "key").where(chance == F.col("chance")).select("key", *(F.col(c).alias(f"a_{c}") for c in named))
+            y = members.select("key", *(F.col(c).alias(f"b_{c}") for c in named))
+            across = x.join(y, "key").where((F.col("a_root") != F.col("b_root")) & alike("a_", "b_"))
+            across = across.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
         across = cut(across.join(tested, ["a", "b"], "left_anti"), "across")
         links = links.union(cut(confirmed(across, texts), "confirmed"))
         roots = cut(components(links), "roots")
@@ -195,6 +200,100 @@ def _alike(how: Banding, a: str, b: str):
     return sizes & (bits[0] + bits[1] + bits[2] + bits[3] <= how.sketch_limit)
 
 
+#: 64-bit words of the sharper odd sketches.
+FINE_WORDS = 32
+
+
+def fine_sketches(texts: DataFrame, how: Banding) -> DataFrame:
+    """(node, fine) odd sketches into which every shingle of ``texts(node, text)`` is folded.
+
+    The bits in which two of them differ tell the size of the symmetric difference of the whole sets, without the sampling error of
+    MinHash.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for b in pieces(batches, "text"):
+                sketch = []
+                for x in _sets(b.column("text"), how.shingle):
+                    odd = np.bincount((mix(x ^ _SEED[7]) % np.uint64(64 * FINE_WORDS)).astype(np.int64), minlength=64 * FINE_WORDS) % 2
+                    sketch.append(np.packbits(odd.astype(np.uint8)).tobytes())
+                yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sketch, pa.binary())], ["node", "fine"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, fine binary")
+
+
+def fine_limit(percent: int):
+    """Bits in which sketches of sets of two sizes at the threshold differ, plus five deviations."""
+    bits = 64.0 * FINE_WORDS
+
+    def most(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        d = (x + y) * ((100 - percent) / (100 + percent))
+        full = np.exp(-4 * d / bits)
+        return (1 - np.exp(-2 * d / bits)) * bits / 2 + 5 * np.sqrt(np.maximum(1.0, (1 - full) * bits / 4 - d * full)) + 1
+
+    return most
+
+
+#: Members of a bucket that meet in one task; larger buckets are compared block by block.
+BLOCK = 8192
+
+
+def open_pairs(members: DataFrame, percent: int, most) -> DataFrame:
+    """(a, b) of ``members(key, m, node, root, n, bands, fine)`` in one bucket, of different roots, that the screen lets through.
+
+    A pair comes from the first bucket that it shares only. Buckets of more than BLOCK members are cut into blocks, and every
+    two blocks meet in a task of their own, so that no task holds more than two blocks.
+    """
+    k = F.ceil(F.col("m") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node"), k).cast("int")
+    other = F.explode(F.sequence(F.lit(0), k - 1))
+    spread = members.withColumn("k", k).withColumn("own", own).withColumn("other", other)
+    spread = spread.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "n", "bands", "fine")
+
+    def compare(rows: list[pa.Table]) -> pa.RecordBatch:
+        t = pa.concat_tables(rows)
+        key, i, j = (t.column(c)[0].as_py() for c in ("key", "i", "j"))
+        node, root, n, own = (t.column(c).to_numpy() for c in ("node", "root", "n", "own"))
+        bands = np.stack([np.array(x, np.int64) for x in t.column("bands").to_pylist()])
+        fine = np.frombuffer(b"".join(t.column("fine").to_pylist()), np.uint64).reshape(len(node), -1)
+        out_a, out_b = [node[:0]], [node[:0]]
+        step = max(1, (16 << 20) // (len(node) * fine.shape[1] * 8))
+        for at in range(0, len(node), step):
+            r = slice(at, at + step)
+            ok = (root[r, None] != root[None, :]) & (node[r, None] < node[None, :])
+            if i != j:
+                ok &= own[r, None] != own[None, :]
+            ok &= np.minimum(n[r, None], n[None, :]) * 100 >= np.maximum(n[r, None], n[None, :]) * percent
+            x, y = np.nonzero(ok)
+            x += at
+            for cut_at in range(0, len(x), 100_000):
+                p, q = x[cut_at : cut_at + 100_000], y[cut_at : cut_at + 100_000]
+                near = np.bitwise_count(fine[p] ^ fine[q]).sum(1) <= most(n[p], n[q])
+                p, q = p[near], q[near]
+                same = bands[p] == bands[q]
+                first = bands[p, same.argmax(1)] == key
+                out_a.append(node[p[first]])
+                out_b.append(node[q[first]])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, mark = [], None
+        for b in batches:
+            marks = np.stack([b.column(c).to_numpy() for c in ("key", "i", "j")], 1)
+            edges = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(1)) + 1), b.num_rows] if b.num_rows else [0]
+            for x, y in zip(edges, edges[1:]):
+                if held and tuple(marks[x]) != mark:
+                    yield compare(held)
+                    held = []
+                mark = tuple(marks[x])
+                held.append(pa.Table.from_batches([b.slice(x, y - x)]))
+        if held:
+            yield compare(held)
+
+    return spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
+
+
 def _only_own(texts: DataFrame, how: Banding) -> DataFrame:
     """(node, text) of the rows of ``texts(node, set_key, text)`` that have the node's own set: several texts may bear one id."""
 
