@@ -64,12 +64,13 @@ def posteriors(docs: DataFrame, model: tuple, id_col: str = "doc_id", text_col:
     """
     names, vocabulary, prior = model
     k = len(names)
-    marker = docs.sparkSession.range(1).select(F.lit("\x00").alias("w"), F.array(*[F.lit(0.0)] * k).alias("ll"))
-    cut_up = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col), F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[\x20\x09-\x0D]+").alias("ws"))
-    tokens = F.size(F.array_remove("ws", "")).cast("long")
-    words = F.explode(F.concat(F.array(F.lit("\x00")), F.array_distinct("ws")))
-    bag = cut_up.select("_row", id_col, tokens.alias("tokens"), words.alias("w")).join(F.broadcast(vocabulary.union(marker)), "w")
-    scores = bag.groupBy("_row", id_col, "tokens").agg(*(F.sum(F.col("ll")[i]).alias(f"s{i}") for i in range(k)))
+    terms = vocabulary.select("w", *(F.col("ll")[i].alias(f"l{i}") for i in range(k)))
+    terms = terms.union(docs.sparkSession.range(1).select(F.lit("\x00").alias("w"), *[F.lit(0.0)] * k))
+    words = F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[\x20\x09-\x0D]+")
+    # everything that reads the text stands before explode: what is left in the row is copied with every word
+    short = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col), token_count(F.col(text_col)).alias("tokens"), F.concat(F.array(F.lit("\x00")), F.array_distinct(words)).alias("ws"))
+    bag = short.select("_row", id_col, "tokens", F.explode("ws").alias("w")).join(F.broadcast(terms), "w")
+    scores = bag.groupBy("_row", id_col, "tokens").agg(*(F.sum(f"l{i}").alias(f"s{i}") for i in range(k)))
     raw = [F.col(f"s{i}") * damp + F.lit(prior[name]) for i, name in enumerate(names)]
     top = F.greatest(*raw) if k > 1 else raw[0]
     soft = [F.exp(x - top) for x in raw]
