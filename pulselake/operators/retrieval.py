@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def dot(a, b) -> Column:
@@ -43,6 +44,7 @@ def dense_top(queries: DataFrame, corpus: DataFrame, k: int = 10, block: int = 1
     blocks = max(1, -(-rows.count() // block))
     numbered = rows.withColumn("b", F.pmod(F.xxhash64("q_id"), F.lit(blocks)))
     kind = corpus.schema["doc_id"].dataType.simpleString()
+    types = [to_arrow_type(queries.schema["q_id"].dataType), to_arrow_type(corpus.schema["doc_id"].dataType), pa.float64()]
     out = None
     for b in range(blocks):
         part = numbered.where(F.col("b") == b).select("q_id", "qv").collect()
@@ -64,7 +66,8 @@ def dense_top(queries: DataFrame, corpus: DataFrame, k: int = 10, block: int = 1
                     score, doc = np.concatenate([best[j][0], s[:, j]]), np.concatenate([best[j][1], docs])
                     keep = np.lexsort((doc, -score))[:k]
                     best[j] = score[keep], doc[keep]
-            yield pa.RecordBatch.from_pydict({"q_id": [i for i, x in zip(ids, best) for _ in x[0]], "doc_id": [d for x in best for d in x[1]], "score": [float(v) for x in best for v in x[0]]})
+            columns = [i for i, x in zip(ids, best) for _ in x[0]], [d for x in best for d in x[1]], [float(v) for x in best for v in x[0]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["q_id", "doc_id", "score"])
 
         q_kind = queries.schema["q_id"].dataType.simpleString()
         one = corpus.select("doc_id", "dv").mapInArrow(run, f"q_id {q_kind}, doc_id {kind}, score double")
