@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .oracle import ORACLE  # noqa: F401
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -53,7 +55,6 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_bin_packing": op6_bin_packing,
 }
-ORACLE: dict[str, str] = {}
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
