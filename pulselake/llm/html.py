@@ -312,8 +312,11 @@ def training_pages(n: int = 500, seed: int = 7) -> Iterator[tuple[Page, list[boo
         long = rnd.choice([3, 6, 6, 40])
         for _ in range(rnd.choice([1, 1, 2, 3, 5, 9, 16, 30])):
             r = rnd.random()
-            if r < 0.62:
+            if r < 0.50:
                 out.append(f"<p>{prose(long) if rnd.random() < 0.8 else sentence(1, 2)}</p>")
+            elif r < 0.62:
+                inner = [sentence(), f'<a href="/x">{word()} {word() if rnd.random() < 0.5 else ""}</a>', f"<b>{word()}</b>", sentence(), f"<em>{word()}</em>", "<br>"]
+                out.append(f"<p>{' '.join(rnd.sample(inner, rnd.randint(2, 6)))}</p>")
             elif r < 0.70:
                 out.append(f"<p><b>{prose(2)}<br><p>{prose(long)}</p>")
             elif r < 0.76:
