@@ -75,6 +75,10 @@ def dense_top(queries: DataFrame, corpus: DataFrame, k: int = 10, block: int = 1
     return top(out, k) if out is not None else top(spark.createDataFrame([], f"q_id long, doc_id {kind}, score double"), k)
 
 
+#: Query words of up to so many rows go to every task.
+LIGHT_ROWS = 400_000
+
+
 def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), 1)
 
@@ -85,16 +89,19 @@ def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75,
     A word in more than half of the documents would weigh less than nothing; it takes ``floor`` times the mean weight of all words. Repeated query
     words count again. Only documents with a query word have a row.
     """
-    tokens = docs.select("doc_id", F.explode(words(F.col("text"))).alias("w"))
-    tf = tokens.groupBy("doc_id", "w").agg(F.count("*").alias("tf"))
-    sizes = docs.select("doc_id", F.size(words(F.coalesce("text", F.lit("")))).alias("dl"))
-    totals = sizes.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    df = tf.groupBy("w").agg(F.count("*").alias("df")).crossJoin(F.broadcast(totals))
+    cut = docs.select("doc_id", words(F.coalesce("text", F.lit(""))).alias("ws"))
+    totals = cut.agg(F.count("*").alias("n_docs"), F.avg(F.size("ws")).alias("avgdl"))
+    df = cut.select(F.explode(F.array_distinct("ws")).alias("w")).groupBy("w").agg(F.count("*").alias("df")).crossJoin(F.broadcast(totals))
     idf = df.withColumn("idf", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = idf.agg(F.avg("idf").alias("mean_idf"))
     idf = idf.crossJoin(F.broadcast(mean)).select("w", "avgdl", F.when(F.col("idf") < 0, F.col("mean_idf") * floor).otherwise(F.col("idf")).alias("idf"))
-    q = queries.select("q_id", F.explode(words(F.col("q_text"))).alias("w")).groupBy("q_id", "w").agg(F.count("*").alias("qf")).join(idf, "w")
-    hits = tf.join(q, "w").join(sizes, "doc_id")
+    asked = queries.select("q_id", F.explode(words(F.col("q_text"))).alias("w")).groupBy("q_id", "w").agg(F.count("*").alias("qf"))
+    few = asked.limit(LIGHT_ROWS + 1).count() <= LIGHT_ROWS
+    light = F.broadcast if few else (lambda d: d)
+    # only words of the queries leave the scan: counts of all others are needed for the weights alone
+    tokens = cut.select("doc_id", F.size("ws").alias("dl"), F.explode("ws").alias("w")).join(light(asked.select("w").distinct()), "w", "left_semi")
+    tf = tokens.groupBy("doc_id", "dl", "w").agg(F.count("*").alias("tf"))
+    hits = tf.join(light(asked.join(idf, "w")), "w")
     part = F.col("qf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("q_id", "doc_id").agg(F.sum(part).alias("score"))
 
