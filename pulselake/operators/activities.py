@@ -21,14 +21,15 @@ def window_sums(spans: DataFrame, points: DataFrame, key: str, start: str, end:
 
 def from_workouts(workouts: DataFrame, measurements: DataFrame, point_source: str = "Slopes") -> DataFrame:
     """Workouts as activities, with distance and energy from that source's samples in the workout's time."""
-    m = measurements.where(F.col("source") == point_source).where(F.col("metric").isin("DistanceDownhillSnowSports", "DistanceWalkingRunning", "ActiveEnergyBurned"))
+    m = measurements.where(F.col("source") == point_source).where(F.col("metric").isin("DistanceDownhillSnowSports", "ActiveEnergyBurned"))
     m = m.select("metric", "value_num", F.col("start_ts").alias("_ts"))
-    sums = [F.sum(F.when(F.col("metric") != "ActiveEnergyBurned", F.col("value_num"))).alias("distance_km"), F.sum(F.when(F.col("metric") == "ActiveEnergyBurned", F.col("value_num"))).alias("energy_kcal")]
+    sums = [F.sum(F.when(F.col("metric") == "DistanceDownhillSnowSports", F.col("value_num"))).alias("distance_km"), F.sum(F.when(F.col("metric") == "ActiveEnergyBurned", F.col("value_num"))).alias("energy_kcal")]
     w = window_sums(workouts, m, "row_key", "start_ts", "end_ts", "_ts", sums)
     none = F.lit(None).cast("double")
     return w.select(
-        F.concat(F.lit("apple-"), F.substring("row_key", 1, 16)).alias("activity_id"), "source", F.col("workout_type").alias("activity_type"), F.lit(None).cast("string").alias("name"),
-        "start_ts", "end_ts", "duration_s", F.col("duration_s").alias("moving_s"), "distance_km", none.alias("elevation_gain_m"), none.alias("avg_speed"), none.alias("max_speed"), "energy_kcal",
+        F.concat(F.lit("apple-"), F.substring("row_key", 1, 16)).alias("activity_id"), F.lit("apple_workout").alias("source"),
+        F.when(F.col("workout_type") == "DownhillSkiing", "ski").otherwise(F.lower("workout_type")).alias("activity_type"), F.col("workout_type").alias("name"),
+        "start_ts", "end_ts", "duration_s", none.alias("moving_s"), "distance_km", none.alias("elevation_gain_m"), none.alias("avg_speed"), none.alias("max_speed"), "energy_kcal",
     )
 
 

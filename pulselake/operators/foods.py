@@ -41,7 +41,7 @@ def foods(food: DataFrame, category: DataFrame, food_nutrient: DataFrame) -> Dat
 def ingredient_links(input_food: DataFrame, foods_table: DataFrame) -> DataFrame:
     """(fdc_id, seq_num, ingredient_key, ingredient_name, gram_weight) of the curated foods."""
     named = input_food.where(F.col("sr_description").isNotNull()).join(foods_table.select("fdc_id"), "fdc_id", "left_semi")
-    return named.select("fdc_id", "seq_num", F.lower(F.trim("sr_description")).alias("ingredient_key"), F.trim("sr_description").alias("ingredient_name"), "gram_weight")
+    return named.select("fdc_id", "seq_num", F.lower(F.trim("sr_description")).alias("ingredient_key"), F.col("sr_description").alias("ingredient_name"), "gram_weight")
 
 
 def ingredients(links: DataFrame) -> DataFrame:
@@ -83,7 +83,7 @@ def fuzzy_match(products: DataFrame, foods_table: DataFrame, cutoff: float = 0.6
     return scored.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("product", "fdc_id", "score")
 
 
-def food_map(products: DataFrame, foods_table: DataFrame, shortlist: int = 25, method: str = "dense+macro") -> DataFrame:
+def food_map(products: DataFrame, foods_table: DataFrame, shortlist: int = 25, method: str = "translate+embed+macro") -> DataFrame:
     """(product, en_name, fdc_id, description, cosine, macro_sim, score, method): best of the cosine shortlist after the macro rerank.
 
     ``products`` and ``foods_table`` carry ``embedding`` beside their macros; products are the stated query set.

@@ -22,7 +22,7 @@ def col(spark, value, f, kind="string"):
 
 def test_names_and_numbers(spark):
     assert col(spark, "HKQuantityTypeIdentifierStepCount", exports.metric_name) == "StepCount"
-    assert col(spark, "HKCategoryTypeIdentifierMenstrualFlow", exports.record_kind) == "category"
+    assert col(spark, "HKCategoryTypeIdentifierMenstrualFlow", exports.record_kind) == "Category"
     assert col(spark, "Custom", exports.metric_name) == "Custom" and col(spark, "Custom", exports.record_kind) is None
     for raw, want in (("12.5", 12.5), ("1e3", 1000.0), ("1d", None), ("0x1p3", None), ("1_000", 1000.0), ("", None), (None, None), (" 7 ", 7.0)):
         assert col(spark, raw, scalars.number) == want
@@ -34,6 +34,8 @@ def test_names_and_numbers(spark):
     assert col(spark, "Hormon (FSH) x", text.base_name) == "hormon x"
     assert sorted(col(spark, "Cherries, dishes as gas é", text.stems)) == sorted(["cherry", "dish", "as", "gas"])
     assert len(text.MARKED) == len(text.PLAIN)
+    line = spark.createDataFrame([("Egg", 155.5, 12.5, None, 1.1)], "n string, k double, p double, f double, c double").select(text.serialized(*(F.col(x) for x in "nkpfc")).alias("s")).first().s
+    assert line == "Egg (156 kcal, 12 g protein, ? g fat, 1 g carbs per 100g)"
 
 
 def test_match_and_strata(spark):
@@ -281,6 +283,7 @@ def test_activities(spark, tmp_path):
     m = spark.createDataFrame([("Slopes", "DistanceDownhillSnowSports", 2.0, ts(9)), ("Slopes", "ActiveEnergyBurned", 7.0, ts(10)), ("Slopes", "ActiveEnergyBurned", 9.0, ts(10, 1)), ("x", "ActiveEnergyBurned", 9.0, ts(9))], "source string, metric string, value_num double, start_ts timestamp")
     got = {r.activity_id: r for r in activities.from_workouts(w, m).collect()}
     assert (got["apple-w1w1w1w1w1w1w1w1"].distance_km, got["apple-w1w1w1w1w1w1w1w1"].energy_kcal) == (2.0, 7.0) and got["apple-w2w2w2w2w2w2w2w2"].energy_kcal is None
+    assert (got["apple-w1w1w1w1w1w1w1w1"].source, got["apple-w1w1w1w1w1w1w1w1"].activity_type) == ("apple_workout", "run")
     assert activities.daily_events(activities.from_workouts(w, m)).first().n_activities == 2
 
 
