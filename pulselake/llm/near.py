@@ -115,11 +115,20 @@ def near_classes(units: DataFrame, how: Banding = Banding(), id_col: str = "doc_
     see ``linked_classes``. Null and empty texts and texts without words have n = 0 and link with nothing.
     """
     source = units.select(F.col(id_col).alias("uid"), F.col(text_col).alias("text"))
-    return linked_classes(signatures(units, how, id_col, text_col), source, ["n", "s0", "s1", "s2", "s3"], lambda a, b: _alike(how, a, b), lambda pairs, texts: confirm(pairs, texts, how), lambda texts: _only_own(texts, how), (lambda texts: fine_sketches(texts, how), how.percent, fine_limit(how.percent)))
+    return linked_classes(signatures(units, how, id_col, text_col), source, ["n", "bands", "s0", "s1", "s2", "s3"], lambda a, b: _alike(how, a, b), lambda pairs, texts: confirm(pairs, texts, how), lambda texts: _only_own(texts, how), (lambda texts: fine_sketches(texts, how), how.percent, fine_limit(how.percent)))
 
 
-def linked_classes(sig: DataFrame, source: DataFrame, features: list[str], alike, confirmed, own, screen, turns: int = 1) -> DataFrame:
-    """(uid, n, component) for every row of ``sig(uid, n, set_key, bands, features...)``.
+#: Tables of up to so many narrow rows (about 25 MB) go to every task; larger ones are shuffled.
+LIGHT_ROWS = 400_000
+
+
+def _light(df: DataFrame) -> DataFrame:
+    """``df``, marked for broadcast if counting shows that it is small enough; the joins' results are the same."""
+    return F.broadcast(df) if df.limit(LIGHT_ROWS + 1).count() <= LIGHT_ROWS else df
+
+
+def linked_classes(sig: DataFrame, source: DataFrame, features: list[str], alike, confirmed, own, screen, bands=None, turns: int = 1) -> DataFrame:
+    """(uid, n, component) for every row of ``sig(uid, n, set_key, features...)``; ``bands`` is the array of a row's band keys, by default a feature of that name.
 
     Rows with one ``set_key`` are one node. First every node of a bucket (one band key) is
     paired with the bucket's smallest node; then, in buckets that still hold several components, with a pseudo-random
@@ -136,11 +145,12 @@ def linked_classes(sig: DataFrame, source: DataFrame, features: list[str], alike
     sig = cut(sig.withColumn("row", F.monotonically_increasing_id()), "signatures")
     keyed = sig.where("n > 0").groupBy("set_key").agg(F.min("row").alias("node"), F.min("uid").alias("least"))
     keyed = cut(keyed, "nodes")
-    reps = cut(sig.join(keyed.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "uid", "bands", *features), "reps")
-    sketches = reps.select("node", *features)
-    buckets = reps.select("node", F.explode("bands").alias("key"))
+    reps = cut(sig.join(keyed.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "uid", *features), "reps")
+    bands = F.col("bands") if bands is None else bands
+    sketches = reps.select("node", *(c for c in features if c != "bands"))
+    buckets = reps.select("node", F.explode(bands).alias("key"))
     shared = cut(buckets.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count("*").alias("c")).where("c > 1"), "buckets")
-    crowd = cut(buckets.join(shared.where("c > 2").select("key", "a"), "key"), "crowd")
+    crowd = cut(buckets.join(_light(shared.where("c > 2").select("key", "a")), "key"), "crowd")
     pairs = shared.select("a", F.col("z").alias("b")).union(crowd.where("node <> a").select("a", F.col("node").alias("b"))).distinct()
 
     def screened(p: DataFrame) -> DataFrame:
@@ -152,6 +162,7 @@ def linked_classes(sig: DataFrame, source: DataFrame, features: list[str], alike
     crowded = crowd.select("node").distinct()
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowded).distinct()
     wanted = wanted.join(reps.select("node", "uid"), "node").join(keyed.select("node", "set_key"), "node")
+    wanted = _light(cut(wanted, "wanted"))
     texts = source.join(wanted, source.uid.eqNullSafe(wanted.uid)).select("node", "set_key", "text")
     texts = cut(own(texts), "texts")
     links = cut(confirmed(pairs, texts), "confirmed")
@@ -169,7 +180,7 @@ def linked_classes(sig: DataFrame, source: DataFrame, features: list[str], alike
         if last:
             members = inside.join(mixed.select("key", "m"), "key")
             fine = screen[0](texts.join(members.select("node").distinct(), "node", "left_semi"))
-            across = open_pairs(members.join(fine, "node").join(reps.select("node", "n", "bands"), "node"), *screen[1:])
+            across = open_pairs(members.join(fine, "node").join(reps.select("node", "n", bands.alias("bands")), "node"), *screen[1:])
         else:
             members = cut(inside.join(mixed.select("key"), "key", "left_semi").join(sketches, "node"), "members")
             chance = F.xxhash64("node", F.lit(turn))
