@@ -26,8 +26,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item is covered by half or more."""
-    found = find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), out_col="_leaks")
-    return found.where(F.size("_leaks") == 0).drop("_leaks")
+    found = find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), out_col="__leaks")
+    return found.where(F.size("__leaks") == 0).drop("__leaks")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,10 +29,10 @@ def _bag(picked: DataFrame) -> DataFrame:
     return picked.select("id", "y", words.alias("w")).where("w <> ''")
 
 
-def fit_domains(docs: DataFrame, labels: DataFrame, domain: F.Column, id_col: str = "doc_id", text_col: str = "text", most: int = 4_000, most_words: int = 2_000) -> tuple[list[str], DataFrame, dict[str, float]]:
+def fit_domains(docs: DataFrame, labels: DataFrame, domain: F.Column, id_col: str = "doc_id", text_col: str = "text", most: int = 4_000, most_words: int = 2_000, least_docs: int = 30) -> tuple[list[str], DataFrame, dict[str, float]]:
     """Names of the domains, (w, ll array) log-likelihood terms and log priors.
 
-    The classifier is fit on the ``most`` labelled documents with the smallest id hashes; the ``most_words``
+    Domains with fewer than ``least_docs`` labelled documents there are left out. The classifier is fit on the ``most`` labelled documents with the smallest id hashes; the ``most_words``
     words whose likelihoods differ most between domains make its vocabulary. Both bounds are parameters; the
     vocabulary (most_words rows) is what later joins broadcast.
     """
@@ -40,7 +40,8 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domain: F.Column, id_col: st
     y = y.groupBy("id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(most)
     picked = cut(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(y), "id"), "labelled")
     bag = _bag(picked).distinct()
-    n = {r.y: r.n for r in picked.groupBy("y").agg(F.countDistinct("id").alias("n")).collect()}
+    n = {r.y: r.n for r in picked.groupBy("y").agg(F.countDistinct("id").alias("n")).collect() if r.n >= least_docs}
+    bag = bag.where(F.col("y").isin(*n)) if n else bag.limit(0)
     names = sorted(n)
     if not names:
         return [], bag.select("w", F.array().cast("array<double>").alias("ll")).limit(0), {}
@@ -87,23 +88,33 @@ def fit_rates(docs: DataFrame, targets: list[float], rounds: int = 40, tolerance
     is one aggregation to as many sums as there are domains.
     """
     k = len(targets)
-    scale = docs.agg(F.max("tokens")).first()[0] or 1
-    part = [F.col("tokens") / F.lit(float(scale)) * F.col("posterior")[i] for i in range(k)]
+    scale = float(docs.agg(F.max("tokens")).first()[0] or 1)
+    part = [f"tokens / {scale!r}D * posterior[{i}]" for i in range(k)]
     t = [x / scale for x in targets]
-    sums = docs.agg(*(F.coalesce(F.sum(part[i] * part[j]), F.lit(0.0)) for i in range(k) for j in range(k))).first()
+    sums = docs.agg(*(F.coalesce(F.sum(F.expr(f"{part[i]} * {part[j]}")), F.lit(0.0)) for i in range(k) for j in range(k))).first()
     gram = [[sums[i * k + j] + (1e-9 * (sums[0] + 1) if i == j else 0.0) for j in range(k)] for i in range(k)]
     steps: list[list[float]] = []
-    rate = F.lit(1.0)
-    for _ in range(rounds):
-        row = docs.agg(*(F.coalesce(F.sum(rate * p), F.lit(0.0)) for p in part)).first()
-        gap = [row[i] - t[i] for i in range(k)]
-        if max(abs(g) for g in gap) <= tolerance * max(1e-12, max(t)):
+    reached, before = [0.0] * k, None
+    for _ in range(rounds + 1):
+        row = docs.agg(*(F.coalesce(F.sum(_rate(steps, part) * F.expr(p)), F.lit(0.0)) for p in part)).first()
+        reached = list(row)
+        gap = [x - y for x, y in zip(reached, t)]
+        size = max(abs(g) for g in gap)
+        # met, or settled at the nearest that nonnegative rates allow
+        if size <= tolerance * max(1e-12, max(t)) or (before is not None and abs(before - size) <= 0.01 * tolerance * max(t)) or len(steps) == rounds:
             break
+        before = size
         steps.append(_solved(gram, gap))
-        rate = F.lit(1.0)
-        for s in steps:
-            rate = F.greatest(F.lit(0.0), rate - sum((F.lit(s[i]) * part[i] for i in range(1, k)), F.lit(s[0]) * part[0]))
-    return rate, {"reached": [row[i] * scale for i in range(k)], "rounds": len(steps)}
+    return _rate(steps, part), {"reached": [x * scale for x in reached], "rounds": len(steps)}
+
+
+def _rate(steps: list[list[float]], part: list[str]) -> F.Column:
+    """Rates after these steps from 1. The steps stand in one array literal, so each round runs the same compiled code."""
+    if not steps:
+        return F.lit(1.0)
+    rows = ", ".join("array(" + ", ".join(f"{x!r}D" for x in s) + ")" for s in steps)
+    moved = " + ".join(f"s[{i}] * ({p})" for i, p in enumerate(part))
+    return F.expr(f"aggregate(array({rows}), 1.0D, (acc, s) -> greatest(0.0D, acc - ({moved})))")
 
 
 def _solved(a: list[list[float]], b: list[float]) -> list[float]:
@@ -156,11 +167,11 @@ def label_domain() -> F.Column:
 
 
 #: Shares of tokens that a cleaned corpus aims at, by the domains of ``label_domain``.
-CLEAN_WEIGHTS = {"quality1_toxic0": 0.9, "quality0_toxic0": 0.1}
+CLEAN_WEIGHTS = {"quality1_toxic0": 0.95, "quality0_toxic0": 0.05}
 
 
 def apply_rates(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``docs`` with every row as often as its id's ``repeats`` in ``mixed`` say; its columns stay as they are."""
-    times = mixed.groupBy(F.col(id_col).alias("_id")).agg(F.min("repeats").alias("_times"))
-    out = docs.join(times, docs[id_col].eqNullSafe(times["_id"]))
-    return out.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_times")))).select(*docs.columns)
+    times = mixed.groupBy(F.col(id_col).alias("__id")).agg(F.min("repeats").alias("__times"))
+    out = docs.join(times, docs[id_col].eqNullSafe(times["__id"]))
+    return out.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__times")))).select(*docs.columns)

@@ -47,8 +47,8 @@ def repeated_paragraphs(docs: DataFrame, how: Banding | None = None, min_words:
 
 def without_repeats(docs: DataFrame, how: Banding | None = None, min_words: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with removed paragraphs cut out of the text, which is null only where it was null; all other columns stay."""
-    gone = repeated_paragraphs(docs, how, min_words, id_col, text_col).where("removed").groupBy(id_col).agg(F.collect_set("pos").alias("_gone"))
-    gone = gone.withColumnRenamed(id_col, "_id")
-    kept = F.filter(F.transform(F.split(text_col, "\n"), lambda line, i: F.when(~F.array_contains("_gone", i), line)), lambda line: line.isNotNull())
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_id"]), "left").withColumn(text_col, text).select(*docs.columns)
+    gone = repeated_paragraphs(docs, how, min_words, id_col, text_col).where("removed").groupBy(id_col).agg(F.collect_set("pos").alias("__gone"))
+    gone = gone.withColumnRenamed(id_col, "__id")
+    kept = F.filter(F.transform(F.split(text_col, "\n"), lambda line, i: F.when(~F.array_contains("__gone", i), line)), lambda line: line.isNotNull())
+    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["__id"]), "left").withColumn(text_col, text).select(*docs.columns)
