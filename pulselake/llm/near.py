@@ -115,7 +115,7 @@ def near_classes(units: DataFrame, how: Banding = Banding(), id_col: str = "doc_
     see ``linked_classes``. Null and empty texts and texts without words have n = 0 and link with nothing.
     """
     source = units.select(F.col(id_col).alias("uid"), F.col(text_col).alias("text"))
-    return linked_classes(signatures(units, how, id_col, text_col), source, ["n", "bands", "s0", "s1", "s2", "s3"], lambda a, b: _alike(how, a, b), lambda pairs, texts: confirm(pairs, texts, how), lambda texts: _only_own(texts, how), (lambda texts: fine_sketches(texts, how), how.percent, fine_limit(how.percent)))
+    return linked_classes(signatures(units, how, id_col, text_col), source, ["n", "bands", "s0", "s1", "s2", "s3"], lambda a, b: _alike(how, a, b), lambda pairs, texts: confirm(pairs, texts, how), lambda texts: _only_own(texts, how), (lambda nodes, fetch: fine_sketches(fetch(nodes.select("node")), how), how.percent, fine_limit(how.percent)))
 
 
 #: Tables of up to so many narrow rows (about 25 MB) go to every task; larger ones are shuffled.
@@ -135,7 +135,7 @@ def linked_classes(sig: DataFrame, source: DataFrame, features: list[str], alike
     one, for ``turns`` turns at most or until few pairs are open; at last all open pairs, those of nodes in
     different components. ``alike(a, b)`` screens pairs by the columns with these prefixes; ``confirmed(pairs, texts)``
     keeps the true ones by whole texts of ``source(uid, text)``, of which ``own`` drops those that aren't
-    the node's; ``screen`` is for the last step: (node, fine) bitmaps by texts, the percent that the smaller n must have of the larger
+    the node's; ``screen`` is for the last step: a function of the nodes' rows and of a way to fetch their texts that gives (node, fine) bitmaps, the percent that the smaller n must have of the larger
     one, and the most bits that may differ. So a bucket of one group costs about as many pairs as it has members, and no link between different
     components is passed over. ``component`` is the smallest uid reachable over links, the row's own included.
 
@@ -159,13 +159,18 @@ def linked_classes(sig: DataFrame, source: DataFrame, features: list[str], alike
         return p.join(x, "a").join(y, "b").where(alike("a_", "b_")).select("a", "b")
 
     pairs = cut(screened(pairs), "pairs")
-    crowded = crowd.select("node").distinct()
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowded).distinct()
-    wanted = wanted.join(reps.select("node", "uid"), "node").join(keyed.select("node", "set_key"), "node")
-    wanted = _light(cut(wanted, "wanted"))
-    texts = source.join(wanted, source.uid.eqNullSafe(wanted.uid)).select("node", "set_key", "text")
-    texts = cut(own(texts), "texts")
-    links = cut(confirmed(pairs, texts), "confirmed")
+
+    def fetch(nodes: DataFrame) -> DataFrame:
+        """(node, text) of these nodes: what is asked for goes to the scan if it is little, else both sides are shuffled."""
+        wanted = nodes.distinct().join(reps.select("node", "uid"), "node").join(keyed.select("node", "set_key"), "node")
+        wanted = _light(cut(wanted, "wanted"))
+        found = source.join(wanted, source.uid.eqNullSafe(wanted.uid)).select("node", "set_key", "text")
+        return cut(own(found), "texts")
+
+    def ends(p: DataFrame) -> DataFrame:
+        return p.select(F.col("a").alias("node")).union(p.select("b"))
+
+    links = cut(confirmed(pairs, fetch(ends(pairs))), "confirmed")
     roots = cut(components(links), "roots")
 
     tested = pairs
@@ -179,7 +184,7 @@ def linked_classes(sig: DataFrame, source: DataFrame, features: list[str], alike
         last = turn == turns or left[0] <= 4 * left[1]
         if last:
             members = inside.join(mixed.select("key", "m"), "key")
-            fine = screen[0](texts.join(members.select("node").distinct(), "node", "left_semi"))
+            fine = screen[0](reps.join(members.select("node").distinct(), "node", "left_semi"), fetch)
             across = open_pairs(members.join(fine, "node").join(reps.select("node", "n", bands.alias("bands")), "node"), *screen[1:])
         else:
             members = cut(inside.join(mixed.select("key"), "key", "left_semi").join(sketches, "node"), "members")
@@ -191,7 +196,7 @@ def linked_classes(sig: DataFrame, source: DataFrame, features: list[str], alike
             across = x.join(y, "key").where((F.col("a_root") != F.col("b_root")) & alike("a_", "b_"))
             across = across.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
         across = cut(across.join(tested, ["a", "b"], "left_anti"), "across")
-        links = links.union(cut(confirmed(across, texts), "confirmed"))
+        links = links.union(cut(confirmed(across, fetch(ends(across))), "confirmed"))
         roots = cut(components(links), "roots")
         tested = tested.union(across)
         if last:
