@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -83,6 +84,15 @@ def lowered(buf: np.ndarray) -> np.ndarray:
     return _LOWER[buf]
 
 
+def case_folded(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """As ``bytes_of``, with the case of every script folded and composed and compatibility forms made one (NFKC)."""
+    buf, off = bytes_of(column)
+    if not len(buf) or buf.max() < 128:
+        return lowered(buf), off
+    nfkc = lambda t: unicodedata.normalize("NFKC", t)
+    return bytes_of(pa.array([t.lower() if t.isascii() else nfkc(nfkc(t).casefold()) for t in column.fill_null("").to_pylist()], pa.large_string()))
+
+
 def shingles(words: np.ndarray, rows: np.ndarray, n_rows: int, k: int, whole_if_short: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the k-word shingles of every row, with n_rows + 1 offsets.
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._text import bytes_of, lowered, mix, pieces, span_hashes, word_spans
+from ._text import case_folded, mix, pieces, span_hashes, word_spans
 
 _COEF = mix(np.arange(7001, 7001 + 64, dtype=np.uint64)) | np.uint64(1)
 
@@ -88,8 +88,7 @@ class SeedIndex:
     """Words of the items of one benchmark block, and the k-word seeds that lead to them."""
 
     def __init__(self, rows: list[tuple], k: int):
-        buf, off = bytes_of(pa.array([r[1] for r in rows], pa.string()))
-        buf = lowered(buf)
+        buf, off = case_folded(pa.array([r[1] for r in rows], pa.string()))
         with np.errstate(over="ignore"):
             starts, ends, item = word_spans(buf, off)
             words = span_hashes(buf, starts, ends)
@@ -156,7 +155,7 @@ LEAK = "array<struct<item_id:long,covered:long,words:long,coverage:double,tiles:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, least: int = 5, share: float = 0.5, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = 8 << 20, out_col: str = "leaks") -> DataFrame:
     """``docs`` with ``out_col``: the benchmark items that the whole text leaks, by item id.
 
-    A-Z lower-cased words between ASCII spaces are compared. Seeds of ``least`` shared words lead from a text to items;
+    Case-folded words between ASCII spaces are compared, in normal form NFKC. Seeds of ``least`` shared words lead from a text to items;
     greedy string tiling marks the longest matches first, so passages that were cut up and reordered
     still count; an item leaks if tiles of ``least`` words or more cover ``share`` of its words. Items of fewer than
     ``least`` words can't be told from chance and never leak. The benchmark is taken in blocks of ``block_bytes``, each sent to the
@@ -174,8 +173,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: int = 5, share: flo
             ix = index.value
             with np.errstate(over="ignore"):
                 for b in pieces(batches, text_col):
-                    buf, off = bytes_of(b.column(text_col))
-                    buf = lowered(buf)
+                    buf, off = case_folded(b.column(text_col))
                     starts, ends, row = word_spans(buf, off)
                     words = span_hashes(buf, starts, ends)
                     grams = _windows(words, ix.k)

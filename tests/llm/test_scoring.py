@@ -1,6 +1,7 @@
 """Quality, toxicity, mixing, sharding, decontamination, HTML and the pipeline."""
 
 import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -207,6 +208,17 @@ def test_leaks_whole_reordered_and_clean(spark, block_bytes):
     assert find_leaks(d.limit(0), b).count() == 0 and find_leaks(d, b.limit(0)).where("size(leaks) > 0").count() == 0
 
 
+def test_leaks_in_other_case_with_accents(spark):
+    rnd = random.Random(8)
+    item = " ".join(f"élan{rnd.randrange(90)} straße{rnd.randrange(90)} ñandú{rnd.randrange(90)}" for _ in range(12))
+    noise = " ".join(f"n{rnd.randrange(900)}" for _ in range(40))
+    split = unicodedata.normalize("NFD", item)
+    d = spark.createDataFrame([(0, f"{noise} {item.upper()}"), (1, item.title()), (2, split), (3, noise.upper())], DOC)
+    b = spark.createDataFrame([(5, item), (6, "ÉTÉ À LA PLAGE DE NOËL " * 3)], "item_id long, text string")
+    got = {r.doc_id: [(x.item_id, x.coverage) for x in r.leaks] for r in find_leaks(d, b).collect()}
+    assert got == {0: [(5, 1.0)], 1: [(5, 1.0)], 2: [(5, 1.0)], 3: []}
+
+
 def test_trees_learn_an_interaction():
     rnd = np.random.default_rng(0)
     x = rnd.random((1500, 3))
