@@ -32,6 +32,11 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_key(text: F.Column) -> F.Column:
+    """96-bit fingerprint of a text, struct<h, g>; null has one of its own. With an id it names a row, all but its exact repeats."""
+    return F.struct(F.xxhash64(text).alias("h"), F.coalesce(F.crc32(text.cast("binary")), F.lit(-1)).alias("g"))
+
+
 def drop_cut(df: DataFrame) -> None:
     """Remove a table made by ``cut`` that no later plan reads."""
     spark = df.sparkSession

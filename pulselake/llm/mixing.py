@@ -12,7 +12,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import cut
+from ._store import cut, text_key
 
 #: Space and 0x09-0x0D separate words.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -58,7 +58,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domain: F.Column, id_col: st
 
 
 def posteriors(docs: DataFrame, model: tuple, id_col: str = "doc_id", text_col: str = "text", damp: float = 0.5) -> DataFrame:
-    """(id, tokens, posterior) for every row of ``docs``; the array is in the order of the model's names.
+    """(id, text_key, tokens, posterior) for every row of ``docs``; the array is in the order of the model's names.
 
     A word counts once per document. The log-likelihood is damped by ``damp``, which makes up for the
     dependence of words. One scan: a marker word keeps documents without any word of the vocabulary.
@@ -69,14 +69,14 @@ def posteriors(docs: DataFrame, model: tuple, id_col: str = "doc_id", text_col:
     terms = terms.union(docs.sparkSession.range(1).select(F.lit("\x00").alias("w"), *[F.lit(0.0)] * k))
     words = F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[\x20\x09-\x0D]+")
     # everything that reads the text stands before explode: what is left in the row is copied with every word
-    short = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col), token_count(F.col(text_col)).alias("tokens"), F.concat(F.array(F.lit("\x00")), F.array_distinct(words)).alias("ws"))
-    bag = short.select("_row", id_col, "tokens", F.explode("ws").alias("w")).join(F.broadcast(terms), "w")
-    scores = bag.groupBy("_row", id_col, "tokens").agg(*(F.sum(f"l{i}").alias(f"s{i}") for i in range(k)))
+    short = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col), text_key(F.col(text_col)).alias("text_key"), token_count(F.col(text_col)).alias("tokens"), F.concat(F.array(F.lit("\x00")), F.array_distinct(words)).alias("ws"))
+    bag = short.select("_row", id_col, "text_key", "tokens", F.explode("ws").alias("w")).join(F.broadcast(terms), "w")
+    scores = bag.groupBy("_row", id_col, "text_key", "tokens").agg(*(F.sum(f"l{i}").alias(f"s{i}") for i in range(k)))
     raw = [F.col(f"s{i}") * damp + F.lit(prior[name]) for i, name in enumerate(names)]
     top = F.greatest(*raw) if k > 1 else raw[0]
     soft = [F.exp(x - top) for x in raw]
     total = sum(soft[1:], soft[0])
-    return scores.select(id_col, "tokens", F.array(*(x / total for x in soft)).alias("posterior"))
+    return scores.select(id_col, "text_key", "tokens", F.array(*(x / total for x in soft)).alias("posterior"))
 
 
 def fit_rates(docs: DataFrame, targets: list[float], rounds: int = 40, tolerance: float = 1e-4) -> tuple[F.Column, dict]:
@@ -132,7 +132,7 @@ def _solved(a: list[list[float]], b: list[float]) -> list[float]:
 
 
 def mix(docs: DataFrame, labels: DataFrame, domain: F.Column, weights: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", rounds: int = 40) -> DataFrame:
-    """(id, tokens, domains, posterior, rate, repeats) for every row of ``docs``.
+    """(id, text_key, tokens, domains, posterior, rate, repeats) for every row of ``docs``.
 
     ``domain`` is an expression over ``labels`` that names a labelled row's domain. ``weights`` (share of all tokens
     by domain; missing: 0, scaled to 1) default to equal parts of the corpus's own expected share and the uniform one. ``repeats`` is the rate
@@ -147,7 +147,7 @@ def mix(docs: DataFrame, labels: DataFrame, domain: F.Column, weights: dict[str,
         known = cut(posteriors(docs, model, id_col, text_col), "posteriors")
     else:
         names = ["all"]
-        known = cut(docs.select(id_col, token_count(F.col(text_col)).alias("tokens"), F.array(F.lit(1.0)).alias("posterior")), "posteriors")
+        known = cut(docs.select(id_col, text_key(F.col(text_col)).alias("text_key"), token_count(F.col(text_col)).alias("tokens"), F.array(F.lit(1.0)).alias("posterior")), "posteriors")
     own = known.agg(*(F.coalesce(F.sum(F.col("tokens") * F.col("posterior")[i]), F.lit(0.0)) for i in range(len(names)))).first()
     total = sum(own)
     if weights:
@@ -156,7 +156,7 @@ def mix(docs: DataFrame, labels: DataFrame, domain: F.Column, weights: dict[str,
     else:
         targets = [0.5 * o + 0.5 * total / len(names) for o in own]
     rate, _ = fit_rates(known, targets, rounds)
-    out = known.select(id_col, "tokens", F.array(*map(F.lit, names)).alias("domains"), "posterior", rate.alias("rate"))
+    out = known.select(id_col, "text_key", "tokens", F.array(*map(F.lit, names)).alias("domains"), "posterior", rate.alias("rate"))
     draw = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("mix")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return out.withColumn("repeats", F.floor(F.col("rate") + draw).cast("int"))
 
@@ -170,8 +170,8 @@ def label_domain() -> F.Column:
 CLEAN_WEIGHTS = {"quality1_toxic0": 0.95, "quality0_toxic0": 0.05}
 
 
-def apply_rates(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with every row as often as its id's ``repeats`` in ``mixed`` say; its columns stay as they are."""
-    times = mixed.groupBy(F.col(id_col).alias("__id")).agg(F.min("repeats").alias("__times"))
-    out = docs.join(times, docs[id_col].eqNullSafe(times["__id"]))
+def apply_rates(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with every row as often as ``repeats`` of its id and text in ``mixed`` say; its columns stay as they are."""
+    times = mixed.groupBy(F.col(id_col).alias("__id"), F.col("text_key").alias("__key")).agg(F.min("repeats").alias("__times"))
+    out = docs.join(times, docs[id_col].eqNullSafe(times["__id"]) & (text_key(docs[text_col]) == times["__key"]))
     return out.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__times")))).select(*docs.columns)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import components, cut
+from ._store import components, cut, text_key
 from ._text import mix, pieces, text_shingles
 
 
@@ -329,13 +329,16 @@ def near_duplicates(docs: DataFrame, how: Banding = Banding(), id_col: str = "do
 
 
 def drop_near_duplicates(docs: DataFrame, how: Banding = Banding(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates, the one with the smallest id; all columns stay.
+    """``docs`` with one row of each group of near-duplicates, the one with the smallest id (null the largest); all columns stay.
 
-    Texts without words are no group. Rows that repeat a kept id and text count once.
+    Rows are told apart by id and text, so a repeated or null id neither drops nor saves its other texts. Texts without words
+    are no group. Rows that repeat a kept id and text count once.
     """
-    found = cut(near_duplicates(docs, how, id_col, text_col), "found")
-    gone = found.where("not kept").select(F.col(id_col).alias("_id")).distinct()
-    out = docs.join(gone, docs[id_col].eqNullSafe(gone["_id"]), "left_anti")
-    if found.where("kept").groupBy(id_col).count().where("count > 1").limit(1).count():
+    name = F.struct(F.col(id_col).isNull().alias("missing"), F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"))
+    found = cut(near_classes(docs.select(name.alias("uid"), F.col(text_col).alias("text")), how, "uid", "text"), "found")
+    kept = (F.col("n") == 0) | (F.col("uid") == F.col("component"))
+    gone = found.where(~kept).select(F.col("uid.id").alias("_id"), F.col("uid.key").alias("_key")).distinct()
+    out = docs.join(gone, docs[id_col].eqNullSafe(gone["_id"]) & (text_key(docs[text_col]) == gone["_key"]), "left_anti")
+    if found.where(kept).groupBy("uid").count().where("count > 1").limit(1).count():
         out = out.dropDuplicates([id_col, text_col])
     return out

@@ -156,6 +156,16 @@ def test_near_duplicates_odd_tables(spark):
     assert sorted(map(str, ((r.doc_id, r.text) for r in left))) == sorted(map(str, [(3, t), (3, rows[3][1])])) and left[0].n == 1
 
 
+def test_near_duplicates_are_dropped_by_row_not_by_id(spark):
+    rnd = random.Random(13)
+    a, b, c, d, e = (prose(rnd, 80, 9000) for _ in range(5))
+    rows = [(1, a), (None, a + " tail"), (None, b), (None, None), (None, ""), (7, c), (7, c + " tail"), (7, d), (2, e), (7, e + " tail")]
+    left = [(r.doc_id, r.text) for r in drop_near_duplicates(spark.createDataFrame(rows, DOC)).collect()]
+    both_c = [x for x in left if x[1] in (c, c + " tail")]
+    want = [(1, a), (None, b), (None, None), (None, ""), (7, d), (2, e)]
+    assert len(both_c) == 1 and sorted(map(str, set(left) - set(both_c))) == sorted(map(str, want)) and len(left) == 7
+
+
 def test_odd_sketch_estimates_similarity():
     import pyarrow as pa
 

@@ -116,6 +116,15 @@ def test_mixing_is_native_and_survives_odd_tables(spark):
     assert {r.rate for r in mix(d, y.limit(0), label_domain()).collect()} == {1.0}
 
 
+def test_rates_apply_to_rows_that_share_an_id(spark):
+    rows = [(None, "one text"), (None, "another"), (None, None), (4, "x"), (4, "y")]
+    d = spark.createDataFrame(rows, DOC)
+    out = mix(d, spark.createDataFrame([], "doc_id long, quality int, toxic int"), label_domain())
+    out = out.withColumn("repeats", F.when(F.col("tokens") == 1, F.lit(3)).when(F.col("tokens") == 2, F.lit(0)).otherwise(F.lit(1)))
+    got = {(r.doc_id, r.text): r["count"] for r in apply_rates(d, out).groupBy("doc_id", "text").count().collect()}
+    assert got == {(None, "another"): 3, (None, None): 1, (4, "x"): 3, (4, "y"): 3}
+
+
 def naive_best_fit(sizes, capacities):
     left, out = list(capacities), []
     for s in sizes:
