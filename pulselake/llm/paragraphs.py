@@ -29,10 +29,10 @@ def paragraphs_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return lines.select(F.struct("id", "pos").alias("uid"), "text")
 
 
-def repeated_paragraphs(docs: DataFrame, how: Banding | None = None, min_words: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_paragraphs(docs: DataFrame, how: Banding | None = None, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, pos, component struct<id, pos>, repeated, removed) for every paragraph of ``min_words`` words or more.
 
-    A paragraph is a \\n-separated line of the whole text. Paragraphs link at Jaccard similarity 0.8 of their 5-word
+    A paragraph is a \\n-separated line of the whole text; ``min_words`` is one full shingle by default. Paragraphs link at Jaccard similarity 0.8 of their 5-word
     shingles; of each component the one with the smallest (id, position) stays. ``repeated``: the
     component has other members; ``removed``: this one goes. Nulls and empty texts have no
     paragraphs; rows that repeat an id count as the same paragraphs; an empty table gives an empty one;
@@ -45,7 +45,7 @@ def repeated_paragraphs(docs: DataFrame, how: Banding | None = None, min_words:
     return found.select(F.col("uid.id").alias(id_col), F.col("uid.pos").alias("pos"), "component", F.col("members").isNotNull().alias("repeated"), (F.col("members").isNotNull() & (F.col("uid") != F.col("component"))).alias("removed"))
 
 
-def without_repeats(docs: DataFrame, how: Banding | None = None, min_words: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, how: Banding | None = None, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with removed paragraphs cut out of the text, which is null only where it was null; all other columns stay."""
     gone = repeated_paragraphs(docs, how, min_words, id_col, text_col).where("removed").groupBy(id_col).agg(F.collect_set("pos").alias("__gone"))
     gone = gone.withColumnRenamed(id_col, "__id")

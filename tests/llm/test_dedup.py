@@ -205,6 +205,13 @@ def test_repeated_paragraphs(spark):
     assert repeated_paragraphs(docs.limit(0)).count() == 0
 
 
+def test_short_paragraphs_are_compared(spark):
+    five, nine = "one two three four five", "this line of nine words stands in two texts"
+    docs = spark.createDataFrame([(1, f"{five}\n{nine}"), (2, f"{nine}\nsix words stand here only once"), (3, five)], DOC)
+    got = {(r.doc_id, r.pos): (r.repeated, r.removed) for r in repeated_paragraphs(docs).collect()}
+    assert got == {(1, 0): (True, False), (1, 1): (True, False), (2, 0): (True, True), (2, 1): (False, False), (3, 0): (True, True)}
+
+
 def test_band_tuning():
     h = tuned(80, 0.9995, 3)
     assert 1 - (1 - 0.8**3) ** h.bands >= 0.9995 and h.rows == 3
