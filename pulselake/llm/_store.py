@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _OWN: dict[str, str] = {}
 
@@ -46,8 +47,26 @@ def drop_cut(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-#: Up to so many links (16 MB of ids) one task finds the components; more are settled by rounds over all executors.
-ONE_TASK_LINKS = 1_000_000
+#: Tables of up to so many bytes, counted, may go to every task.
+LIGHT_BYTES = 16 << 20
+
+
+def light_bytes(df: DataFrame) -> int:
+    """Bytes of all values of ``df``: 16 for each of fixed size, 16 and their length for texts and binaries, structs by their fields."""
+
+    def size(c: F.Column, kind: T.DataType) -> F.Column:
+        if isinstance(kind, T.StructType):
+            return sum((size(c[f.name], f.dataType) for f in kind.fields), F.lit(16))
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            return F.lit(16) + F.coalesce(F.octet_length(c), F.lit(0))
+        return F.lit(16)
+
+    total = sum((size(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(0)).cast("long")
+    return df.agg(F.coalesce(F.sum(total), F.lit(0))).first()[0]
+
+
+#: Up to so many links (some 40 MB as numbers of Python) one task finds the components; more are settled by rounds over all executors.
+ONE_TASK_LINKS = 200_000
 
 
 def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

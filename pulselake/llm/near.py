@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import components, cut, text_key
+from ._store import LIGHT_BYTES, components, cut, light_bytes, text_key
 from ._text import mix, pieces, text_shingles
 
 
@@ -98,7 +98,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, how: Banding) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for big in batches:
-                for b in pieces(iter([big]), "tb"):
+                for b in (c for half in pieces(iter([big]), "ta") for c in pieces(iter([half]), "tb")):
                     ok = []
                     for x, y in zip(_sets(b.column("ta"), how.shingle), _sets(b.column("tb"), how.shingle)):
                         both_have = len(np.intersect1d(x, y, assume_unique=True))
@@ -118,17 +118,13 @@ def near_classes(units: DataFrame, how: Banding = Banding(), id_col: str = "doc_
     return linked_classes(signatures(units, how, id_col, text_col), source, ["n", "bands", "s0", "s1", "s2", "s3"], lambda a, b: _alike(how, a, b), lambda pairs, texts: confirm(pairs, texts, how), lambda texts: _only_own(texts, how), (lambda nodes, fetch: fine_sketches(fetch(nodes.select("node")), how), how.percent, fine_limit(how.percent)))
 
 
-#: Tables of up to so many narrow rows (about 25 MB) go to every task; larger ones are shuffled.
-LIGHT_ROWS = 400_000
-
-
 def _light(df: DataFrame) -> DataFrame:
-    """``df``, marked for broadcast if counting shows that it is small enough; the joins' results are the same."""
-    return F.broadcast(df) if df.limit(LIGHT_ROWS + 1).count() <= LIGHT_ROWS else df
+    """``df``, marked for broadcast if its bytes, counted, are few enough; the joins' results are the same."""
+    return F.broadcast(df) if light_bytes(df) <= LIGHT_BYTES else df
 
 
-def linked_classes(sig: DataFrame, source: DataFrame, features: list[str], alike, confirmed, own, screen, bands=None, turns: int = 1) -> DataFrame:
-    """(uid, n, component) for every row of ``sig(uid, n, set_key, features...)``; ``bands`` is the array of a row's band keys, by default a feature of that name.
+def linked_classes(sig: DataFrame, source: DataFrame, features: list[str], alike, confirmed, own, screen, by_place: bool = True, turns: int = 1) -> DataFrame:
+    """(uid, n, component) for every row of ``sig(uid, n, set_key, features...)``; the feature ``bands`` is the array of a row's keys, each of a band of its own if ``by_place``, else a set of any size.
 
     Rows with one ``set_key`` are one node. First every node of a bucket (one band key) is
     paired with the bucket's smallest node; then, in buckets that still hold several components, with a pseudo-random
@@ -146,9 +142,8 @@ def linked_classes(sig: DataFrame, source: DataFrame, features: list[str], alike
     keyed = sig.where("n > 0").groupBy("set_key").agg(F.min("row").alias("node"), F.min("uid").alias("least"))
     keyed = cut(keyed, "nodes")
     reps = cut(sig.join(keyed.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "uid", *features), "reps")
-    bands = F.col("bands") if bands is None else bands
     sketches = reps.select("node", *(c for c in features if c != "bands"))
-    buckets = reps.select("node", F.explode(bands).alias("key"))
+    buckets = reps.select("node", F.explode("bands").alias("key"))
     shared = cut(buckets.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count("*").alias("c")).where("c > 1"), "buckets")
     crowd = cut(buckets.join(_light(shared.where("c > 2").select("key", "a")), "key"), "crowd")
     pairs = shared.select("a", F.col("z").alias("b")).union(crowd.where("node <> a").select("a", F.col("node").alias("b"))).distinct()
@@ -185,7 +180,7 @@ def linked_classes(sig: DataFrame, source: DataFrame, features: list[str], alike
         if last:
             members = inside.join(mixed.select("key", "m"), "key")
             fine = screen[0](reps.join(members.select("node").distinct(), "node", "left_semi"), fetch)
-            across = open_pairs(members.join(fine, "node").join(reps.select("node", "n", bands.alias("bands")), "node"), *screen[1:])
+            across = open_pairs(members.join(fine, "node").join(reps.select("node", "n", "bands"), "node"), *screen[1:], by_place)
         else:
             members = cut(inside.join(mixed.select("key"), "key", "left_semi").join(sketches, "node"), "members")
             chance = F.xxhash64("node", F.lit(turn))
@@ -255,7 +250,7 @@ def fine_limit(percent: int):
 BLOCK = 8192
 
 
-def open_pairs(members: DataFrame, percent: int, most) -> DataFrame:
+def open_pairs(members: DataFrame, percent: int, most, by_place: bool = True) -> DataFrame:
     """(a, b) of ``members(key, m, node, root, n, bands, fine)`` in one bucket, of different roots, that the screen lets through.
 
     A pair comes from the first bucket that it shares only. Buckets of more than BLOCK members are cut into blocks, and every
@@ -271,7 +266,8 @@ def open_pairs(members: DataFrame, percent: int, most) -> DataFrame:
         t = pa.concat_tables(rows)
         key, i, j = (t.column(c)[0].as_py() for c in ("key", "i", "j"))
         node, root, n, own = (t.column(c).to_numpy() for c in ("node", "root", "n", "own"))
-        bands = np.stack([np.array(x, np.int64) for x in t.column("bands").to_pylist()])
+        keys = [np.unique(x) if not by_place else np.array(x, np.int64) for x in t.column("bands").to_pylist()]
+        bands = np.stack([np.pad(x, (0, max(map(len, keys)) - len(x)), mode="edge") for x in keys])
         fine = np.frombuffer(b"".join(t.column("fine").to_pylist()), np.uint64).reshape(len(node), -1)
         out_a, out_b = [node[:0]], [node[:0]]
         step = max(1, (16 << 20) // (len(node) * fine.shape[1] * 8))
@@ -287,10 +283,12 @@ def open_pairs(members: DataFrame, percent: int, most) -> DataFrame:
                 p, q = x[cut_at : cut_at + 100_000], y[cut_at : cut_at + 100_000]
                 near = np.bitwise_count(fine[p] ^ fine[q]).sum(1) <= most(n[p], n[q])
                 p, q = p[near], q[near]
-                same = bands[p] == bands[q]
-                first = bands[p, same.argmax(1)] == key
-                out_a.append(node[p[first]])
-                out_b.append(node[q[first]])
+                for at2 in range(0, len(p), 4096):
+                    p2, q2 = p[at2 : at2 + 4096], q[at2 : at2 + 4096]
+                    same = bands[p2] == bands[q2] if by_place else (bands[p2][:, :, None] == bands[q2][:, None, :]).any(2)
+                    first = bands[p2, same.argmax(1)] == key
+                    out_a.append(node[p2[first]])
+                    out_b.append(node[q2[first]])
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

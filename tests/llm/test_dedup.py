@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from pulselake.llm._store import components
-from pulselake.llm.lines import edit_distance, fuzzy_lines, line_parts, normal_form, within, without_fuzzy_lines
+from pulselake.llm.lines import _radius, edit_distance, fuzzy_lines, line_parts, normal_form, similar, without_fuzzy_lines
 from pulselake.llm.near import Banding, drop_near_duplicates, estimated_jaccard, minhashes, near_duplicates, odd_sketches
 from pulselake.llm.paragraphs import repeated_paragraphs, tuned, without_repeats
 from pulselake.llm.substrings import refined, remove_repeats
@@ -21,6 +21,11 @@ def prose(rnd, n, vocabulary=400):
     return " ".join(f"w{rnd.randrange(vocabulary)}é"[: rnd.randint(2, 6)] for _ in range(n))
 
 
+def letters(rnd, n):
+    """Words without a likeness."""
+    return " ".join("".join(rnd.choice("bcdéfghjklmnpqrstvz") for _ in range(rnd.randint(2, 9))) for _ in range(n))
+
+
 def brute_removed(texts, length):
     raw = [(t or "").encode() for t in texts]
     seen = {}
@@ -153,7 +158,7 @@ def test_near_duplicates_odd_tables(spark):
     got = near_duplicates(spark.createDataFrame(rows, DOC + ", component_id int")).collect()
     assert sorted((str(r.doc_id), str(r.component_id)) for r in got) == [("3", "3"), ("3", "3"), ("3", "3"), ("None", "3"), ("None", "None")]
     left = drop_near_duplicates(spark.createDataFrame(rows, DOC + ", n int")).collect()
-    assert sorted(map(str, ((r.doc_id, r.text) for r in left))) == sorted(map(str, [(3, t), (3, rows[3][1])])) and left[0].n == 1
+    assert sorted(map(str, ((r.doc_id, r.text) for r in left))) == sorted(map(str, [(3, t), (3, rows[3][1]), (None, None)])) and left[0].n == 1
 
 
 def test_near_duplicates_are_dropped_by_row_not_by_id(spark):
@@ -228,17 +233,77 @@ def test_edit_distance_is_exact():
         return p[-1]
 
     rnd = random.Random(8)
-    for _ in range(800):
-        a, b = ("".join(rnd.choice("abc") for _ in range(rnd.randrange(18))) for _ in range(2))
-        d = plain(a, b)
-        assert edit_distance(a, b) == d
-        for most in (0, 2, 5, 20):
-            assert within(a, b, most, 4) == (d <= most)
+    x = ["".join(rnd.choice("abé") for _ in range(rnd.randrange(18))) for _ in range(800)]
+    y = ["".join(rnd.choice("abé") for _ in range(rnd.randrange(18))) for _ in range(800)]
+    for n in (63, 64, 65, 130, 300, 1500):
+        for _ in range(12):
+            t = [rnd.choice("abcdefgh 漢") for _ in range(n)]
+            x.append("".join(t))
+            for _ in range(rnd.randrange(n // 3)):
+                t[rnd.randrange(len(t))] = rnd.choice(["", "z", "yy"])
+            y.append("".join(t))
+    d = [plain(a, b) for a, b in zip(x, y)]
+    assert d == [edit_distance(a, b) for a, b in zip(x, y)]
+    for percent in (50, 80, 95):
+        with np.errstate(over="ignore"):
+            assert similar(x, y, percent).tolist() == [k <= max(len(a), len(b)) * (100 - percent) // 100 for a, b, k in zip(x, y, d)]
+
+
+def changed(rnd, w, vocabulary):
+    """One to three words of a line replaced, put in, left out or mistyped."""
+    w = list(w)
+    for _ in range(rnd.randint(1, 3)):
+        i, how = rnd.randrange(len(w)), rnd.randrange(6)
+        if how <= 2:
+            w[i] = rnd.choice(vocabulary)
+        elif how == 3:
+            w.insert(i, rnd.choice(vocabulary))
+        elif how == 4 and len(w) > 1:
+            del w[i]
+        else:
+            w[i] = w[i][: len(w[i]) // 2] + rnd.choice("xyz") + w[i][len(w[i]) // 2 + 1 :]
+    return w
+
+
+@pytest.mark.parametrize("n", [2, 3, 5, 8, 12, 15, 20, 31, 40, 80])
+def test_candidates_of_fuzzy_lines_reach_a_recall_of_nine_tenths(n):
+    """All pairs at edit similarity 0.8 of a line and its changed copy, by number of words: blocks and SimHash screen against the edit distance alone."""
+    rnd = random.Random(n)
+    vocabulary = ["".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.choice([1, 2, 2, 3, 3, 4, 5, 6, 7, 9]))) for _ in range(3000)]
+    pairs = []
+    while len(pairs) < 300:
+        a = [vocabulary[int(3000 * rnd.random() ** 2)] for _ in range(n)]
+        x, y = " ".join(a), " ".join(changed(rnd, a, vocabulary))
+        if x != y and edit_distance(x, y) <= max(len(x), len(y)) * 20 // 100:
+            pairs.append((x, y))
+    with np.errstate(over="ignore"):
+        parts = [line_parts([p[i] for p in pairs]) for i in (0, 1)]
+    keys = [[set(p[6][p[7][i] : p[7][i + 1]].tolist()) for i in range(len(pairs))] for p in parts]
+    near = np.bitwise_count(parts[0][5].view(np.uint64) ^ parts[1][5].view(np.uint64)) <= _radius(np.minimum(parts[0][2], parts[1][2]))
+    found = [bool(a & b) and bool(ok) for a, b, ok in zip(*keys, near)]
+    print(n, "words: recall", np.mean(found))
+    assert np.mean(found) >= 0.9
+
+
+def brute_lines(norm):
+    root = list(range(len(norm)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(norm)):
+        for j in range(i):
+            if norm[i] and norm[j] and edit_distance(norm[i], norm[j]) <= max(len(norm[i]), len(norm[j])) * 20 // 100:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(norm))]
 
 
 def test_fuzzy_lines_equal_brute_force(spark):
     rnd = random.Random(12)
-    base = [prose(rnd, 40) for _ in range(10)]
+    base = [letters(rnd, 40) for _ in range(10)]
     lines = []
     for b in base:
         lines.append(b)
@@ -246,33 +311,41 @@ def test_fuzzy_lines_equal_brute_force(spark):
             c = b.split()
             c[rnd.randrange(40)] = f"n{rnd.randrange(10)}"
             lines.append(" ".join(c).upper() + rnd.choice(["", ".", " !"]))
-    lines += ["page 12 of 90 here", "Page 77 of 13 here!", "x"]
-    docs = spark.createDataFrame([(i, f"{x}\n") for i, x in enumerate(lines)] + [(900, None), (901, "")], DOC)
+    lines += ["page 12 of 90 here", "Page 77 of 13 here!", "x", "X.", "...", "the meeting on tuesday will begin at the old office", "the meeting on thursday will begin at the old offices"]
+    docs = spark.createDataFrame([(i, f"{x}\n", "k") for i, x in enumerate(lines)] + [(900, None, ""), (901, "", None)], DOC + ", pos string")
     norm = [" ".join(re.findall(r"[^\W_]+", re.sub("[1-9]", "0", x.lower()))) for x in lines]
     assert norm == [normal_form(x) for x in lines]
-    with np.errstate(over="ignore"):
-        sims = line_parts(lines)[5].view(np.uint64)
-    assert len(sims) == len(lines)
-    root = list(range(len(lines)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i in range(len(lines)):
-        for j in range(i):
-            if len(norm[i]) >= 10 and len(norm[j]) >= 10 and int(np.bitwise_count(sims[i] ^ sims[j])) <= 3 and edit_distance(norm[i], norm[j]) <= max(len(norm[i]), len(norm[j])) * 20 // 100:
-                a, b = find(i), find(j)
-                root[max(a, b)] = min(a, b)
+    root = brute_lines(norm)
     got = {r.doc_id: r.component[0] for r in fuzzy_lines(docs).collect()}
-    assert got == {i: find(i) for i in range(len(lines)) if len(norm[i]) >= 10}
+    assert got == {i: root[i] for i in range(len(lines)) if norm[i]}
     assert len(set(got.values())) < len(got)
     left = {r.doc_id: r.text for r in without_fuzzy_lines(docs).collect()}
-    assert left[0] == lines[0] + "\n" and left[900] is None and left[len(lines) - 2] == ""
+    assert left[0] == lines[0] + "\n" and left[900] is None and left[lines.index("Page 77 of 13 here!")] == "" and left[lines.index("X.")] == ""
     assert fuzzy_lines(docs.limit(0)).count() == 0
 
 
+def test_crowded_block_of_lines_loses_no_link(spark, monkeypatch):
+    """Two hundred lines share one passage, many of them are alike, some are not."""
+    import pulselake.llm.near as near
+
+    monkeypatch.setattr(near, "BLOCK", 32)
+    rnd = random.Random(21)
+    kinds = [letters(rnd, 12) for _ in range(9)]
+    lines = [f"{k} posted by the editor on the front page" + rnd.choice(["", " today", " again"]) for k in kinds for _ in range(12)] + [letters(rnd, 14) + " posted by the editor on the front page" for _ in range(60)]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], DOC)
+    root = brute_lines([normal_form(x) for x in lines])
+    assert len(set(root)) == 69
+    assert {r.doc_id: r.component[0] for r in fuzzy_lines(docs).collect()} == dict(enumerate(root))
+
+
+def test_fuzzy_lines_odd_tables(spark):
+    """Repeated rows and ids, null ids, ties, clashing column names and a very long text."""
+    long = " ".join(f"w{i}" for i in range(20_000))
+    rows = [(None, "one line of a few words here", 1), (3, "one line of a few words here", 1), (3, "one line of a few words here", 1), (5, long, 2), (4, long + " more", 2), (6, "\n \n\t", 3)]
+    got = sorted(((str(r.doc_id), r.pos, str(r.component.id), r.removed) for r in fuzzy_lines(spark.createDataFrame(rows, DOC + ", component int")).collect()))
+    assert [g[:3] for g in got] == [("3", 0, "None"), ("3", 0, "None"), ("4", 0, "4"), ("5", 0, "4"), ("None", 0, "None")] or [g[:3] for g in got] == [("3", 0, "3"), ("3", 0, "3"), ("4", 0, "4"), ("5", 0, "4"), ("None", 0, "3")]
+
+
 def test_hash_of_text_is_sha256_of_kept_bytes(spark):
     r = remove_repeats(spark.createDataFrame([(1, "é b")], DOC)).selectExpr("sha2(kept, 256) as h").first()
     assert r.h == hashlib.sha256("é b".encode()).hexdigest()
