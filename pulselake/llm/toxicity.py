@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._store import cut
+
 #: Letters of other scripts that look like Latin ones, and digits or signs written for letters.
 HOMOGLYPHS = {
     "а": "a", "в": "b", "е": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x",
@@ -68,10 +70,18 @@ def hits_of(s: str, matcher) -> list[tuple[int, str, float]]:
     for end, (p, w) in matcher.iter(s):
         at = end - len(p) + 1
         if w is None:
-            spared.append((at, end))
+            while spared and spared[-1][0] >= at:  # ends come in order, so what overlaps stands last
+                spared.pop()
+            spared.append((max(at, spared[-1][1]) if spared else at, end))
         elif at not in found or w > found[at][1]:
             found[at] = (p, w)
-    return [(at, p, w) for at, (p, w) in sorted(found.items()) if not any(a <= at < b for a, b in spared)]
+    out, i = [], 0
+    for at, (p, w) in sorted(found.items()):
+        while i < len(spared) and spared[i][1] <= at:
+            i += 1
+        if i == len(spared) or at < spared[i][0]:
+            out.append((at, p, w))
+    return out
 
 
 def density(s: str, matcher, smooth: int) -> tuple[float, int]:
@@ -90,52 +100,53 @@ def _features(s: str) -> set[str]:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, most: int) -> DataFrame:
-    """(id, text, y) of at most ``most`` labelled documents, those with the smallest hashes of their ids; equal texts count once."""
+    """(s, y): the folded texts of at most ``most`` labelled documents, those with the smallest hashes of their ids.
+
+    Equal folded texts count once, with the largest of their labels; of more than ``most`` texts, as repeated ids can make, those with the smallest
+    hashes stay. Which rows these are depends on the tables alone, not on their partitions. Ids whose crc32 (as text) is divisible by 5, null ids, labels and texts have no part.
+    """
     held_in = F.crc32(F.col("id").cast("string").cast("binary")) % 5 != 0
     ids = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isNotNull() & held_in)
     ids = ids.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(most)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    return texts.join(F.broadcast(ids), "id")
 
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                yield pa.RecordBatch.from_arrays([pa.array([folded(t) for t in part.column(0).to_pylist()], pa.string()), part.column(1)], ["s", "y"])
+
+    every = cut(texts.join(F.broadcast(ids), "id").select("text", "y").mapInArrow(fold, "s string, y int").withColumn("h", F.unhex(F.md5(F.col("s").cast("binary")))), "folded")
+    first = cut(every.groupBy("h").agg(F.max("y").alias("y")).orderBy("h").limit(most), "sample")
+    return every.join(F.broadcast(first.withColumnRenamed("y", "most_y")), "h").groupBy("h").agg(F.min("s").alias("s"), F.max("most_y").alias("y")).select("s", "y")
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most: int = 16_000, least_docs: int = 3, least_odds: float = 3.0, most_patterns: int = 20_000) -> ToxicityModel:
-    """Learn the lexicon from at most ``most`` labelled documents (the bounded sample, about 50 MB of text, stays on the executors).
 
-    Pattern counts are summed on the executors; at most ``most_patterns`` of the strongest reach the driver,
-    and one pair of numbers for each document of the sample for the calibration. Ids whose
-    crc32 (as text) is divisible by 5 are never used. No labels, or none toxic: every score is near 0.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most: int = 16_000, least_docs: int = 3, least_odds: float = 3.0) -> ToxicityModel:
+    """Learn the lexicon from at most ``most`` labelled documents (the bounded sample, about 50 MB of text, stays on the executors); see ``labelled_sample`` for nulls, ties and repeats.
+
+    Pattern counts are summed on the executors; the patterns of at least ``least_docs`` toxic documents and ``least_odds`` log odds
+    reach the driver, and one pair of numbers for each document of the sample for the calibration. No labels, or none toxic, and empty tables: every score is near 0.
     """
-    sample = labelled_sample(docs, labels, label, id_col, text_col, most)
+    sample = cut(labelled_sample(docs, labels, label, id_col, text_col, most), "texts")
+    total = sample.agg(F.count_if(F.col("y") > 0), F.count_if(F.col("y") <= 0)).first()
+    n_toxic, n_clean = total[0], total[1]
+    if not n_toxic:
+        return ToxicityModel()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        toxic, clean, seen = Counter(), Counter(), set()
-        totals = [0, 0]
+        toxic, clean = Counter(), Counter()
         for b in batches:
-            for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                s = folded(text)
-                if (k := hash(s)) in seen:
-                    continue
-                seen.add(k)
-                (toxic if y else clean).update(_features(s))
-                totals[0 if y else 1] += 1
-        keys = [p for p in toxic]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(["", *keys]), pa.array([totals[0], *(toxic[p] for p in keys)], pa.int64()), pa.array([totals[1], *(clean[p] for p in keys)], pa.int64())], ["p", "t", "c"]
-        )
-        rest = [p for p in clean if p not in toxic and clean[p] > 0]
-        for at in range(0, len(rest), 50_000):
-            part = rest[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([0] * len(part), pa.int64()), pa.array([clean[p] for p in part], pa.int64())], ["p", "t", "c"])
-
-    counts = sample.select("text", "y").mapInArrow(count, "p string, t long, c long").groupBy("p").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    strong = counts.where((F.col("p") == "") | ((F.col("t") >= least_docs) & (F.col("t") > F.col("c"))))
-    rows = strong.orderBy(F.when(F.col("p") == "", 0).otherwise(1), (F.col("t") / (F.col("c") + 1)).desc(), "p").limit(most_patterns + 1).collect()
-    n_toxic, n_clean = next(((r.t, r.c) for r in rows if not r.p), (0, 0))
-    if not n_toxic:
-        return ToxicityModel()
-    odds = {r.p: (r.t, float(np.log((r.t + 0.5) / (n_toxic + 1)) - np.log((r.c + 0.5) / (n_clean + 1)))) for r in rows if r.p}
-    odds = {p: x for p, x in odds.items() if x[1] >= least_odds}
-    model = ToxicityModel(_general_patterns(odds))
+            for s, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                (toxic if y > 0 else clean).update(_features(s))
+        keys = list(toxic | clean)
+        for at in range(0, len(keys), 50_000):
+            part = keys[at : at + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([toxic[p] for p in part], pa.int64()), pa.array([clean[p] for p in part], pa.int64())], ["p", "t", "c"])
+
+    counts = sample.select("s", "y").mapInArrow(count, "p string, t long, c long").groupBy("p").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    odds = F.log((F.col("t") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("c") + 0.5) / (n_clean + 1.0))
+    rows = counts.where(F.col("t") >= least_docs).select("p", "t", odds.alias("odds")).where(F.col("odds") >= least_odds).orderBy("p").collect()
+    model = ToxicityModel(_general_patterns({r.p: (r.t, r.odds) for r in rows}))
     return _calibrated(model, sample)
 
 
@@ -160,8 +171,7 @@ def _calibrated(model: ToxicityModel, sample: DataFrame) -> ToxicityModel:
         m = model.matcher()
         toxic, clean = Counter(), Counter()
         for b in batches:
-            for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                s = folded(text)
+            for s, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 got = set()
                 for at, _, _ in hits_of(s, m):
                     end = s.index(" ", at + 1)
@@ -169,22 +179,22 @@ def _calibrated(model: ToxicityModel, sample: DataFrame) -> ToxicityModel:
                         got.add(s[at : nxt + 1])
                     if (prev := s.rfind(" ", 0, at)) >= 0:
                         got.add(s[prev : end + 1])
-                (toxic if y else clean).update(got)
+                (toxic if y > 0 else clean).update(got)
         keys = list(toxic | clean)
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([toxic[p] for p in keys], pa.int64()), pa.array([clean[p] for p in keys], pa.int64())], ["p", "t", "c"])
 
-    seen = sample.select("text", "y").mapInArrow(phrases, "p string, t long, c long").groupBy("p").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    spared = seen.where("c >= 3 and t = 0").orderBy(F.desc("c"), "p").limit(1000).collect()
+    seen = sample.select("s", "y").mapInArrow(phrases, "p string, t long, c long").groupBy("p").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    spared = seen.where("c >= 3 and t = 0").orderBy("p").collect()
     model.exceptions = tuple(r.p for r in spared)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.matcher()
         for b in batches:
-            x = [density(folded(t), m, model.smooth_words)[0] for t in b.column(0).to_pylist()]
+            x = [density(s, m, model.smooth_words)[0] for s in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), b.column(1)], ["x", "y"])
 
-    points = sample.select("text", "y").mapInArrow(measure, "x double, y int").collect()
-    x, y = np.array([p.x for p in points]), np.array([float(p.y) for p in points])
+    points = sorted((p.x, float(p.y > 0)) for p in sample.select("s", "y").mapInArrow(measure, "x double, y int").collect())
+    x, y = np.array([p[0] for p in points]), np.array([p[1] for p in points])
     if not len(x) or y.min() == y.max():
         return model
     scale = max(float(np.median(x[y > 0])), 1e-6)
