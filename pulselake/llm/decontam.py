@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._store import LIGHT_BYTES, cut, light_bytes
 from ._text import case_folded, mix, pieces, span_hashes, word_spans
 
 _COEF = mix(np.arange(7001, 7001 + 64, dtype=np.uint64)) | np.uint64(1)
@@ -84,107 +85,114 @@ def _left(item: list[int], text: list[int], marked_i: bytearray, marked_t: bytea
     return any(tuple(item[i : i + s]) in have for i in range(len(item) - s + 1) if not any(marked_i[i : i + s]))
 
 
-class SeedIndex:
-    """Words of the items of one benchmark block, and the k-word seeds that lead to them."""
-
-    def __init__(self, rows: list[tuple], k: int):
-        buf, off = case_folded(pa.array([r[1] for r in rows], pa.string()))
-        with np.errstate(over="ignore"):
-            starts, ends, item = word_spans(buf, off)
-            words = span_hashes(buf, starts, ends)
-            grams = _windows(words, k)
-        ok = item[: len(grams)] == item[k - 1 : k - 1 + len(grams)]
-        at = np.flatnonzero(ok)
-        order = np.argsort(grams[at], kind="stable")
-        self.k, self.ids = k, [r[0] for r in rows]
-        self.seeds, self.seed_at = grams[at][order], at[order]
-        self.words, self.item = words, item
-        self.first = np.searchsorted(item, np.arange(len(rows) + 1))
-        self.filter = np.zeros(1 << 22, bool)
-        self.filter[(self.seeds >> np.uint64(42)).astype(np.int64)] = True
-
-
-def leaks_of(words: np.ndarray, grams: np.ndarray, index: SeedIndex, share: float) -> list[dict]:
-    """The items of which tiles in one text cover ``share`` of the words or more; grams: seed hashes at the text's positions."""
-    lo, hi = np.searchsorted(index.seeds, grams, "left"), np.searchsorted(index.seeds, grams, "right")
-    hit = np.flatnonzero(hi > lo)
-    if not len(hit):
-        return []
-    k = index.k
-    at = np.concatenate([index.seed_at[a:b] for a, b in zip(lo[hit], hi[hit])])
-    at = np.unique(at)
-    covered = np.zeros(len(index.words) + 1, np.int64)
-    np.add.at(covered, at, 1)
-    np.add.at(covered, at + k, -1)
-    covered = np.cumsum(covered)[:-1] > 0
-    text_at = np.zeros(len(words) + 1, np.int64)
-    np.add.at(text_at, hit, 1)
-    np.add.at(text_at, hit + k, -1)
-    inside = np.cumsum(text_at)[:-1] > 0
-    # the stretches of the text that hold seeds, apart from each other by a token that nothing equals
-    edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
-    text: list[int] = []
-    for a, b in zip(edges[::2], edges[1::2]):
-        text += [int(x) for x in words[a:b]] + [-1 - len(text)]
-    out = []
-    for i in np.unique(index.item[at]):
-        a, b = index.first[i], index.first[i + 1]
-        if covered[a:b].sum() < share * (b - a):
-            continue
-        tiles = greedy_tiles([int(x) for x in index.words[a:b]], text, k)
-        n = sum(t[2] for t in tiles)
-        if n >= share * (b - a):
-            out.append({"item_id": index.ids[i], "covered": n, "words": int(b - a), "coverage": n / (b - a), "tiles": len(tiles)})
-    return out
+def _words_of(column: pa.Array, k: int) -> tuple[np.ndarray, ...]:
+    """Word hashes of a text column, their k-word seeds, the n + 1 offsets of the texts' words."""
+    buf, off = case_folded(column)
+    starts, ends, row = word_spans(buf, off)
+    words = span_hashes(buf, starts, ends)
+    return words, _windows(words, k), np.searchsorted(row, np.arange(len(column) + 1))
 
 
-def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple]]:
-    """The rows (id, text) of the benchmark in blocks of about ``block_bytes``; each block alone is on the driver at a time."""
-    size = F.coalesce(F.octet_length(text_col), F.lit(0))
-    total, largest = benchmark.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.max(size), F.lit(0))).first()
-    n = max(1, -(-2 * total // block_bytes))
-    rows = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").distinct()
-    for i in range(n):
-        block = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == i) if n > 1 else rows
-        yield [tuple(r) for r in block.orderBy("id", "text").collect()]
+def benchmark_items(benchmark: DataFrame, least: int, id_col: str, text_col: str) -> DataFrame:
+    """(item, item_id, words, seeds) of every different row (id, text) of the benchmark with ``least`` words or more; the arrays hold hashes."""
+    kind = benchmark.schema[id_col].dataType.simpleString()
+    rows = benchmark.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text")).where("text is not null").distinct()
 
-
-LEAK = "array<struct<item_id:long,covered:long,words:long,coverage:double,tiles:long>>"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for b in pieces(batches, "text"):
+                words, grams, first = _words_of(b.column("text"), least)
+                spans = [(a, e) for a, e in zip(first, first[1:])]
+                ok = np.array([e - a >= least for a, e in spans], bool)
+                cols = [[words[a:e].view(np.int64) for a, e in spans if e - a >= least], [grams[a : e - least + 1].view(np.int64) for a, e in spans if e - a >= least]]
+                yield pa.RecordBatch.from_arrays([b.column("item_id").filter(pa.array(ok)), *(pa.array(c, pa.list_(pa.int64())) for c in cols)], ["item_id", "words", "seeds"])
+
+    return rows.mapInArrow(run, f"item_id {kind}, words array<long>, seeds array<long>").withColumn("item", F.monotonically_increasing_id())
+
+
+def seed_filter(items: DataFrame, most_bits: int) -> np.ndarray:
+    """Bitmap in which the top bits of every seed's hash are set: 64 bits for a seed, rounded up to a power of two, ``most_bits`` at most."""
+    seeds = items.select(F.explode("seeds").alias("g"))
+    n = seeds.count()
+    bits = min(most_bits, max(1 << 16, 1 << (64 * n).bit_length()))
+    place = f"shiftrightunsigned(g, {64 - (bits.bit_length() - 1)})"
+    rows = seeds.groupBy(F.expr(f"cast(shiftright({place}, 6) as int)").alias("at")).agg(F.expr(f"bit_or(shiftleft(1L, cast(pmod({place}, 64) as int)))").alias("set")).toArrow()
+    out = np.zeros(bits // 64, np.uint64)
+    out[rows.column("at").to_numpy()] = rows.column("set").to_numpy().view(np.uint64)
+    return out
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, least: int = 5, share: float = 0.5, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = 8 << 20, out_col: str = "leaks") -> DataFrame:
-    """``docs`` with ``out_col``: the benchmark items that the whole text leaks, by item id.
+def seeded_texts(docs: DataFrame, text_col: str, bitmap, k: int) -> DataFrame:
+    """(key, seeds, words) of the texts with seeds that pass the bitmap: the seeds, and the words of the stretches that hold them, apart from each other by a negative number."""
 
-    Case-folded words between ASCII spaces are compared, in normal form NFKC. Seeds of ``least`` shared words lead from a text to items;
-    greedy string tiling marks the longest matches first, so passages that were cut up and reordered
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = bitmap.value
+        shift = np.uint64(64 - (len(bits).bit_length() + 5))
+        with np.errstate(over="ignore"):
+            for b in pieces(batches, text_col):
+                words, grams, first = _words_of(b.column(text_col), k)
+                place = grams >> shift
+                maybe = np.flatnonzero((bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1))
+                row = np.searchsorted(first, maybe, "right") - 1
+                fits = maybe + k <= first[1:][row]
+                maybe, row = maybe[fits], row[fits]
+                out: list[tuple] = []
+                for r in np.unique(row):
+                    hit = maybe[row == r]
+                    edge = np.flatnonzero(np.diff(hit) > k) + 1
+                    parts: list[np.ndarray] = []
+                    for h in np.split(hit, edge):
+                        parts += [(words[h[0] : h[-1] + k] >> np.uint64(1)).view(np.int64), np.array([-1 - len(parts)])]
+                    out.append((r, np.unique(grams[hit]).view(np.int64), np.concatenate(parts)))
+                rows, seeds, kept = zip(*out) if out else ((), (), ())
+                yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(rows, pa.int64())), pa.array(seeds, pa.list_(pa.int64())), pa.array(kept, pa.list_(pa.int64()))], ["key", "seeds", "words"])
+
+    found = docs.select(F.unhex(F.md5(F.col(text_col).cast("binary"))).alias("key"), text_col).where(F.col(text_col).isNotNull())
+    return found.mapInArrow(run, "key binary, seeds array<long>, words array<long>").dropDuplicates(["key"])
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, least: int = 5, share: float = 0.5, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", out_col: str = "leaks", most_bits: int = 1 << 27) -> DataFrame:
+    """``docs`` with ``out_col``: the benchmark items that the whole text leaks, by item id (of the benchmark's own type).
+
+    Case-folded words between ASCII spaces are compared, in normal form NFKC. Texts and items meet by join on their shared seeds of
+    ``least`` words; greedy string tiling marks the longest matches first, so passages that were cut up and reordered
     still count; an item leaks if tiles of ``least`` words or more cover ``share`` of its words. Items of fewer than
-    ``least`` words can't be told from chance and never leak. The benchmark is taken in blocks of ``block_bytes``, each sent to the
-    tasks in turn, so it may be of any size; documents are neither shuffled nor gathered. Null and empty texts have no
-    leaks; repeated rows and null ids pass through; an ``out_col`` that ``docs`` has already is replaced.
+    ``least`` words can't be told from chance and never leak. Equal texts are tiled once. The tasks get a bitmap of the seeds of ``most_bits``
+    at most, which lets chance seeds pass where the benchmark is large; the join drops those. Null and empty texts have no
+    leaks; repeated rows, repeated item ids and null ids pass through; an ``out_col`` that ``docs`` has already is replaced.
     """
+    kind = benchmark.schema[item_col].dataType
+    leak = T.StructType([T.StructField("item_id", kind), *(T.StructField(c, t) for c, t in (("covered", T.LongType()), ("words", T.LongType()), ("coverage", T.DoubleType()), ("tiles", T.LongType())))])
     docs = docs.drop(out_col)
-    docs = docs.withColumn(out_col, F.array().cast(LEAK))
-    schema = T.StructType(docs.schema.fields)
-    arrow_leak = pa.list_(pa.struct([("item_id", pa.int64()), ("covered", pa.int64()), ("words", pa.int64()), ("coverage", pa.float64()), ("tiles", pa.int64())]))
-    for rows in benchmark_blocks(benchmark, item_col, item_text, block_bytes):
-        index = docs.sparkSession.sparkContext.broadcast(SeedIndex(rows, least))
-
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            ix = index.value
-            with np.errstate(over="ignore"):
-                for b in pieces(batches, text_col):
-                    buf, off = case_folded(b.column(text_col))
-                    starts, ends, row = word_spans(buf, off)
-                    words = span_hashes(buf, starts, ends)
-                    grams = _windows(words, ix.k)
-                    maybe = np.flatnonzero(ix.filter[(grams >> np.uint64(42)).astype(np.int64)])
-                    first = np.searchsorted(row, np.arange(b.num_rows + 1))
-                    old = b.column(out_col).to_pylist()
-                    for r in np.unique(row[maybe]):
-                        a, e = first[r], first[r + 1]
-                        if e - a >= ix.k:
-                            old[r] = (old[r] or []) + leaks_of(words[a:e], grams[a : e - ix.k + 1], ix, share)
-                    yield b.set_column(b.schema.get_field_index(out_col), out_col, pa.array(old, arrow_leak))
-
-        docs = docs.mapInArrow(run, schema)
-    return docs
+    items = cut(benchmark_items(benchmark, least, item_col, item_text), "items")
+    bitmap = docs.sparkSession.sparkContext.broadcast(seed_filter(items, most_bits))
+    texts = cut(seeded_texts(docs, text_col, bitmap, least), "seeded")
+    seeds = items.select("item", F.explode("seeds").alias("g")).groupBy("item", "g").agg(F.count("*").alias("c"))
+    # tiles of `least` words, the shortest, have one seed each
+    needed = items.select("item", F.ceil(F.size("words") * share / least).alias("needed"))
+    pairs = texts.select("key", F.explode("seeds").alias("g")).join(seeds, "g").groupBy("key", "item").agg(F.sum("c").alias("c"))
+    pairs = pairs.join(needed, "item").where("c >= needed").select("key", "item")
+    both = pairs.join(items.select("item", "item_id", F.col("words").alias("item_words")), "item").join(texts.select("key", "words"), "key")
+
+    def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 200):
+                part = b.slice(at, 200)
+                rows, out = [], []
+                for r, (item, text) in enumerate(zip(part.column("item_words").to_pylist(), part.column("words").to_pylist())):
+                    tiles = greedy_tiles([(x & 0xFFFFFFFFFFFFFFFF) >> 1 for x in item], text, least)
+                    n = sum(t[2] for t in tiles)
+                    if n >= share * len(item):
+                        rows.append(r)
+                        out.append((n, len(item), n / len(item), len(tiles)))
+                cols = list(zip(*out)) or [[]] * 4
+                kept = part.take(pa.array(rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays([kept.column("key"), kept.column("item_id"), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64())))], ["key", *leak.names])
+
+    tiled = both.select("key", "item_id", "item_words", "words").mapInArrow(tile, T.StructType([T.StructField("key", T.BinaryType()), *leak.fields]))
+    found = cut(tiled.groupBy(F.col("key").alias("__key")).agg(F.array_sort(F.collect_list(F.struct(*leak.names))).alias("__found")), "leaks")
+    sized = found.select("__key", F.to_json("__found").alias("t"))
+    if light_bytes(sized) <= LIGHT_BYTES:
+        found = F.broadcast(found)
+    out = docs.join(found, F.unhex(F.md5(docs[text_col].cast("binary"))) == F.col("__key"), "left")
+    return out.select(*(docs[c] for c in docs.columns), F.coalesce("__found", F.array().cast(T.ArrayType(leak))).alias(out_col))

@@ -78,6 +78,26 @@ def test_toxicity_learns_stems_words_and_exceptions(spark):
     assert score_toxicity(d.limit(0), model).count() == 0
 
 
+def test_toxicity_model_does_not_hang_on_partitions(spark):
+    docs, labels = toxic_corpus(200)
+    d = spark.createDataFrame(docs + docs[:90] + [(1, "zugnak of another text")], DOC)
+    y = spark.createDataFrame(labels + labels[:20], "doc_id long, quality int, toxic int")
+    models = [fit_toxicity(d.repartition(n), y.repartition(3)) for n in (1, 4, 16)]
+    assert models[0] == models[1] == models[2] and models[0].weights and models[0].slope > 0
+    bounded = [fit_toxicity(d.repartition(n), y, most=60) for n in (2, 5)]
+    assert bounded[0] == bounded[1]
+
+
+def test_spared_stretches_equal_a_plain_test():
+    rnd = random.Random(3)
+    m = ToxicityModel({" ab ": 1.0, " b": 0.5, " cab": 2.0}, (" ab b ", " b ab ", " a cab ", " cab cab "))
+    for _ in range(300):
+        s = " " + " ".join(rnd.choice(["a", "b", "ab", "cab", "cabs"]) for _ in range(rnd.randint(1, 14))) + " "
+        spared = [(i, i + len(p) - 1) for p in m.exceptions for i in range(len(s)) if s.startswith(p, i)]
+        want = [(i, *max(((p, w) for p, w in m.weights.items() if s.startswith(p, i)), key=lambda x: x[1])) for i in range(len(s)) if any(s.startswith(p, i) for p in m.weights) and not any(a <= i < b for a, b in spared)]
+        assert hits_of(s, m.matcher()) == want
+
+
 def test_projected_gradient_meets_targets_with_nonnegative_rates(spark):
     rnd = random.Random(2)
     rows = [(i, rnd.randint(1, 500), [p := rnd.random(), 1 - p]) for i in range(200)]
@@ -202,8 +222,8 @@ def test_tiles_against_plain_greedy():
             assert item[i : i + n] == text[j : j + n] and n >= 3
 
 
-@pytest.mark.parametrize("block_bytes", [8 << 20, 300])
-def test_leaks_whole_reordered_and_clean(spark, block_bytes):
+@pytest.mark.parametrize("most_bits", [1 << 27, 1 << 8])
+def test_leaks_whole_reordered_and_clean(spark, most_bits):
     rnd = random.Random(7)
     items = [" ".join(f"b{rnd.randrange(900)}" for _ in range(40)) for _ in range(8)]
     noise = lambda n: " ".join(f"n{rnd.randrange(900)}" for _ in range(n))
@@ -212,7 +232,7 @@ def test_leaks_whole_reordered_and_clean(spark, block_bytes):
     rows = [(0, f"{noise(50)} {items[0].upper()} {noise(9)}"), (1, f"{noise(30)} {moved}"), (2, noise(200)), (3, " ".join(items[2].split()[:12]) + noise(40)), (4, None), (5, ""), (None, items[3]), (None, items[3])]
     d = spark.createDataFrame([(*r, "x") for r in rows], DOC + ", leaks string")
     b = spark.createDataFrame(list(enumerate(items)) + [(90, None), (91, "too short"), (92, "")], "item_id long, text string")
-    got = sorted((str(r.doc_id), [x.item_id for x in r.leaks]) for r in find_leaks(d, b, block_bytes=block_bytes).collect())
+    got = sorted((str(r.doc_id), [x.item_id for x in r.leaks]) for r in find_leaks(d, b, most_bits=most_bits).collect())
     assert got == [("0", [0]), ("1", [1]), ("2", []), ("3", []), ("4", []), ("5", []), ("None", [3]), ("None", [3])]
     assert find_leaks(d.limit(0), b).count() == 0 and find_leaks(d, b.limit(0)).where("size(leaks) > 0").count() == 0
 
@@ -228,6 +248,24 @@ def test_leaks_in_other_case_with_accents(spark):
     assert got == {0: [(5, 1.0)], 1: [(5, 1.0)], 2: [(5, 1.0)], 3: []}
 
 
+def test_leaks_of_named_items_in_odd_tables(spark):
+    """Item ids of any type, repeated ids and rows, clashing names, a very long text, against tiles of every pair."""
+    rnd = random.Random(9)
+    word = lambda: f"q{rnd.randrange(60)}"
+    items = [("a", " ".join(word() for _ in range(12))), ("b", " ".join(word() for _ in range(9))), ("b", " ".join(word() for _ in range(30)))]
+    items.append(("c", items[0][1] + " " + items[1][1]))
+    texts = [" ".join(word() for _ in range(rnd.randint(0, 60))) for _ in range(30)]
+    texts += [items[2][1], items[3][1] + " tail", items[1][1] + " z " + items[0][1], " ".join(word() for _ in range(30_000)) + " " + items[0][1], items[0][1]]
+    rows = [(None if i % 7 == 0 else 1, t, "x", "y") for i, t in enumerate(texts + texts[-5:])]
+    d = spark.createDataFrame(rows, "doc_id long, text string, item_id string, key string")
+    got = sorted((r.text, tuple((x.item_id, x.covered, x.words) for x in r.leaks)) for r in find_leaks(d, spark.createDataFrame(items * 2, "item_id string, text string"), least=3, share=0.5).collect())
+    want = []
+    for _, t, *_ in rows:
+        all_tiles = [(i, sum(x[2] for x in greedy_tiles([hash(w) for w in q.split()], [hash(w) for w in t.split()], 3)), len(q.split())) for i, q in items]
+        want.append((t, tuple(sorted(x for x in all_tiles if x[1] >= 0.5 * x[2]))))
+    assert [(t, tuple(i for i, *_ in x)) for t, x in got] == [(t, tuple(i for i, *_ in x)) for t, x in sorted(want)]
+
+
 def test_trees_learn_an_interaction():
     rnd = np.random.default_rng(0)
     x = rnd.random((1500, 3))
