@@ -43,3 +43,16 @@ sums as (select doc_id, count_if(nw > 0) as n_lines, count_if(nw > 0) - count(di
 base as (select d.doc_id, len(ws)::bigint as n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::bigint as word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint as n_symbols, coalesce(r.n, 0)::bigint as n_repeat_words from d left join repeats r using (doc_id))
 select doc_id, n_words, word_chars, n_symbols, dup::bigint as n_dup_lines, n_repeat_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
   not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and lost <= 0.30::double * total as kept, n_lines::bigint as n_lines, n_bad::bigint as n_failed_lines, lost::bigint as lost_chars, sha256(coalesce(clean, '')) as clean_sha256 from base join sums using (doc_id)"""
+
+ORACLE["op6_bin_packing"] = """
+with recursive bits(n, v, round) as (select range, range, 0 from range(256) union all select n, case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end, round + 1 from bits where round < 8),
+tab as (select list(v order by n) as t from bits where round = 8),
+d as (select doc_id, coalesce(octet_length(encode(text)), 0) + 1 as size, text, coalesce(sha256(text), '04f8ff2682604862e405bf88de102ed7710ac45c1205957625e4ee3e5f5a2241') as k from documents),
+g as (select k, sum(size)::bigint as bytes, row_number() over (order by sum(size) desc, k) as i from d group by k),
+cap as (select ceil(sum(bytes) / 8.0)::bigint as c from g),
+r as (select 0::bigint as i, [c, c, c, c, c, c, c, c] as left_, 0 as shard from cap union all
+  select i, list_transform(left_, lambda x, p: case when p = pos_ then x - bytes else x end), pos_::int - 1 from (
+    select g.i, g.bytes, r.left_, case when list_max(r.left_) >= g.bytes then list_position(r.left_, list_min(list_filter(r.left_, lambda x: x >= g.bytes)))
+      else 9 - list_position(list_reverse(r.left_), list_max(r.left_)) end as pos_ from r join g on g.i = r.i + 1)),
+p as (select d.*, r.shard from d join g using (k) join r using (i))
+select doc_id, size::bigint as size, coalesce(xor(list_reduce(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::bigint), lambda a, b: xor(t[(xor(a, b) & 255) + 1], a >> 8), 4294967295::bigint), 4294967295), 0)::bigint as text_crc32, 'bytes' as law, shard::int as shard, row_number() over (partition by shard order by sha256(concat_ws(' ', k, doc_id::varchar))) - 1 as slot, null::int as grown_shard from p, tab"""

@@ -160,18 +160,36 @@ def test_runs_of_alike_groups_equal_one_by_one_best_fit():
     for _ in range(40):
         sizes = sorted((rnd.choice([1, 2, 3, 5, 8, 40, 90]) for _ in range(rnd.randint(1, 60))), reverse=True)
         capacities = [-(-sum(sizes) // 4)] * 4
-        lines = [(s, 0, sizes.count(s)) for s in sorted(set(sizes), reverse=True)]
-        left = [c for c in capacities]
-        for s, _, a, b, i in best_fit_runs(lines, capacities):
-            left[i] -= s * (b - a + 1)
-        assert sorted(left) == sorted(naive_best_fit(sizes, capacities)[1])
-
-
-def test_tree_gives_tightest_bin():
+        lines = [(s, sizes.count(s)) for s in sorted(set(sizes), reverse=True)]
+        got = [i + k // each for _, a, b, each, i in best_fit_runs(lines, capacities[0], 4) for k in range(b - a + 1)]
+        assert got == naive_best_fit(sizes, capacities)[0]
+        left, want = [], []
+        for s in sizes:  # bins are opened on demand
+            fits = [(c, i) for i, c in enumerate(left) if c >= s]
+            c, i = min(fits) if fits else (50, len(left))
+            if not fits:
+                left.append(50)
+            left[i] -= s
+            want.append(i)
+        assert [i + k // each for _, a, b, each, i in best_fit_runs(lines, 50, None) for k in range(b - a + 1)] == want
+
+
+def test_tree_gives_tightest_bin_and_stays_balanced():
     t = RemainingTree([10, 4, 7])
-    assert t.tightest(5) == (7, 2) and t.tightest(4) == (4, 1) and t.tightest(99) == (10, 0)
+    assert t.tightest(5) == (7, 2) and t.tightest(4) == (4, 1) and t.tightest(99) is None and t.emptiest() == (10, 0)
     t.put(7, 2, 5)
     assert t.tightest(1) == (2, 2)
+    rnd, plain = random.Random(5), [1000] * 300
+    t = RemainingTree(plain)
+    for _ in range(3000):
+        s = rnd.randint(1, 60)
+        fits = [(c, i) for i, c in enumerate(plain) if c >= s]
+        assert t.tightest(s) == (min(fits) if fits else None)
+        if fits:
+            c, i = min(fits)
+            t.put(c, i, s)
+            plain[i] -= s
+    assert t.root[3] <= 1.45 * np.log2(302) and not RemainingTree().tightest(1)
 
 
 def test_pack(spark):
@@ -191,6 +209,11 @@ def test_pack(spark):
     assert all(len(v) == 1 for v in groups.values())
     loads = [sum(r.size for r in by.get(s, [])) for s in range(8)]
     assert max(loads) - min(loads) <= 200
+    few = pack(d, None, 5000).collect()
+    by_shard = {}
+    for r in few:
+        by_shard[r.shard] = by_shard.get(r.shard, 0) + r.size
+    assert max(by_shard.values()) <= 5000 and len(by_shard) == max(by_shard) + 1 <= -(-sum(by_shard.values()) // 5000) + 1
     assert pack(d.limit(0), 8).count() == 0
 
 
