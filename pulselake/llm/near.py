@@ -109,7 +109,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, how: Banding) -> DataFrame:
 
 
 def near_classes(units: DataFrame, how: Banding = Banding(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(uid, n, component) for every row of ``units``; rows with equal shingle sets are one node.
+    """(uid, n, component, members) for every row of ``units``; rows with equal shingle sets are one node.
 
     Candidates share a band key, pass a length test and the odd-sketch screen, and are confirmed on the full sets;
     see ``linked_classes``. Null and empty texts and texts without words have n = 0 and link with nothing.
@@ -124,29 +124,32 @@ def _light(df: DataFrame) -> DataFrame:
 
 
 def linked_classes(sig: DataFrame, source: DataFrame, features: list[str], alike, confirmed, own, screen, by_place: bool = True, turns: int = 1) -> DataFrame:
-    """(uid, n, component) for every row of ``sig(uid, n, set_key, features...)``; the feature ``bands`` is the array of a row's keys, each of a band of its own if ``by_place``, else a set of any size.
+    """(uid, n, component, members) for every row of ``sig(uid, n, set_key, features...)``; the feature ``bands`` is the array of a row's keys, each of a band of its own if ``by_place``, else a set of any size.
 
-    Rows with one ``set_key`` are one node. First every node of a bucket (one band key) is
+    Rows with one ``set_key`` are one node; only nodes that have a key in common with another one go on. First every node of a bucket (one band key) is
     paired with the bucket's smallest node; then, in buckets that still hold several components, with a pseudo-random
     one, for ``turns`` turns at most or until few pairs are open; at last all open pairs, those of nodes in
     different components. ``alike(a, b)`` screens pairs by the columns with these prefixes; ``confirmed(pairs, texts)``
     keeps the true ones by whole texts of ``source(uid, text)``, of which ``own`` drops those that aren't
     the node's; ``screen`` is for the last step: a function of the nodes' rows and of a way to fetch their texts that gives (node, fine) bitmaps, the percent that the smaller n must have of the larger
     one, and the most bits that may differ. So a bucket of one group costs about as many pairs as it has members, and no link between different
-    components is passed over. ``component`` is the smallest uid reachable over links, the row's own included.
+    components is passed over. ``component`` is the smallest uid reachable over links, the row's own included; ``members`` counts the component's rows.
 
     Rows with n = 0 link with nothing; a null uid never becomes a component's id
     unless the component has no other; repeated rows and ids are rows of their own; an empty table gives an empty one.
     """
     sig = cut(sig.withColumn("row", F.monotonically_increasing_id()), "signatures")
-    keyed = sig.where("n > 0").groupBy("set_key").agg(F.min("row").alias("node"), F.min("uid").alias("least"))
-    keyed = cut(keyed, "nodes")
-    reps = cut(sig.join(keyed.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "uid", *features), "reps")
+    keyed = cut(sig.where("n > 0").groupBy("set_key").agg(F.min("row").alias("node"), F.min("uid").alias("least"), F.count("*").alias("c")), "nodes")
+    spread = sig.where("n > 0").select("set_key", F.explode("bands").alias("key"))
+    # a key is shared if two sets have it; sets are told apart by 64 bits of their fingerprint here
+    shared = spread.groupBy("key").agg(F.min(F.xxhash64("set_key")).alias("x"), F.max(F.xxhash64("set_key")).alias("y")).where("x <> y").select("key")
+    touched = cut(spread.join(_light(cut(shared, "shared")), "key").distinct(), "touched")
+    inside = _light(cut(touched.select("set_key").distinct(), "sets"))
+    reps = _light(cut(keyed.join(inside, "set_key").select("node", "set_key"), "touched-nodes"))
+    crowd = cut(touched.join(reps, "set_key").select("key", "node"), "crowd")
+    reps = cut(sig.join(reps.select(F.col("node").alias("row")), "row").select(F.col("row").alias("node"), "uid", "set_key", *features), "reps")
     sketches = reps.select("node", *(c for c in features if c != "bands"))
-    buckets = reps.select("node", F.explode("bands").alias("key"))
-    shared = cut(buckets.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count("*").alias("c")).where("c > 1"), "buckets")
-    crowd = cut(buckets.join(_light(shared.where("c > 2").select("key", "a")), "key"), "crowd")
-    pairs = shared.select("a", F.col("z").alias("b")).union(crowd.where("node <> a").select("a", F.col("node").alias("b"))).distinct()
+    pairs = crowd.join(_light(cut(crowd.groupBy("key").agg(F.min("node").alias("a")), "smallest")), "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
 
     def screened(p: DataFrame) -> DataFrame:
         x = sketches.select(F.col("node").alias("a"), *(F.col(c).alias(f"a_{c}") for c in sketches.columns[1:]))
@@ -157,10 +160,9 @@ def linked_classes(sig: DataFrame, source: DataFrame, features: list[str], alike
 
     def fetch(nodes: DataFrame) -> DataFrame:
         """(node, text) of these nodes: what is asked for goes to the scan if it is little, else both sides are shuffled."""
-        wanted = nodes.distinct().join(reps.select("node", "uid"), "node").join(keyed.select("node", "set_key"), "node")
-        wanted = _light(cut(wanted, "wanted"))
+        wanted = _light(cut(reps.join(nodes.distinct(), "node", "left_semi").select("node", "uid", "set_key"), "wanted"))
         found = source.join(wanted, source.uid.eqNullSafe(wanted.uid)).select("node", "set_key", "text")
-        return cut(own(found), "texts")
+        return cut(own(found).dropDuplicates(["node"]), "texts")
 
     def ends(p: DataFrame) -> DataFrame:
         return p.select(F.col("a").alias("node")).union(p.select("b"))
@@ -170,19 +172,20 @@ def linked_classes(sig: DataFrame, source: DataFrame, features: list[str], alike
 
     tested = pairs
     for turn in range(turns + 1):
-        inside = crowd.select("key", "node").join(roots.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        shares = inside.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("own"))
+        held = crowd.join(_light(roots.withColumnRenamed("id", "node")), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        shares = held.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("own"))
         mixed = cut(shares.where("m * m > own").select("key", "m", ((F.col("m") * F.col("m") - F.col("own")) / 2).alias("open")), "mixed")
         left = mixed.agg(F.coalesce(F.sum("open"), F.lit(0.0)), F.coalesce(F.sum("m"), F.lit(0))).first()
         if not left[0]:
             break
         last = turn == turns or left[0] <= 4 * left[1]
+        members = cut(held.join(_light(mixed.select("key", "m")), "key"), "members")
+        wanted = _light(cut(members.select("node").distinct(), "open"))
         if last:
-            members = inside.join(mixed.select("key", "m"), "key")
-            fine = screen[0](reps.join(members.select("node").distinct(), "node", "left_semi"), fetch)
-            across = open_pairs(members.join(fine, "node").join(reps.select("node", "n", "bands"), "node"), *screen[1:], by_place)
+            some = reps.join(wanted, "node")
+            across = open_pairs(members.join(screen[0](some, fetch), "node").join(some.select("node", "n", "bands"), "node"), *screen[1:], by_place)
         else:
-            members = cut(inside.join(mixed.select("key"), "key", "left_semi").join(sketches, "node"), "members")
+            members = members.drop("m").join(sketches.join(wanted, "node"), "node")
             chance = F.xxhash64("node", F.lit(turn))
             centre = members.groupBy("key").agg(F.min(chance).alias("chance"))
             named = [c for c in members.columns if c != "key"]
@@ -197,11 +200,15 @@ def linked_classes(sig: DataFrame, source: DataFrame, features: list[str], alike
         if last:
             break
 
-    named = keyed.join(roots.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("least").alias("component"))
-    named = named.join(least, "root").select("set_key", "component")
-    out = sig.select("uid", "n", F.when(F.col("n") > 0, F.col("set_key")).alias("set_key")).join(named, "set_key", "left")
-    return out.select("uid", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("uid")).alias("component"))
+    # what stands alone needs no class: its row is its own
+    named = keyed.join(_light(roots.withColumnRenamed("id", "node")), "node", "left")
+    several = named.where("root is not null").groupBy("root").agg(F.min("least").alias("component"), F.sum("c").alias("members"))
+    linked = named.where("root is not null").join(several, "root").select("set_key", "component", "members")
+    alone = named.where("root is null and c > 1").select("set_key", F.col("least").alias("component"), F.col("c").alias("members"))
+    classes = _light(cut(linked.union(alone), "classes"))
+    out = sig.select("uid", "n", F.when(F.col("n") > 0, F.col("set_key")).alias("set_key")).join(classes, "set_key", "left")
+    own_row = F.col("members").isNull()
+    return out.select("uid", "n", F.when(own_row, F.col("uid")).otherwise(F.col("component")).alias("component"), F.when(own_row, 1).otherwise(F.col("members")).alias("members"))
 
 
 def _alike(how: Banding, a: str, b: str):

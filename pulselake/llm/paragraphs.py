@@ -40,9 +40,7 @@ def repeated_paragraphs(docs: DataFrame, how: Banding | None = None, min_words:
     """
     units = paragraphs_of(docs, id_col, text_col).where(token_count(F.col("text")) >= min_words)
     found = near_classes(units, how or tuned(), "uid", "text")
-    sizes = found.groupBy("component").agg(F.count("*").alias("members")).where("members > 1")
-    found = found.join(sizes, "component", "left").select("uid", "component", "members")
-    return found.select(F.col("uid.id").alias(id_col), F.col("uid.pos").alias("pos"), "component", F.col("members").isNotNull().alias("repeated"), (F.col("members").isNotNull() & (F.col("uid") != F.col("component"))).alias("removed"))
+    return found.select(F.col("uid.id").alias(id_col), F.col("uid.pos").alias("pos"), "component", (F.col("members") > 1).alias("repeated"), (~F.col("uid").eqNullSafe(F.col("component"))).alias("removed"))
 
 
 def without_repeats(docs: DataFrame, how: Banding | None = None, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
