@@ -115,7 +115,14 @@ def near_classes(units: DataFrame, how: Banding = Banding(), id_col: str = "doc_
     see ``linked_classes``. Null and empty texts and texts without words have n = 0 and link with nothing.
     """
     source = units.select(F.col(id_col).alias("uid"), F.col(text_col).alias("text"))
-    return linked_classes(signatures(units, how, id_col, text_col), source, ["n", "bands", "s0", "s1", "s2", "s3"], lambda a, b: _alike(how, a, b), lambda pairs, texts: confirm(pairs, texts, how), lambda texts: _only_own(texts, how), (lambda nodes, fetch: fine_sketches(fetch(nodes.select("node")), how), how.percent, fine_limit(how.percent)))
+
+    def finish(members: DataFrame, nodes: DataFrame, fetch) -> DataFrame:
+        texts = fetch(nodes.select("node"))
+        fine = fine_sketches(texts, how)
+        pairs = cut(open_pairs(members.join(fine, "node").join(nodes.select("node", "n", "bands"), "node"), how.percent, fine_limit(how.percent)), "open-pairs")
+        return confirm(pairs, texts, how)
+
+    return linked_classes(signatures(units, how, id_col, text_col), source, ["n", "bands", "s0", "s1", "s2", "s3"], lambda a, b: _alike(how, a, b), lambda pairs, texts: confirm(pairs, texts, how), lambda texts: _only_own(texts, how), finish)
 
 
 def _light(df: DataFrame) -> DataFrame:
@@ -123,16 +130,15 @@ def _light(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if light_bytes(df) <= LIGHT_BYTES else df
 
 
-def linked_classes(sig: DataFrame, source: DataFrame, features: list[str], alike, confirmed, own, screen, by_place: bool = True, turns: int = 1) -> DataFrame:
-    """(uid, n, component, members) for every row of ``sig(uid, n, set_key, features...)``; the feature ``bands`` is the array of a row's keys, each of a band of its own if ``by_place``, else a set of any size.
+def linked_classes(sig: DataFrame, source: DataFrame, features: list[str], alike, confirmed, own, finish, turns: int = 1) -> DataFrame:
+    """(uid, n, component, members) for every row of ``sig(uid, n, set_key, features...)``; the feature ``bands`` is the array of a row's band keys.
 
     Rows with one ``set_key`` are one node; only nodes that have a key in common with another one go on. First every node of a bucket (one band key) is
     paired with the bucket's smallest node; then, in buckets that still hold several components, with a pseudo-random
     one, for ``turns`` turns at most or until few pairs are open; at last all open pairs, those of nodes in
     different components. ``alike(a, b)`` screens pairs by the columns with these prefixes; ``confirmed(pairs, texts)``
     keeps the true ones by whole texts of ``source(uid, text)``, of which ``own`` drops those that aren't
-    the node's; ``screen`` is for the last step: a function of the nodes' rows and of a way to fetch their texts that gives (node, fine) bitmaps, the percent that the smaller n must have of the larger
-    one, and the most bits that may differ. So a bucket of one group costs about as many pairs as it has members, and no link between different
+    the node's; ``finish(members, nodes, fetch)`` gives the links among open pairs in the last step, from (key, m, node, root) and the nodes' rows. So a bucket of one group costs about as many pairs as it has members, and no link between different
     components is passed over. ``component`` is the smallest uid reachable over links, the row's own included; ``members`` counts the component's rows.
 
     Rows with n = 0 link with nothing; a null uid never becomes a component's id
@@ -182,23 +188,21 @@ def linked_classes(sig: DataFrame, source: DataFrame, features: list[str], alike
         members = cut(held.join(_light(mixed.select("key", "m")), "key"), "members")
         wanted = _light(cut(members.select("node").distinct(), "open"))
         if last:
-            some = reps.join(wanted, "node")
-            across = open_pairs(members.join(screen[0](some, fetch), "node").join(some.select("node", "n", "bands"), "node"), *screen[1:], by_place)
-        else:
-            members = members.drop("m").join(sketches.join(wanted, "node"), "node")
-            chance = F.xxhash64("node", F.lit(turn))
-            centre = members.groupBy("key").agg(F.min(chance).alias("chance"))
-            named = [c for c in members.columns if c != "key"]
-            x = members.join(centre, "key").where(chance == F.col("chance")).select("key", *(F.col(c).alias(f"a_{c}") for c in named))
-            y = members.select("key", *(F.col(c).alias(f"b_{c}") for c in named))
-            across = x.join(y, "key").where((F.col("a_root") != F.col("b_root")) & alike("a_", "b_"))
-            across = across.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
+            links = links.union(cut(finish(members, cut(reps.join(wanted, "node"), "open-nodes"), fetch), "confirmed"))
+            roots = cut(components(links), "roots")
+            break
+        members = members.drop("m").join(sketches.join(wanted, "node"), "node")
+        chance = F.xxhash64("node", F.lit(turn))
+        centre = members.groupBy("key").agg(F.min(chance).alias("chance"))
+        named = [c for c in members.columns if c != "key"]
+        x = members.join(centre, "key").where(chance == F.col("chance")).select("key", *(F.col(c).alias(f"a_{c}") for c in named))
+        y = members.select("key", *(F.col(c).alias(f"b_{c}") for c in named))
+        across = x.join(y, "key").where((F.col("a_root") != F.col("b_root")) & alike("a_", "b_"))
+        across = across.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
         across = cut(across.join(tested, ["a", "b"], "left_anti"), "across")
         links = links.union(cut(confirmed(across, fetch(ends(across))), "confirmed"))
         roots = cut(components(links), "roots")
         tested = tested.union(across)
-        if last:
-            break
 
     # what stands alone needs no class: its row is its own
     named = keyed.join(_light(roots.withColumnRenamed("id", "node")), "node", "left")
@@ -257,62 +261,69 @@ def fine_limit(percent: int):
 BLOCK = 8192
 
 
-def open_pairs(members: DataFrame, percent: int, most, by_place: bool = True) -> DataFrame:
-    """(a, b) of ``members(key, m, node, root, n, bands, fine)`` in one bucket, of different roots, that the screen lets through.
+def in_blocks(members: DataFrame, compare, schema: str) -> DataFrame:
+    """The batches that ``compare`` makes of ``members(key, m, node, …)``: of a bucket's rows at once (a pa.Table with ``own``, the row's block, and i and j, the blocks that meet).
 
-    A pair comes from the first bucket that it shares only. Buckets of more than BLOCK members are cut into blocks, and every
-    two blocks meet in a task of their own, so that no task holds more than two blocks.
+    Buckets of more than BLOCK members are cut into blocks, and every two blocks meet in a task of their own, so that no task holds more than two blocks.
     """
     k = F.ceil(F.col("m") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), k).cast("int")
     other = F.explode(F.sequence(F.lit(0), k - 1))
     spread = members.withColumn("k", k).withColumn("own", own).withColumn("other", other)
-    spread = spread.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "n", "bands", "fine")
-
-    def compare(rows: list[pa.Table]) -> pa.RecordBatch:
-        t = pa.concat_tables(rows)
-        key, i, j = (t.column(c)[0].as_py() for c in ("key", "i", "j"))
-        node, root, n, own = (t.column(c).to_numpy() for c in ("node", "root", "n", "own"))
-        keys = [np.unique(x) if not by_place else np.array(x, np.int64) for x in t.column("bands").to_pylist()]
-        bands = np.stack([np.pad(x, (0, max(map(len, keys)) - len(x)), mode="edge") for x in keys])
+    spread = spread.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", *(c for c in members.columns if c not in ("key", "m")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, mark = [], None
+        with np.errstate(over="ignore"):
+            for b in batches:
+                marks = np.stack([b.column(c).to_numpy() for c in ("key", "i", "j")], 1)
+                edges = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(1)) + 1), b.num_rows] if b.num_rows else [0]
+                for x, y in zip(edges, edges[1:]):
+                    if held and tuple(marks[x]) != mark:
+                        yield compare(pa.concat_tables(held))
+                        held = []
+                    mark = tuple(marks[x])
+                    held.append(pa.Table.from_batches([b.slice(x, y - x)]))
+            if held:
+                yield compare(pa.concat_tables(held))
+
+    return spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, schema)
+
+
+def meeting(t: pa.Table, percent: int, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of a bucket or of two of its blocks, of different roots and with sizes ``n`` that allow the similarity; every pair of nodes once. ``width``: bytes that the caller needs for a pair."""
+    node, root, n, own = (t.column(c).to_numpy() for c in ("node", "root", "n", "own"))
+    apart = t.column("i")[0].as_py() != t.column("j")[0].as_py()
+    step = max(1, (16 << 20) // (len(node) * width))
+    for at in range(0, len(node), step):
+        r = slice(at, at + step)
+        ok = (root[r, None] != root[None, :]) & (node[r, None] < node[None, :])
+        if apart:
+            ok &= own[r, None] != own[None, :]
+        ok &= np.minimum(n[r, None], n[None, :]) * 100 >= np.maximum(n[r, None], n[None, :]) * percent
+        x, y = np.nonzero(ok)
+        yield x + at, y
+
+
+def open_pairs(members: DataFrame, percent: int, most) -> DataFrame:
+    """(a, b) of ``members(key, m, node, root, n, bands, fine)`` in one bucket, of different roots, that the screen lets through; a pair comes from the first bucket that it shares only."""
+
+    def compare(t: pa.Table) -> pa.RecordBatch:
+        key, node, n = t.column("key")[0].as_py(), t.column("node").to_numpy(), t.column("n").to_numpy()
+        bands = np.stack([np.array(x, np.int64) for x in t.column("bands").to_pylist()])
         fine = np.frombuffer(b"".join(t.column("fine").to_pylist()), np.uint64).reshape(len(node), -1)
         out_a, out_b = [node[:0]], [node[:0]]
-        step = max(1, (16 << 20) // (len(node) * fine.shape[1] * 8))
-        for at in range(0, len(node), step):
-            r = slice(at, at + step)
-            ok = (root[r, None] != root[None, :]) & (node[r, None] < node[None, :])
-            if i != j:
-                ok &= own[r, None] != own[None, :]
-            ok &= np.minimum(n[r, None], n[None, :]) * 100 >= np.maximum(n[r, None], n[None, :]) * percent
-            x, y = np.nonzero(ok)
-            x += at
+        for x, y in meeting(t, percent, fine.shape[1] * 8):
             for cut_at in range(0, len(x), 100_000):
                 p, q = x[cut_at : cut_at + 100_000], y[cut_at : cut_at + 100_000]
                 near = np.bitwise_count(fine[p] ^ fine[q]).sum(1) <= most(n[p], n[q])
                 p, q = p[near], q[near]
-                for at2 in range(0, len(p), 4096):
-                    p2, q2 = p[at2 : at2 + 4096], q[at2 : at2 + 4096]
-                    same = bands[p2] == bands[q2] if by_place else (bands[p2][:, :, None] == bands[q2][:, None, :]).any(2)
-                    first = bands[p2, same.argmax(1)] == key
-                    out_a.append(node[p2[first]])
-                    out_b.append(node[q2[first]])
+                first = bands[p, (bands[p] == bands[q]).argmax(1)] == key
+                out_a.append(node[p[first]])
+                out_b.append(node[q[first]])
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, mark = [], None
-        for b in batches:
-            marks = np.stack([b.column(c).to_numpy() for c in ("key", "i", "j")], 1)
-            edges = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(1)) + 1), b.num_rows] if b.num_rows else [0]
-            for x, y in zip(edges, edges[1:]):
-                if held and tuple(marks[x]) != mark:
-                    yield compare(held)
-                    held = []
-                mark = tuple(marks[x])
-                held.append(pa.Table.from_batches([b.slice(x, y - x)]))
-        if held:
-            yield compare(held)
-
-    return spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
+    return in_blocks(members, compare, "a long, b long")
 
 
 def _only_own(texts: DataFrame, how: Banding) -> DataFrame:
