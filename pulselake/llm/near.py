@@ -118,8 +118,8 @@ def near_classes(units: DataFrame, how: Banding = Banding(), id_col: str = "doc_
 
     def finish(members: DataFrame, nodes: DataFrame, fetch) -> DataFrame:
         texts = fetch(nodes.select("node"))
-        fine = fine_sketches(texts, how)
-        pairs = cut(open_pairs(members.join(fine, "node").join(nodes.select("node", "n", "bands"), "node"), how.percent, fine_limit(how.percent)), "open-pairs")
+        rows = nodes.select("node", "n", "bands").join(fine_sketches(texts, how), "node")
+        pairs = cut(open_pairs(members.join(rows, "node"), how.percent, fine_limit(how.percent)), "open-pairs")
         return confirm(pairs, texts, how)
 
     return linked_classes(signatures(units, how, id_col, text_col), source, ["n", "bands", "s0", "s1", "s2", "s3"], lambda a, b: _alike(how, a, b), lambda pairs, texts: confirm(pairs, texts, how), lambda texts: _only_own(texts, how), finish)
@@ -191,7 +191,7 @@ def linked_classes(sig: DataFrame, source: DataFrame, features: list[str], alike
             links = links.union(cut(finish(members, cut(reps.join(wanted, "node"), "open-nodes"), fetch), "confirmed"))
             roots = cut(components(links), "roots")
             break
-        members = members.drop("m").join(sketches.join(wanted, "node"), "node")
+        members = cut(members.drop("m").join(sketches.join(wanted, "node"), "node"), "members")
         chance = F.xxhash64("node", F.lit(turn))
         centre = members.groupBy("key").agg(F.min(chance).alias("chance"))
         named = [c for c in members.columns if c != "key"]
