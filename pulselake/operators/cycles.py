@@ -29,45 +29,72 @@ def bounded(days: DataFrame, entity: str) -> DataFrame:
     return d.select("*", number.alias("cycle_number"), start.alias("cycle_start"), ahead.alias("next_start"))
 
 
+def _readings(d: DataFrame, entity: str, max_luteal: int = MAX_LUTEAL) -> DataFrame:
+    """``d`` with, on each reading that a thermal shift may begin with, the day before (``ov``) and the readings that confirm it.
+
+    The coverline is the highest of the six readings before, and three readings in a row lie above it. Rows without a reading stand behind the
+    others of their cycle, so windows over readings need no second pass; a look ahead that meets one of them finds no temperature.
+    """
+    r = W.partitionBy(entity, "cycle_number").orderBy(F.col("bbt_c").isNull(), "day")
+    ahead = [F.lead("bbt_c", i).over(r) for i in (1, 2, 3)]
+    t = d.select(
+        "*", F.row_number().over(r).alias("_rn"), F.max("bbt_c").over(r.rowsBetween(-LOW_READINGS, -1)).alias("_cover"),
+        *(x.alias(f"_h{i}") for i, x in enumerate(ahead, 2)), *(F.lead("day", i).over(r).alias(f"_d{i + 1}") for i in (2, 3)), F.lag("day").over(r).alias("_ov"),
+    )
+    over = (F.col("cycle_number") > 0) & (F.col("_rn") > LOW_READINGS) & (F.col("bbt_c") > F.col("_cover")) & (F.col("_h2") > F.col("_cover")) & (F.col("_h3") > F.col("_cover"))
+    far = F.coalesce(F.datediff("next_start", "_ov") > max_luteal, F.lit(False))
+    return t.withColumn("_over", F.coalesce(over, F.lit(False))).withColumn("_far", far)
+
+
+def _confirm(shift) -> F.Column:
+    """The day that confirms a shift: the third reading if it lies ``shift`` over the coverline, else a fourth one above it."""
+    return F.when(F.col("_h3") >= F.col("_cover") + shift, F.col("_d3")).when(F.col("_h4") > F.col("_cover"), F.col("_d4"))
+
+
+def _hit(confirm: F.Column) -> tuple[F.Column, F.Column]:
+    """The first shift that counts, (ov, confirm), and the first that was passed over, as aggregates."""
+    found = F.col("_over") & confirm.isNotNull()
+    return F.min(F.when(found & ~F.col("_far"), F.struct(F.col("_ov").alias("ov"), confirm.alias("confirm")))), F.min(F.when(found & F.col("_far"), F.col("_ov")))
+
+
+def _suspect(hit: F.Column, passed: F.Column) -> F.Column:
+    return F.coalesce(passed.isNotNull() & (hit.isNull() | (passed < hit["ov"])), F.lit(False))
+
+
 def shifts(d: DataFrame, entity: str, shift: float = SHIFT, max_luteal: int = MAX_LUTEAL) -> DataFrame:
     """(entity, cycle_number, ovulation_day, temp_confirm_day, suspect) of every cycle with a reading.
 
-    The coverline is the highest of the six readings before. Three readings in a row lie above it, the third by ``shift`` or
-    else a fourth above it as well. A shift that implies a luteal phase of more than ``max_luteal`` days in a closed cycle is passed over
+    A shift that implies a luteal phase of more than ``max_luteal`` days in a closed cycle is passed over
     and makes the cycle suspect; the first other one counts.
     """
-    r = W.partitionBy(entity, "cycle_number").orderBy("day")
-    t = d.where("bbt_c is not null and cycle_number > 0").select(
-        entity, "cycle_number", "next_start", F.row_number().over(r).alias("rn"), F.max("bbt_c").over(r.rowsBetween(-LOW_READINGS, -1)).alias("cover"),
-        F.col("bbt_c").alias("h1"), *(F.lead("bbt_c", i).over(r).alias(f"h{i + 1}") for i in (1, 2, 3)),
-        *(F.lead("day", i).over(r).alias(f"d{i + 1}") for i in (2, 3)), F.lag("day").over(r).alias("ov"),
+    hit, passed = _hit(_confirm(shift))
+    g = _readings(d, entity, max_luteal).where("bbt_c is not null and cycle_number > 0").groupBy(entity, "cycle_number").agg(hit.alias("hit"), passed.alias("passed"))
+    return g.select(entity, "cycle_number", F.col("hit.ov").alias("ovulation_day"), F.col("hit.confirm").alias("temp_confirm_day"), _suspect(F.col("hit"), F.col("passed")).alias("suspect"))
+
+
+def _of_cycle(days: DataFrame, entity: str, shift: float) -> DataFrame:
+    """Every day with what its cycle comes to. One shuffle, by the entity: all later windows are within its cycles."""
+    c = W.partitionBy(entity, "cycle_number")
+    hit, passed = _hit(_confirm(shift))
+    inside = F.col("cycle_number") > 0
+    d = _readings(bounded(days, entity), entity).select(
+        entity, "day", "menses", "mucus", "lh", "starts", "cycle_number", "cycle_start", "next_start", hit.over(c).alias("_hit"), passed.over(c).alias("_passed"),
+        F.when(inside, F.min(F.when(F.col("mucus") >= ANY_MUCUS, F.col("day"))).over(c)).alias("change_point"), F.when(inside, F.max(F.when(F.col("mucus") >= PEAK_MUCUS, F.col("day"))).over(c)).alias("peak_day"),
     )
-    confirm = F.when(F.col("h3") >= F.col("cover") + shift, F.col("d3")).when(F.col("h4") > F.col("cover"), F.col("d4"))
-    found = (F.col("rn") > LOW_READINGS) & (F.col("h1") > F.col("cover")) & (F.col("h2") > F.col("cover")) & (F.col("h3") > F.col("cover")) & confirm.isNotNull()
-    far = F.coalesce(F.datediff("next_start", "ov") > max_luteal, F.lit(False))
-    g = t.groupBy(entity, "cycle_number").agg(
-        F.min(F.when(found & ~far, F.struct("ov", confirm.alias("confirm")))).alias("hit"), F.min(F.when(found & far, F.col("ov"))).alias("passed")
-    )
-    suspect = F.coalesce(F.col("passed").isNotNull() & (F.col("hit").isNull() | (F.col("passed") < F.col("hit.ov"))), F.lit(False))
-    return g.select(entity, "cycle_number", F.col("hit.ov").alias("ovulation_day"), F.col("hit.confirm").alias("temp_confirm_day"), suspect.alias("suspect"))
+    d = d.withColumns({"ovulation_day": F.col("_hit.ov"), "temp_confirm_day": F.col("_hit.confirm"), "suspect": _suspect(F.col("_hit"), F.col("_passed"))})
+    confirmation = F.when(F.col("temp_confirm_day").isNotNull(), F.greatest("temp_confirm_day", F.date_add("peak_day", MUCUS_DAYS)))
+    return d.withColumns({"confirmation_day": confirmation, "fertile_start": F.coalesce("change_point", F.date_sub("ovulation_day", LOOK_BACK))})
 
 
 def cycles(days: DataFrame, entity: str, shift: float = SHIFT) -> DataFrame:
     """One row for each cycle: bounds, ovulation, peak, confirmation, fertile start and suspicion."""
-    d = bounded(days, entity)
-    own = d.where("cycle_number > 0").groupBy(entity, "cycle_number").agg(
-        F.first("cycle_start").alias("cycle_start"), F.min("next_start").alias("next_start"),
-        F.min(F.when(F.col("mucus") >= ANY_MUCUS, F.col("day"))).alias("change_point"), F.max(F.when(F.col("mucus") >= PEAK_MUCUS, F.col("day"))).alias("peak_day"),
-    )
-    c = own.join(shifts(d, entity, shift), [entity, "cycle_number"], "left")
-    confirmation = F.when(F.col("temp_confirm_day").isNotNull(), F.greatest("temp_confirm_day", F.date_add("peak_day", MUCUS_DAYS)))
-    return c.select("*", confirmation.alias("confirmation_day"), F.coalesce("change_point", F.date_sub("ovulation_day", LOOK_BACK)).alias("fertile_start")).withColumn("suspect", F.coalesce("suspect", F.lit(False)))
+    first = _of_cycle(days, entity, shift).where((F.col("cycle_number") > 0) & F.col("starts"))
+    return first.select(entity, "cycle_number", "cycle_start", "next_start", "change_point", "peak_day", "ovulation_day", "temp_confirm_day", "suspect", "confirmation_day", "fertile_start")
 
 
 def phases(days: DataFrame, entity: str, shift: float = SHIFT) -> DataFrame:
     """(entity, day, phase, fertility_zone, fertile_window, cycle_day) of every day with a signal."""
-    c = cycles(days, entity, shift).select(entity, "cycle_number", "ovulation_day", "confirmation_day", "fertile_start")
-    d = bounded(days, entity).join(c, [entity, "cycle_number"], "left")
+    d = _of_cycle(days, entity, shift)
     day, ov, fs = F.col("day"), F.col("ovulation_day"), F.col("fertile_start")
     inside = F.col("cycle_number") > 0
     phase = F.when(inside & F.col("menses"), "menstruation").when(day < ov, "follicular").when(day == ov, "ovulation").when(day > ov, "luteal").otherwise("unknown")
@@ -100,12 +127,13 @@ def counts(phase_rows: DataFrame, summary_rows: DataFrame) -> DataFrame:
 
 
 def sweep(days: DataFrame, entity: str, thresholds: tuple[float, ...] = (0.10, 0.15, 0.20, 0.25, 0.30)) -> DataFrame:
-    """(shift_c, cycles, ovulatory, suspect) for each threshold; the cycles are bounded once."""
-    out = None
-    for s in thresholds:
-        one = cycles(days, entity, s).agg(F.count("*").alias("cycles"), F.count("ovulation_day").alias("ovulatory"), F.count_if("suspect").alias("suspect")).select(F.lit(s).alias("shift_c"), "*")
-        out = one if out is None else out.union(one)
-    return out
+    """(shift_c, cycles, ovulatory, suspect) for each threshold; days are bounded and readings looked at once for all of them."""
+    d = _readings(bounded(days, entity), entity).where("cycle_number > 0")
+    tests = [_hit(_confirm(s)) for s in thresholds]
+    g = d.groupBy(entity, "cycle_number").agg(*(x.alias(f"{n}{i}") for i, pair in enumerate(tests) for n, x in zip(("hit", "passed"), pair)))
+    row = g.agg(F.count("*").alias("cycles"), *(F.count(f"hit{i}").alias(f"ov{i}") for i in range(len(thresholds))), *(F.count_if(_suspect(F.col(f"hit{i}"), F.col(f"passed{i}"))).alias(f"su{i}") for i in range(len(thresholds))))
+    each = F.array(*(F.struct(F.lit(s).alias("shift_c"), F.col("cycles"), F.col(f"ov{i}").alias("ovulatory"), F.col(f"su{i}").alias("suspect")) for i, s in enumerate(thresholds)))
+    return row.select(F.explode(each).alias("x")).select("x.*")
 
 
 def temperature_by_phase(days: DataFrame, phase_rows: DataFrame, keys: list[str]) -> DataFrame:

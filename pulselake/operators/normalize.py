@@ -5,37 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Metric, raw value without its common head, label, ordinal (- for none).
-CATEGORY_VALUES = """
-MenstrualFlow VaginalBleedingUnspecified unspecified -
-MenstrualFlow MenstrualFlowUnspecified unspecified -
-MenstrualFlow VaginalBleedingNone none 0
-MenstrualFlow MenstrualFlowNone none 0
-MenstrualFlow VaginalBleedingLight light 1
-MenstrualFlow MenstrualFlowLight light 1
-MenstrualFlow VaginalBleedingMedium medium 2
-MenstrualFlow MenstrualFlowMedium medium 2
-MenstrualFlow VaginalBleedingHeavy heavy 3
-MenstrualFlow MenstrualFlowHeavy heavy 3
-CervicalMucusQuality CervicalMucusQualityDry dry 1
-CervicalMucusQuality CervicalMucusQualitySticky sticky 2
-CervicalMucusQuality CervicalMucusQualityCreamy creamy 3
-CervicalMucusQuality CervicalMucusQualityWatery watery 4
-CervicalMucusQuality CervicalMucusQualityEggWhite egg_white 5
-OvulationTestResult OvulationTestResultNegative negative 0
-OvulationTestResult OvulationTestResultIndeterminate indeterminate -
-OvulationTestResult OvulationTestResultEstrogenSurge estrogen_surge 1
-OvulationTestResult OvulationTestResultLuteinizingHormoneSurge lh_surge 2
-OvulationTestResult OvulationTestResultPositive positive 2
-IntermenstrualBleeding NotApplicable present -
-HeadphoneAudioExposureEvent HeadphoneAudioExposureEventSevenDayLimit seven_day_limit -
-"""
-HEAD = "HKCategoryValue"
+#: Metric, raw value, label, ordinal.
+CATEGORY_VALUES = (
+    ("MenstrualFlow", "HKCategoryValueVaginalBleedingUnspecified", "unspecified", None),
+    ("MenstrualFlow", "HKCategoryValueMenstrualFlowUnspecified", "unspecified", None),
+    ("MenstrualFlow", "HKCategoryValueVaginalBleedingNone", "none", 0),
+    ("MenstrualFlow", "HKCategoryValueMenstrualFlowNone", "none", 0),
+    ("MenstrualFlow", "HKCategoryValueVaginalBleedingLight", "light", 1),
+    ("MenstrualFlow", "HKCategoryValueMenstrualFlowLight", "light", 1),
+    ("MenstrualFlow", "HKCategoryValueVaginalBleedingMedium", "medium", 2),
+    ("MenstrualFlow", "HKCategoryValueMenstrualFlowMedium", "medium", 2),
+    ("MenstrualFlow", "HKCategoryValueVaginalBleedingHeavy", "heavy", 3),
+    ("MenstrualFlow", "HKCategoryValueMenstrualFlowHeavy", "heavy", 3),
+    ("CervicalMucusQuality", "HKCategoryValueCervicalMucusQualityDry", "dry", 1),
+    ("CervicalMucusQuality", "HKCategoryValueCervicalMucusQualitySticky", "sticky", 2),
+    ("CervicalMucusQuality", "HKCategoryValueCervicalMucusQualityCreamy", "creamy", 3),
+    ("CervicalMucusQuality", "HKCategoryValueCervicalMucusQualityWatery", "watery", 4),
+    ("CervicalMucusQuality", "HKCategoryValueCervicalMucusQualityEggWhite", "egg_white", 5),
+    ("OvulationTestResult", "HKCategoryValueOvulationTestResultNegative", "negative", 0),
+    ("OvulationTestResult", "HKCategoryValueOvulationTestResultIndeterminate", "indeterminate", None),
+    ("OvulationTestResult", "HKCategoryValueOvulationTestResultEstrogenSurge", "estrogen_surge", 1),
+    ("OvulationTestResult", "HKCategoryValueOvulationTestResultLuteinizingHormoneSurge", "lh_surge", 2),
+    ("OvulationTestResult", "HKCategoryValueOvulationTestResultPositive", "positive", 2),
+    ("IntermenstrualBleeding", "HKCategoryValueNotApplicable", "present", None),
+    ("HeadphoneAudioExposureEvent", "HKCategoryValueHeadphoneAudioExposureEventSevenDayLimit", "seven_day_limit", None),
+)
 
 
 def category_map(spark: SparkSession) -> DataFrame:
-    rows = [line.split() for line in CATEGORY_VALUES.strip().splitlines()]
-    return spark.createDataFrame([(m, HEAD + v, label, None if o == "-" else int(o)) for m, v, label, o in rows], "metric string, raw_value string, label string, ordinal int")
+    return spark.createDataFrame(CATEGORY_VALUES, "metric string, raw_value string, label string, ordinal int")
 
 
 def categorized(measurements: DataFrame, mapping: DataFrame | None = None) -> DataFrame:

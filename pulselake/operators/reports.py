@@ -24,6 +24,12 @@ def drift_report(actual: DataFrame, expected: DataFrame, tolerance: float = 0.02
     return j.select("name", a.alias("actual"), "expected", drift(a, F.col("expected"), tolerance).alias("state"))
 
 
+def spot_checks(m: DataFrame, expected: dict[str, int], tolerance: float = 0.02) -> DataFrame:
+    """(name, actual, expected, state) of the row counts of these metrics; a metric without rows counts 0."""
+    want = m.sparkSession.createDataFrame(list(expected.items()), "name string, n long")
+    return drift_report(m.where(F.col("metric").isin(*expected)).groupBy(F.col("metric").alias("name")).agg(F.count("*").alias("n")), want, tolerance)
+
+
 def mapping_audit(categorized: DataFrame) -> DataFrame:
     """(metric, label, ordinal, n) of the mapped values."""
     return categorized.where("value_label is not null").groupBy("metric", F.col("value_label").alias("label")).agg(F.min("value_ordinal").alias("ordinal"), F.count("*").alias("n"))

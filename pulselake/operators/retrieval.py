@@ -33,46 +33,41 @@ def dense_scores(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     return corpus.crossJoin(F.broadcast(queries)).select("q_id", "doc_id", dot("qv", "dv").alias("score"))
 
 
-def dense_top(queries: DataFrame, corpus: DataFrame, k: int = 10, block: int = 1024) -> DataFrame:
-    """(q_id, doc_id, score, rank) of the ``k`` best rows of the whole corpus for every query.
+def dense_top(queries: DataFrame, corpus: DataFrame, k: int = 10, block: int = 1024, digits: int = 6) -> DataFrame:
+    """(q_id, doc_id, score, rank) of the ``k`` best rows of the whole corpus for every query, ties by id.
 
-    Queries go to the tasks in blocks of ``block`` vectors; a task multiplies each batch of the corpus with a block and keeps k rows for each query,
-    so what is shuffled is k rows for each query and task.
+    Queries go to the tasks in blocks of ``block`` vectors; a task multiplies each batch of the corpus with a block and hands on k rows for each query
+    and what ties with the last of them, so what is shuffled is about k rows for each query and batch. Scores are rounded to ``digits`` before
+    any row is dropped, so noise in the last bits decides nothing.
     """
     spark = queries.sparkSession
     rows = queries.select("q_id", "qv").where("qv is not null")
     blocks = max(1, -(-rows.count() // block))
     numbered = rows.withColumn("b", F.pmod(F.xxhash64("q_id"), F.lit(blocks)))
-    kind = corpus.schema["doc_id"].dataType.simpleString()
-    types = [to_arrow_type(queries.schema["q_id"].dataType), to_arrow_type(corpus.schema["doc_id"].dataType), pa.float64()]
+    q_kind, kind = (f.dataType.simpleString() for f in (queries.schema["q_id"], corpus.schema["doc_id"]))
+    q_arrow = to_arrow_type(queries.schema["q_id"].dataType)
     out = None
     for b in range(blocks):
         part = numbered.where(F.col("b") == b).select("q_id", "qv").collect()
         if not part:
             continue
-        held = spark.sparkContext.broadcast(([r.q_id for r in part], np.array([r.qv for r in part], np.float64)))
+        held = spark.sparkContext.broadcast((pa.array([r.q_id for r in part], q_arrow), np.array([r.qv for r in part], np.float64)))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             ids, q = held.value
-            best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, object)) for _ in ids]
             for batch in batches:
-                vectors = [v for v in batch.column(1).to_pylist()]
-                have = [i for i, v in enumerate(vectors) if v is not None]
-                if not have:
+                batch = batch.filter(batch.column(1).is_valid())
+                if not batch.num_rows:
                     continue
-                docs = np.array(batch.column(0).to_pylist(), object)[have]
-                s = np.array([vectors[i] for i in have], np.float64) @ q.T
-                for j in range(len(ids)):
-                    score, doc = np.concatenate([best[j][0], s[:, j]]), np.concatenate([best[j][1], docs])
-                    keep = np.lexsort((doc, -score))[:k]
-                    best[j] = score[keep], doc[keep]
-            columns = [i for i, x in zip(ids, best) for _ in x[0]], [d for x in best for d in x[1]], [float(v) for x in best for v in x[0]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["q_id", "doc_id", "score"])
-
-        q_kind = queries.schema["q_id"].dataType.simpleString()
+                vectors = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+                s = np.round(vectors @ q.T, digits)
+                least = np.partition(s, len(s) - k, axis=0)[len(s) - k] if len(s) > k else np.full(s.shape[1], -np.inf)
+                doc, who = np.nonzero(s >= least)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(who)), batch.column(0).take(pa.array(doc)), pa.array(s[doc, who])], ["q_id", "doc_id", "score"])
+
         one = corpus.select("doc_id", "dv").mapInArrow(run, f"q_id {q_kind}, doc_id {kind}, score double")
         out = one if out is None else out.union(one)
-    return top(out, k) if out is not None else top(spark.createDataFrame([], f"q_id long, doc_id {kind}, score double"), k)
+    return top(out, k) if out is not None else top(spark.createDataFrame([], f"q_id {q_kind}, doc_id {kind}, score double"), k)
 
 
 #: Query words of up to so many rows go to every task.
@@ -89,18 +84,18 @@ def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75,
     A word in more than half of the documents would weigh less than nothing; it takes ``floor`` times the mean weight of all words. Repeated query
     words count again. Only documents with a query word have a row.
     """
-    cut = docs.select("doc_id", words(F.coalesce("text", F.lit(""))).alias("ws"))
-    totals = cut.agg(F.count("*").alias("n_docs"), F.avg(F.size("ws")).alias("avgdl"))
-    df = cut.select(F.explode(F.array_distinct("ws")).alias("w")).groupBy("w").agg(F.count("*").alias("df")).crossJoin(F.broadcast(totals))
-    idf = df.withColumn("idf", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    ws = words(F.coalesce("text", F.lit("")))
+    # one pass over the texts: a row for each document and word, and a marker word that keeps the document and its length
+    bag = docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), ws.alias("ws"))
+    tf = bag.select("doc_id", "_row", F.size("ws").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "ws")).alias("w")).groupBy("doc_id", "_row", "dl", "w").agg(F.count("*").alias("tf"))
+    per = tf.groupBy("w").agg(F.count("*").alias("df"), F.sum("dl").alias("words"))
+    totals = per.where("w = ''").select(F.col("df").alias("n_docs"), (F.col("words") / F.col("df")).alias("avgdl"))
+    idf = per.where("w <> ''").crossJoin(F.broadcast(totals)).withColumn("idf", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = idf.agg(F.avg("idf").alias("mean_idf"))
     idf = idf.crossJoin(F.broadcast(mean)).select("w", "avgdl", F.when(F.col("idf") < 0, F.col("mean_idf") * floor).otherwise(F.col("idf")).alias("idf"))
     asked = queries.select("q_id", F.explode(words(F.col("q_text"))).alias("w")).groupBy("q_id", "w").agg(F.count("*").alias("qf"))
     few = asked.limit(LIGHT_ROWS + 1).count() <= LIGHT_ROWS
     light = F.broadcast if few else (lambda d: d)
-    # only words of the queries leave the scan: counts of all others are needed for the weights alone
-    tokens = cut.select("doc_id", F.size("ws").alias("dl"), F.explode("ws").alias("w")).join(light(asked.select("w").distinct()), "w", "left_semi")
-    tf = tokens.groupBy("doc_id", "dl", "w").agg(F.count("*").alias("tf"))
     hits = tf.join(light(asked.join(idf, "w")), "w")
     part = F.col("qf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("q_id", "doc_id").agg(F.sum(part).alias("score"))

@@ -2,40 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars, text
 from ..operators import activities, cycles, foods, graph, keys, marts, ranges, reports, retrieval, stats
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-ZONE = "Europe/Budapest"
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def exact(c) -> F.Column:
-    """Sum of doubles in decimals: the same in any order."""
-    return F.sum((F.col(c) if isinstance(c, str) else c).cast("decimal(18,6)")).cast("double")
-
-
-DAY = "cast((ts at time zone 'UTC') at time zone 'Europe/Budapest' as date)"
+from .registry import DAY, ORACLE, QUERIES, ZONE, exact, query, read
 
 
 @query(f"""
@@ -185,6 +158,23 @@ def q_threshold_sweep(spark, sf_dir):
     return cycles.sweep(cycle_signals(spark, sf_dir), "user_id", _SWEEP)
 
 
+_PHASES = f"""{_cycle_sql('5')},
+y as (select d.*, case when cn>0 and menses then 'menstruation' when day<ov then 'follicular' when day=ov then 'ovulation' when day>ov then 'luteal' else 'unknown' end as phase from d left join f using (user_id, cn))"""
+
+
+@query(f"""with {_PHASES}, w as (select count(*) as cycles, count(ov) as ovulatory, count_if(suspect) as suspect, count_if(coalesce(abs(((nx-cs)-29.30)/3.89)>2,false) or coalesce(abs(((nx-ov)-13.27)/2.67)>2,false)) as flagged from f)
+select 'phase ' || phase as name, count(*) as n from y group by 1 union all select name, n from w unpivot (n for name in (cycles, ovulatory, suspect, flagged))""")
+def q_phase_counts(spark, sf_dir):
+    d = cycle_signals(spark, sf_dir)
+    return cycles.counts(cycles.phases(d, "user_id", 5.0), cycles.summary(d, "user_id", 5.0))
+
+
+@query(f"with {_PHASES} select phase, count(*) as n, round(avg(bbt), 6) as avg_bbt from y where bbt is not null group by 1")
+def q_bbt_by_phase(spark, sf_dir):
+    d = cycle_signals(spark, sf_dir)
+    return cycles.temperature_by_phase(d, cycles.phases(d, "user_id", 5.0), ["user_id", "day"]).withColumn("avg_bbt", F.round("avg_bbt", 6))
+
+
 def panels(spark, sf_dir) -> DataFrame:
     """Line items as lab results: the part is the analyte, tax and discount steps its bounds, the day of shipping the panel."""
     l = read(spark, sf_dir, "lineitem")
@@ -261,8 +251,7 @@ _RANKED = _SIM + ", t as (select *, row_number() over (partition by q_id order b
 @query(f"with {_RANKED} select q_id, doc_id, score, (rn-1)::int as rank from t where rn <= 10")
 def q_dense_topk(spark, sf_dir):
     q, d = _vectors(spark, sf_dir)
-    wide = retrieval.dense_top(q, d, 30).withColumn("score", F.round("score", 6)).drop("rank")
-    return retrieval.top(wide, 10)
+    return retrieval.dense_top(q, d, 10)
 
 
 def _ten(spark, sf_dir) -> DataFrame:
@@ -393,10 +382,15 @@ def q_fold(spark, sf_dir):
 
 _ANY = lambda c, marks: "(" + " or ".join(f"contains({c}, '{m}')" for m in marks) + ")"
 _LIST = lambda marks: "[" + ",".join(f"'{m}'" for m in marks) + "]"
-@query(f"""select p_partkey, case when {_ANY('p', text.REGIONAL)} or {_ANY('en', text.REGIONAL)} then 'regional' when {_ANY('p', text.BRAND)} then 'branded' when list_has_any(ws, {_LIST(text.PREPARED)}) then 'prepared'
- when len(ws)>=2 and list_contains({_LIST(text.MODIFIER)}, ws[1]) then 'compound' else 'simple' end as stratum from (select p_partkey, lower(p_brand) as p, lower(p_name) as en, list_filter(regexp_split_to_array(lower(p_name), '\\s+'), lambda w: w<>'') as ws from part)""")
+_TITLES = ("{n}", "Lecsó {n}", "OATLY {n}", "{n} boiled", "wild {n}", "{n} Ajvar", "Barista {n} jam")
+
+
+@query(f"""with s as (select p_partkey, p_size, replace({_LIST(_TITLES)}[p_partkey % {len(_TITLES)} + 1], '{{n}}', p_name) as n from part), w as (select p_partkey, p_size, lower(n) as p, lower(n) as en, list_filter(regexp_split_to_array(lower(n), '\\s+'), lambda w: w<>'') as ws from s)
+select p_partkey, case when p_size = 1 then 'given' when {_ANY('p', text.REGIONAL)} or {_ANY('en', text.REGIONAL)} then 'regional' when {_ANY('p', text.BRAND)} then 'branded' when list_has_any(ws, {_LIST(text.PREPARED)}) then 'prepared'
+ when len(ws)>=2 and list_contains({_LIST(text.MODIFIER)}, ws[1]) then 'compound' else 'simple' end as stratum from w""")
 def q_strata(spark, sf_dir):
-    return read(spark, sf_dir, "part").select("p_partkey", text.stratum(F.col("p_brand"), F.col("p_name"), F.lit("")).alias("stratum"))
+    n = F.replace(F.element_at(F.array(*map(F.lit, _TITLES)), (F.col("p_partkey") % len(_TITLES) + 1).cast("int")), F.lit("{n}"), F.col("p_name"))
+    return read(spark, sf_dir, "part").select("p_partkey", text.stratum(n, n, F.when(F.col("p_size") == 1, "given").otherwise("")).alias("stratum"))
 
 
 @query("select l_returnflag, quantile_cont(l_quantity, 0.1) as p10, quantile_cont(l_quantity, 0.5) as median from lineitem group by 1")
@@ -431,9 +425,9 @@ def q_semi(spark, sf_dir):
     return read(spark, sf_dir, "orders").join(read(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_semi").select("o_orderkey", "o_totalprice")
 
 
-@query("select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders where o_custkey is not null)")
+@query("select p_partkey, p_name from part where p_partkey not in (select l_partkey from lineitem where l_quantity > 45)")
 def q_anti(spark, sf_dir):
-    return read(spark, sf_dir, "customer").join(read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_name")
+    return read(spark, sf_dir, "part").join(read(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_anti").select("p_partkey", "p_name")
 
 
 @query("select event_type, sum((props->>'$.k')::bigint) as k, count(*) as n from events group by 1")
@@ -481,3 +475,6 @@ def q_fuzzy_names(spark, sf_dir):
     p = read(spark, sf_dir, "part")
     products = p.where("p_partkey % 50 = 0").select(F.concat(F.col("p_name"), F.lit(" x")).alias("product"))
     return foods.fuzzy_match(products, p.select(F.col("p_partkey").alias("fdc_id"), F.col("p_name").alias("description")))
+
+
+from . import shaped  # noqa: E402, F401  adds its queries

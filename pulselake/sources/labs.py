@@ -78,5 +78,18 @@ def review_csv(rows: DataFrame, path: str) -> None:
     rows.orderBy("panel_date", "test_name").coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
+def route_counts(pages: DataFrame) -> DataFrame:
+    """(route, files, pages, chars) of ``pages(path, pages)`` by triage."""
+    p = pages.select(triage(F.col("pages")).alias("route"), F.size("pages").alias("n"), F.length(whole_text(F.col("pages"))).alias("c"))
+    return p.groupBy("route").agg(F.count("*").alias("files"), F.sum("n").alias("pages"), F.sum("c").alias("chars"))
+
+
+def file_counts(replies: DataFrame, rows: DataFrame) -> DataFrame:
+    """(source_file, results, numeric, status, tokens_in, tokens_out) of every file of an extraction: what ``lab_rows`` made of its reply, or its error."""
+    per = rows.groupBy("source_file").agg(F.count("*").alias("results"), F.count("value_num").alias("numeric"))
+    r = replies.select(F.element_at(F.split("path", "/"), -1).alias("source_file"), F.coalesce(F.concat(F.lit("ERROR "), "error"), F.lit("ok")).alias("status"), "tokens_in", "tokens_out")
+    return r.join(per, "source_file", "left").select("source_file", F.coalesce("results", F.lit(0)).alias("results"), F.coalesce("numeric", F.lit(0)).alias("numeric"), "status", "tokens_in", "tokens_out")
+
+
 def manifest(pages: DataFrame, path: str) -> None:
     pages.select("path", F.size("pages").alias("n_pages"), triage(F.col("pages")).alias("kind")).write.mode("overwrite").json(path)
