@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,24 +16,58 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder named by spark.checkpoint.dir; one of our own only where that is unset and all executors are in this process."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="pulselake-")
     return _OWN[app]
 
 
+#: Tables written by ``cut`` within the functions marked ``tidy`` that run now.
+_MADE: list[list[str]] = []
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so that a lost executor costs one stage only."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if _MADE:
+        _MADE[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(f):
+    """``f``, after which the tables that it has cut and that its result (a DataFrame or any other thing) does not read are removed."""
+
+    @functools.wraps(f)
+    def run(*args, **named):
+        _MADE.append([])
+        try:
+            out = f(*args, **named)
+        finally:
+            made = _MADE.pop()
+        read = {file.rsplit("/", 2)[-2] for file in out.inputFiles()} if isinstance(out, DataFrame) else set()
+        for path in made:
+            if path.rsplit("/", 1)[-1] not in read:
+                _remove(SparkSession.active(), path)
+            elif _MADE:
+                _MADE[-1].append(path)
+        return out
+
+    return run
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def text_key(text: F.Column) -> F.Column:
     """96-bit fingerprint of a text, struct<h, g>; null has one of its own. With an id it names a row, all but its exact repeats."""
     return F.struct(F.xxhash64(text).alias("h"), F.coalesce(F.crc32(text.cast("binary")), F.lit(-1)).alias("g"))
@@ -40,11 +75,8 @@ def text_key(text: F.Column) -> F.Column:
 
 def drop_cut(df: DataFrame) -> None:
     """Remove a table made by ``cut`` that no later plan reads."""
-    spark = df.sparkSession
-    jvm = spark._jvm
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _remove(df.sparkSession, path)
 
 
 #: Tables of up to so many bytes, counted, may go to every task.

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._store import LIGHT_BYTES, cut, light_bytes
+from ._store import LIGHT_BYTES, cut, light_bytes, tidy
 from ._text import case_folded, mix, pieces, span_hashes, word_spans
 
 _COEF = mix(np.arange(7001, 7001 + 64, dtype=np.uint64)) | np.uint64(1)
@@ -151,6 +151,7 @@ def seeded_texts(docs: DataFrame, text_col: str, bitmap, k: int) -> DataFrame:
     return found.mapInArrow(run, "key binary, seeds array<long>, words array<long>").dropDuplicates(["key"])
 
 
+@tidy
 def find_leaks(docs: DataFrame, benchmark: DataFrame, least: int = 5, share: float = 0.5, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", out_col: str = "leaks", most_bits: int = 1 << 27) -> DataFrame:
     """``docs`` with ``out_col``: the benchmark items that the whole text leaks, by item id (of the benchmark's own type).
 

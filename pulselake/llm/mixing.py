@@ -12,7 +12,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import cut, text_key
+from ._store import cut, text_key, tidy
 
 #: Space and 0x09-0x0D separate words.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -131,6 +131,7 @@ def _solved(a: list[list[float]], b: list[float]) -> list[float]:
     return [m[i][n] / m[i][i] if m[i][i] else 0.0 for i in range(n)]
 
 
+@tidy
 def mix(docs: DataFrame, labels: DataFrame, domain: F.Column, weights: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", rounds: int = 40) -> DataFrame:
     """(id, text_key, tokens, domains, posterior, rate, repeats) for every row of ``docs``.
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import LIGHT_BYTES, components, cut, light_bytes, text_key
+from ._store import LIGHT_BYTES, components, cut, light_bytes, text_key, tidy
 from ._text import mix, pieces, text_shingles
 
 
@@ -130,6 +130,7 @@ def _light(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if light_bytes(df) <= LIGHT_BYTES else df
 
 
+@tidy
 def linked_classes(sig: DataFrame, source: DataFrame, features: list[str], alike, confirmed, own, finish, turns: int = 1) -> DataFrame:
     """(uid, n, component, members) for every row of ``sig(uid, n, set_key, features...)``; the feature ``bands`` is the array of a row's band keys.
 
@@ -344,6 +345,7 @@ def near_duplicates(docs: DataFrame, how: Banding = Banding(), id_col: str = "do
     return found.select(F.col("uid").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("uid").eqNullSafe(F.col("component")).alias("kept"))
 
 
+@tidy
 def drop_near_duplicates(docs: DataFrame, how: Banding = Banding(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of near-duplicates, the one with the smallest id (null the largest); all columns stay.
 

@@ -1,6 +1,6 @@
 """SQL for the text queries that SQL can express."""
 
-from .quality import BOILERPLATE
+from .quality import BOILERPLATE, BORDER, MENU, phrase_pattern
 
 ORACLE: dict[str, str] = {}
 
@@ -25,7 +25,7 @@ e as (select x, y from l union select y, x from l),
 r as (select doc_id as id, doc_id as reach from documents union select r.id, e.y from r join e on e.x = r.reach)
 select id as doc_id, coalesce(any_value(n), 0)::bigint as n_shingles, min(reach) as component_id, id = min(reach) as kept from r left join n on n.doc_id = id group by id"""
 
-_BOILERPLATE = "|".join(p.replace("'", "''") for p in BOILERPLATE)
+_BOILERPLATE, _MENU = (phrase_pattern(p, BORDER).replace("'", "''") for p in (BOILERPLATE, MENU))
 ORACLE["op2_line_quality"] = rf"""
 with d as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
 gram as (select doc_id, i, ws[i] || chr(32) || ws[i + 1] || chr(32) || ws[i + 2] as g from (select doc_id, ws, unnest(range(1, len(ws) - 1)) as i from d where len(ws) > 2)),
@@ -34,10 +34,10 @@ repeats as (select doc_id, count(distinct p) as n from (select doc_id, unnest([i
 line as (select doc_id, ls[i] as line, i from (select doc_id, ls, unnest(range(1, len(ls) + 1)) as i from (select doc_id, string_split(text, chr(10)) as ls from d))),
 seen as (select *, regexp_replace(line, '^\s+|\s+$', '', 'g') as t, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as nw from line),
 judged as (select doc_id, i, line, nw, nw > 0 and (
-    (nw <= 25 and regexp_matches(t, '(?i){_BOILERPLATE}'))
+    (nw <= 25 and regexp_matches(t, '(?i){_BOILERPLATE}')) or (nw <= 4 and regexp_matches(t, '(?i){_MENU}'))
     or (len(regexp_extract_all(t, '\s[|>»·•]\s')) >= 3 and 4 * len(regexp_extract_all(t, '\s[|>»·•]\s')) >= nw)
     or len(regexp_extract_all(t, '[#*$%&|<>]')) > 0.10::double * greatest(1, length(t)) or len(regexp_extract_all(t, '[{{}}]')) > 0.05::double * length(t)
-    or (nw <= 3 and not regexp_matches(t, '[.!?:;…。！？]["''”’»)\]]*$|["”»]$'))) as bad from seen),
+    or not regexp_matches(t, '[.!?:;…。！？]["''”’»)\]]*$|["”»]$')) as bad from seen),
 sums as (select doc_id, count_if(nw > 0) as n_lines, count_if(nw > 0) - count(distinct case when nw > 0 then line end) as dup, count_if(bad) as n_bad, coalesce(sum(length(line)) filter (where bad), 0) as lost,
     coalesce(sum(length(line)) filter (where nw > 0), 0) as total, string_agg(case when not bad then line end, chr(10) order by i) as clean from judged group by 1),
 base as (select d.doc_id, len(ws)::bigint as n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::bigint as word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint as n_symbols, coalesce(r.n, 0)::bigint as n_repeat_words from d left join repeats r using (doc_id))

@@ -9,13 +9,31 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Phrases that mark a line as boilerplate wherever they stand.
+#: Phrases that mark a line as boilerplate, in English, German, French and Spanish.
 BOILERPLATE = (
-    "cookie policy", "privacy policy", "terms of service", "terms of use", "all rights reserved", "lorem ipsum",
-    "click here", "sign up", "log in", "subscribe now", "enable javascript", "accept cookies", "share this",
-    "read more", "skip to content", "back to top", "licensed under", "released under the",
+    "cookie policy", "privacy policy", "terms of service", "terms of use", "all rights reserved", "lorem ipsum", "enable javascript", "accept cookies", "accept all cookies", "skip to content", "back to top", "licensed under", "released under the",
+    "alle rechte vorbehalten", "datenschutzerklärung", "allgemeine geschäftsbedingungen", "nutzungsbedingungen", "cookies akzeptieren", "zum inhalt springen", "nach oben scrollen", "lizenziert unter", "veröffentlicht unter der",
+    "tous droits réservés", "politique de confidentialité", "mentions légales", "conditions générales d'utilisation", "accepter les cookies", "aller au contenu", "haut de page", "sous licence", "publié sous la licence",
+    "todos los derechos reservados", "política de privacidad", "aviso legal", "términos de uso", "términos y condiciones", "aceptar cookies", "saltar al contenido", "volver arriba", "con licencia", "publicado bajo la licencia",
 )
-_BOILER = re.compile("|".join(map(re.escape, BOILERPLATE)), re.I)
+#: Phrases that are a button's or a menu's if the line has few other words.
+MENU = (
+    "click here", "sign up", "log in", "subscribe now", "share this", "read more",
+    "hier klicken", "jetzt anmelden", "registrieren", "weiterlesen", "teilen",
+    "cliquez ici", "s'inscrire", "se connecter", "lire la suite", "partager",
+    "haga clic aquí", "registrarse", "iniciar sesión", "leer más", "compartir",
+)
+#: What is no part of a word, in both engines alike.
+BORDER = r"[^0-9A-Za-z_\x{C0}-\x{24F}]"
+
+
+def phrase_pattern(phrases: tuple[str, ...], border: str) -> str:
+    """Any of the phrases as whole words."""
+    return f"(^|{border})({'|'.join(phrases)})($|{border})"
+
+
+_PY_BORDER = "[^0-9A-Za-z_\u00c0-\u024f]"
+_BOILER, _MENU = (re.compile(phrase_pattern(p, _PY_BORDER), re.I) for p in (BOILERPLATE, MENU))
 #: Separators of navigation lines.
 _NAV = re.compile(r"\s[|>»·•]\s")
 _END = re.compile(r"[.!?:;…。！？][\"'”’»)\]]*$|[\"”»]$")
@@ -27,7 +45,7 @@ _BRACES = re.compile(r"[{}]")
 class LineRules:
     """Thresholds of the line rules and of the verdict on the document."""
 
-    short_words: int = 3
+    menu_max_words: int = 4
     nav_separators: int = 3
     symbol_share: float = 0.10
     boilerplate_max_words: int = 25
@@ -35,16 +53,18 @@ class LineRules:
 
 
 def line_fault(line: str, rules: LineRules = LineRules()) -> str | None:
-    """Name of the rule that a line with words breaks, or None."""
+    """Name of the rule that a line with words breaks, or None: phrases of boilerplate as whole words, menus, separators of navigation, a surplus of signs, no mark at the end."""
     text = line.strip()
     words = text.encode().split()
     if len(words) <= rules.boilerplate_max_words and _BOILER.search(text):
         return "boilerplate"
+    if len(words) <= rules.menu_max_words and _MENU.search(text):
+        return "menu"
     if len(_NAV.findall(text)) >= rules.nav_separators and 4 * len(_NAV.findall(text)) >= len(words):
         return "navigation"
     if len(_SYMBOLS.findall(text)) > rules.symbol_share * max(1, len(text)) or len(_BRACES.findall(text)) > 0.05 * len(text):
         return "symbols"
-    if len(words) <= rules.short_words and not _END.search(text):
+    if not _END.search(text):
         return "punctuation"
     return None
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._store import LIGHT_BYTES, cut, light_bytes
+from ._store import LIGHT_BYTES, cut, light_bytes, tidy
 
 
 class RemainingTree:
@@ -131,6 +131,7 @@ def ranks(df: DataFrame, key: str, order: str, out: str) -> DataFrame:
     return df.withColumn("_rank", within).join(starts, [key, "_piece"]).withColumn(out, (F.col("_start") + F.col("_rank")).cast("long")).drop("_piece", "_rank", "_start")
 
 
+@tidy
 def pack(docs: DataFrame, n_shards: int | None = 8, capacity: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, size, text_crc32, group_key, shard, slot) for every row of ``docs``.
 

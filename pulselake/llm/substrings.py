@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import cut
+from ._store import cut, tidy
 from ._text import _power_tables, bytes_of, mix, pieces
 
 #: Bytes of the anchor gram.
@@ -235,6 +235,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+@tidy
 def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, spans array<struct<start, end>>, kept binary) for every row of ``docs``.
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import cut
+from ._store import cut, tidy
 
 #: Letters of other scripts that look like Latin ones, and digits or signs written for letters.
 HOMOGLYPHS = {
@@ -121,6 +121,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str,
     return every.join(F.broadcast(first.withColumnRenamed("y", "most_y")), "h").groupBy("h").agg(F.min("s").alias("s"), F.max("most_y").alias("y")).select("s", "y")
 
 
+@tidy
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most: int = 16_000, least_docs: int = 3, least_odds: float = 3.0) -> ToxicityModel:
     """Learn the lexicon from at most ``most`` labelled documents (the bounded sample, about 50 MB of text, stays on the executors); see ``labelled_sample`` for nulls, ties and repeats.
 

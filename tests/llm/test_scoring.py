@@ -12,7 +12,7 @@ from pulselake.llm.boost import fit_trees
 from pulselake.llm.decontam import find_leaks, greedy_tiles
 from pulselake.llm.html import Page, decode, extract, extract_pages, features, main_text, trained, training_pages
 from pulselake.llm.mixing import apply_rates, fit_rates, label_domain, mix
-from pulselake.llm.quality import clean_lines, profile
+from pulselake.llm.quality import clean_lines, line_fault, profile
 from pulselake.llm.sharding import RemainingTree, best_fit_runs, pack
 from pulselake.llm.toxicity import ToxicityModel, drop_toxic, fit_toxicity, folded, hits_of, score_toxicity
 
@@ -31,6 +31,14 @@ def test_quality_counts():
     assert profile("a\x1cb\x85c")["n_words"] == 1
 
 
+def test_line_rules_judge_whole_words_and_every_end():
+    fault = lambda x: line_fault(x)
+    assert fault("The catalog in the drawer was red.") is None and fault("She put the log in the fire.") is None and fault("They reread more of it than he did.") is None
+    assert [fault(x) for x in ("Log in", "Lire la suite.", "Alle Rechte vorbehalten.", "© 2020 Tous droits réservés.", "Política de privacidad.")] == ["menu", "menu", "boilerplate", "boilerplate", "boilerplate"]
+    assert fault("A long line of many words that goes on and on and then has no end mark") == "punctuation" and fault("Home | News | Sport | Wetter |") == "navigation"
+    assert fault("Unesous licence ici.") is None and fault("He said: “yes”") is None and fault("{ } { } x") == "symbols"
+
+
 def test_quality_odd_tables(spark):
     df = spark.createDataFrame([(None, None, 1), (1, "", 2), (1, "", 2), (2, "word " * 60000, 3)], DOC + ", kept int")
     got = clean_lines(df).collect()
