@@ -21,7 +21,7 @@ from ._text import _power_tables, bytes_of, mix, pieces
 
 #: Bytes of the anchor gram.
 GRAM = 50
-#: An anchor with more different stretches than this is settled by counting its windows' hashes instead of in one batch.
+#: An anchor with more different stretches than this, which would not fit into one sort, is settled by counting its windows' hashes instead of in one batch.
 CROWDED = 4096
 _SALT = np.uint64(0xA5A5A5A55A5A5A5A)
 
@@ -73,50 +73,85 @@ def stretches(buf: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray
     return row[first], lo, count, a - lo, grams[a], hasher.spans(lo, lo + count - 1 + length)
 
 
-def refined(buf: np.ndarray, off: np.ndarray, length: int) -> np.ndarray:
-    """Starts in buf of the ``length``-byte windows, within the pieces cut by off, that occur more than once in buf.
+#: Bytes of the first buckets; nine bits each, so that a text's end sorts before every byte.
+FIRST = 7
+#: Parts of a pass; the buckets of a part are refined together, and later parts read what it has written.
+PARTS = 8
+
+
+def suffix_ranks(buf: np.ndarray, off: np.ndarray, depth: int) -> np.ndarray:
+    """Rank of every position's suffix (to the end of its piece) among all of them, exact as far as suffixes differ within ``depth`` bytes.
 
-    Bucket-pointer refinement: positions are put into buckets by their first 25 bytes; a bucket is split by the buckets
-    that its positions' later offsets are in, which doubles the depth; positions alone in their bucket leave at once.
+    Bucket-pointer refinement: positions are put into buckets by their first FIRST bytes. A bucket of common depth d is sorted by the buckets
+    that its members' d-th successors are in, whose depth adds to its own. New ranks and depths are written at once, so buckets that are refined
+    later in the pass use them and gain more than twice their depth. Buckets of one, and those that are deep enough, are left alone.
     """
-    q = max(1, length // 8)
+    n = len(buf)
+    end = np.repeat(off[1:], np.diff(off))
+    code = np.concatenate([buf.astype(np.uint64) + np.uint64(1), np.zeros(FIRST, np.uint64)])
+    key = np.zeros(n, np.uint64)
+    at = np.arange(n)
+    for j in range(FIRST):
+        key = (key << np.uint64(9)) | np.where(at + j < end, code[j : j + n], np.uint64(0))
+    order = np.argsort(key)
+    first, size = _groups(key[order])
+    rank, deep = np.empty(n, np.int64), np.empty(n, np.int64)
+    rank[order] = first
+    deep[order] = np.where(key[order] & np.uint64(511) == 0, n + depth, FIRST)  # with the end in it the suffix is known whole
+    active = order[(size > 1) & (deep[order] < depth)]
+    while len(active):
+        own = rank[active]
+        cuts = np.unique(np.searchsorted(own, own[np.linspace(0, len(active) - 1, PARTS + 1).astype(np.int64)[1:-1]]))
+        left = []
+        for part in np.split(active, cuts[cuts > 0]):
+            old, to = rank[part], part + deep[part]
+            inside = to < end[part]
+            to = np.minimum(to, n - 1)
+            pointer = np.where(inside, rank[to] + 1, 0)
+            gain = np.where(inside, deep[to], n + depth)
+            both = old * np.int64(n + 2) + pointer
+            turn = np.argsort(both)
+            part, old, both = part[turn], old[turn], both[turn]
+            head, _ = _groups(old)
+            start, size = _groups(both)
+            rank[part] = old + start - head
+            deep[part] += gain[turn]
+            left.append(part[(size > 1) & (deep[part] < depth)])
+        active = np.concatenate(left)
+        active = active[np.argsort(rank[active])]
+    return rank
+
+
+def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted keys, each one's first place and how many there are."""
+    if not len(keys):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
+    count = np.diff(edge)
+    return np.repeat(edge[:-1], count), np.repeat(count, count)
+
+
+def refined(buf: np.ndarray, off: np.ndarray, length: int) -> np.ndarray:
+    """Starts in buf of the ``length``-byte windows, within the pieces cut by off, that occur more than once in buf: neighbours in suffix order whose bytes are equal that far."""
     n = len(buf)
     if n < length:
         return np.zeros(0, np.int64)
-    end = np.repeat(off[1:], np.diff(off))
-    at = np.flatnonzero(np.arange(n) + q <= end)
-    bucket = np.full(n, -1, np.int64)
-    active, ids = _shared(at, Hasher(buf).spans(at, at + q))
-    bucket[active] = ids
-    depth = q
-    while depth < length and len(active):
-        step = min(depth, length - depth)
-        active = active[active + step < n]
-        later = bucket[active + step]
-        fits = (later >= 0) & (active + depth + step <= end[active])
-        active, later = active[fits], later[fits]
-        active, ids = _shared(active, bucket[active] * np.int64(n + 1) + later)
-        bucket = np.full(n, -1, np.int64)
-        bucket[active] = ids
-        depth += step
-    return active
-
-
-def _shared(at: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The positions whose key is not theirs alone, and the numbers of their buckets."""
-    if not len(at):
-        return at, np.zeros(0, np.int64)
-    order = np.argsort(keys, kind="stable")
-    k = keys[order]
-    new = np.concatenate([[True], k[1:] != k[:-1]])
-    number = np.cumsum(new) - 1
-    many = np.bincount(number)[number] > 1
-    back = np.argsort(order[many], kind="stable")
-    return at[order[many]][back], number[many][back]
+    rank = suffix_ranks(buf, off, length)
+    at = np.flatnonzero(np.arange(n) + length <= np.repeat(off[1:], np.diff(off)))
+    at = at[np.argsort(rank[at], kind="stable")]
+    same = np.arange(len(at) - 1)  # places whose successor has the same bytes, as far as compared
+    a, b = at[:-1], at[1:]
+    for j in range(length):
+        if not len(same):
+            break
+        same = same[buf[a[same] + j] == buf[b[same] + j]]
+    hit = np.zeros(len(at), bool)
+    hit[same] = hit[same + 1] = True
+    return np.sort(at[hit])
 
 
 def _anchors(rows: DataFrame, length: int, brief: bool) -> DataFrame:
-    """Of every stretch: brief: (h, occ), else (h, ctx, th, lo, n, at). occ holds the stretch's hash above and the place's hash below."""
+    """Of every stretch: brief: (h, ctx, place), else (h, ctx, th, lo, n, at). ctx is the stretch's hash, place that of the text and the position; h and ctx together are 128 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
@@ -126,13 +161,13 @@ def _anchors(rows: DataFrame, length: int, brief: bool) -> DataFrame:
                 lo = lo - off[:-1][row]
                 if brief:
                     th = np.frombuffer(b"".join(b.column("th").to_pylist()), np.uint64)[::2][row]
-                    occ = (ctx & np.uint64(0xFFFFFFFF00000000)) | (mix(th + lo.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32))
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(occ.view(np.int64))], ["h", "occ"])
+                    place = mix(th + lo.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (h, ctx, place)], ["h", "ctx", "place"])
                 else:
                     cols = [pa.array(h.view(np.int64)), pa.array(ctx.view(np.int64)), b.column("th").take(pa.array(row)), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(at.astype(np.int32))]
                     yield pa.RecordBatch.from_arrays(cols, ["h", "ctx", "th", "lo", "n", "at"])
 
-    return rows.select("th", "text").mapInArrow(run, "h long, occ long" if brief else "h long, ctx long, th binary, lo int, n int, at int")
+    return rows.select("th", "text").mapInArrow(run, "h long, ctx long, place long" if brief else "h long, ctx long, th binary, lo int, n int, at int")
 
 
 def repeated_intervals(rows: DataFrame, length: int = 200) -> DataFrame:
@@ -140,8 +175,9 @@ def repeated_intervals(rows: DataFrame, length: int = 200) -> DataFrame:
 
     Whole copies of a text count once here. Intervals of one text may overlap or touch.
     """
-    seen = _anchors(rows, length, True).groupBy("h").agg(F.min("occ").alias("x"), F.max("occ").alias("y")).where("x <> y")
-    seen = seen.select("h", (F.shiftright("x", 32) != F.shiftright("y", 32)).alias("mixed"))
+    seen = _anchors(rows, length, True).groupBy("h").agg(F.min("place").alias("x"), F.max("place").alias("y"), F.min("ctx").alias("c"), F.max("ctx").alias("d")).where("x <> y")
+    # written first, so that the join reads both sides from the shuffle and a frequent anchor's rows can be split
+    seen = cut(seen.select("h", (F.col("c") != F.col("d")).alias("mixed")), "seen")
     twice = cut(_anchors(rows, length, False).join(seen, "h"), "anchors")
     whole = twice.where("not mixed").select("th", F.col("lo").alias("start"), (F.col("lo") + F.col("n") - 1 + length).alias("end"))
 
@@ -150,7 +186,7 @@ def repeated_intervals(rows: DataFrame, length: int = 200) -> DataFrame:
     kinds = cut(kinds.select("h", "ctx", "x", (F.col("x") != F.col("y")).alias("again")), "kinds")
     same = twice.where("mixed").join(kinds.where("again").select("h", "ctx"), ["h", "ctx"], "left_semi")
     same = same.select("th", F.col("lo").alias("start"), (F.col("lo") + F.col("n") - 1 + length).alias("end"))
-    members = kinds.groupBy("h").agg(F.count("*").alias("c"))
+    members = cut(kinds.groupBy("h").agg(F.count("*").alias("c")), "members")
     one = twice.where("mixed").withColumn("x", place).join(kinds, ["h", "ctx", "x"]).join(members, "h")
     todo = one.groupBy("th").agg(F.collect_set(F.struct("h", "lo", "n", "at", "again", (F.col("c") > CROWDED).alias("crowded"))).alias("todo"))
     ids = rows.groupBy("th").agg(F.min("id").alias("id"))
