@@ -262,10 +262,11 @@ def fine_limit(percent: int):
 BLOCK = 8192
 
 
-def in_blocks(members: DataFrame, compare, schema: str) -> DataFrame:
+def in_blocks(members: DataFrame, compare, schema: str, after=iter) -> DataFrame:
     """The batches that ``compare`` makes of ``members(key, m, node, …)``: of a bucket's rows at once (a pa.Table with ``own``, the row's block, and i and j, the blocks that meet).
 
     Buckets of more than BLOCK members are cut into blocks, and every two blocks meet in a task of their own, so that no task holds more than two blocks.
+    ``after`` takes the stream of a task's batches before it leaves the task.
     """
     k = F.ceil(F.col("m") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), k).cast("int")
@@ -273,20 +274,23 @@ def in_blocks(members: DataFrame, compare, schema: str) -> DataFrame:
     spread = members.withColumn("k", k).withColumn("own", own).withColumn("other", other)
     spread = spread.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", *(c for c in members.columns if c not in ("key", "m")))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, mark = [], None
+        for b in batches:
+            marks = np.stack([b.column(c).to_numpy() for c in ("key", "i", "j")], 1)
+            edges = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(1)) + 1), b.num_rows] if b.num_rows else [0]
+            for x, y in zip(edges, edges[1:]):
+                if held and tuple(marks[x]) != mark:
+                    yield from compare(pa.concat_tables(held))
+                    held = []
+                mark = tuple(marks[x])
+                held.append(pa.Table.from_batches([b.slice(x, y - x)]))
+        if held:
+            yield from compare(pa.concat_tables(held))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
-            for b in batches:
-                marks = np.stack([b.column(c).to_numpy() for c in ("key", "i", "j")], 1)
-                edges = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(1)) + 1), b.num_rows] if b.num_rows else [0]
-                for x, y in zip(edges, edges[1:]):
-                    if held and tuple(marks[x]) != mark:
-                        yield compare(pa.concat_tables(held))
-                        held = []
-                    mark = tuple(marks[x])
-                    held.append(pa.Table.from_batches([b.slice(x, y - x)]))
-            if held:
-                yield compare(pa.concat_tables(held))
+            yield from after(buckets(batches))
 
     return spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, schema)
 
@@ -309,7 +313,7 @@ def meeting(t: pa.Table, percent: int, width: int) -> Iterator[tuple[np.ndarray,
 def open_pairs(members: DataFrame, percent: int, most) -> DataFrame:
     """(a, b) of ``members(key, m, node, root, n, bands, fine)`` in one bucket, of different roots, that the screen lets through; a pair comes from the first bucket that it shares only."""
 
-    def compare(t: pa.Table) -> pa.RecordBatch:
+    def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
         key, node, n = t.column("key")[0].as_py(), t.column("node").to_numpy(), t.column("n").to_numpy()
         bands = np.stack([np.array(x, np.int64) for x in t.column("bands").to_pylist()])
         fine = np.frombuffer(b"".join(t.column("fine").to_pylist()), np.uint64).reshape(len(node), -1)
@@ -322,7 +326,7 @@ def open_pairs(members: DataFrame, percent: int, most) -> DataFrame:
                 first = bands[p, (bands[p] == bands[q]).argmax(1)] == key
                 out_a.append(node[p[first]])
                 out_b.append(node[q[first]])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
 
     return in_blocks(members, compare, "a long, b long")
 
