@@ -116,9 +116,8 @@ def near_classes(units: DataFrame, how: Banding = Banding(), id_col: str = "doc_
     """
     source = units.select(F.col(id_col).alias("uid"), F.col(text_col).alias("text"))
 
-    def finish(members: DataFrame, nodes: DataFrame, fetch) -> DataFrame:
-        texts = fetch(nodes.select("node"))
-        rows = nodes.select("node", "n", "bands").join(fine_sketches(texts, how), "node")
+    def finish(members: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+        rows = nodes.select("node", "n", "bands").join(fine_sketches(texts.join(_light(nodes.select("node")), "node"), how), "node")
         pairs = cut(open_pairs(members.join(rows, "node"), how.percent, fine_limit(how.percent)), "open-pairs")
         return confirm(pairs, texts, how)
 
@@ -139,7 +138,7 @@ def linked_classes(sig: DataFrame, source: DataFrame, features: list[str], alike
     one, for ``turns`` turns at most or until few pairs are open; at last all open pairs, those of nodes in
     different components. ``alike(a, b)`` screens pairs by the columns with these prefixes; ``confirmed(pairs, texts)``
     keeps the true ones by whole texts of ``source(uid, text)``, of which ``own`` drops those that aren't
-    the node's; ``finish(members, nodes, fetch)`` gives the links among open pairs in the last step, from (key, m, node, root) and the nodes' rows. So a bucket of one group costs about as many pairs as it has members, and no link between different
+    the node's; ``finish(members, nodes, texts)`` gives the links among open pairs in the last step, from (key, m, node, root), the nodes' rows and texts. So a bucket of one group costs about as many pairs as it has members, and no link between different
     components is passed over. ``component`` is the smallest uid reachable over links, the row's own included; ``members`` counts the component's rows.
 
     Rows with n = 0 link with nothing; a null uid never becomes a component's id
@@ -165,16 +164,12 @@ def linked_classes(sig: DataFrame, source: DataFrame, features: list[str], alike
 
     pairs = cut(screened(pairs), "pairs")
 
-    def fetch(nodes: DataFrame) -> DataFrame:
-        """(node, text) of these nodes: what is asked for goes to the scan if it is little, else both sides are shuffled."""
-        wanted = _light(cut(reps.join(nodes.distinct(), "node", "left_semi").select("node", "uid", "set_key"), "wanted"))
-        found = source.join(wanted, source.uid.eqNullSafe(wanted.uid)).select("node", "set_key", "text")
-        return cut(own(found).dropDuplicates(["node"]), "texts")
+    # the texts of all nodes in shared buckets, once: the nodes go to the scan if they are few, else both sides are shuffled
+    wanted = _light(cut(reps.select("node", "uid", "set_key"), "wanted"))
+    texts = source.join(wanted, source.uid.eqNullSafe(wanted.uid)).select("node", "set_key", "text")
+    texts = cut(own(texts).dropDuplicates(["node"]), "texts")
 
-    def ends(p: DataFrame) -> DataFrame:
-        return p.select(F.col("a").alias("node")).union(p.select("b"))
-
-    links = cut(confirmed(pairs, fetch(ends(pairs))), "confirmed")
+    links = cut(confirmed(pairs, texts), "confirmed")
     roots = cut(components(links), "roots")
 
     tested = pairs
@@ -189,7 +184,7 @@ def linked_classes(sig: DataFrame, source: DataFrame, features: list[str], alike
         members = cut(held.join(_light(mixed.select("key", "m")), "key"), "members")
         wanted = _light(cut(members.select("node").distinct(), "open"))
         if last:
-            links = links.union(cut(finish(members, cut(reps.join(wanted, "node"), "open-nodes"), fetch), "confirmed"))
+            links = links.union(cut(finish(members, cut(reps.join(wanted, "node"), "open-nodes"), texts), "confirmed"))
             roots = cut(components(links), "roots")
             break
         members = cut(members.drop("m").join(sketches.join(wanted, "node"), "node"), "members")
@@ -201,7 +196,7 @@ def linked_classes(sig: DataFrame, source: DataFrame, features: list[str], alike
         across = x.join(y, "key").where((F.col("a_root") != F.col("b_root")) & alike("a_", "b_"))
         across = across.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
         across = cut(across.join(tested, ["a", "b"], "left_anti"), "across")
-        links = links.union(cut(confirmed(across, fetch(ends(across))), "confirmed"))
+        links = links.union(cut(confirmed(across, texts), "confirmed"))
         roots = cut(components(links), "roots")
         tested = tested.union(across)
 
