@@ -49,7 +49,7 @@ def rankings(queries: DataFrame, corpus: DataFrame, tokens: DataFrame, query_tok
         "dense": dense.where(F.col("rank") < k),
         "sparse": sparse.where(F.col("rank") < k),
         "hybrid": ranked(retrieval.fuse([dense, sparse]), k),
-        "colbert": ranked(retrieval.max_sim(query_tokens, tokens), k),
+        "colbert": retrieval.late_top(query_tokens, retrieval.ragged(tokens), k, digits=digits),
     }
     return reduce(DataFrame.union, (found[s].select(F.lit(s).alias("system"), "q_id", "doc_id", "rank") for s in SYSTEMS))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -29,20 +29,25 @@ def keep_first(df: DataFrame, by: list, order: list) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
-def new_rows(df: DataFrame, table: DataFrame, key: str) -> DataFrame:
-    """First rows of ``df`` by key that ``table`` does not have: first write wins, within the batch and against the table."""
-    return keep_first(df, [key], [F.monotonically_increasing_id()]).join(table.select(key), key, "left_anti")
+def new_rows(df: DataFrame, table: DataFrame, key: str, order: list | None = None) -> DataFrame:
+    """First rows of ``df`` by key that ``table`` does not have: first write wins, within the batch and against the table.
 
+    ``order`` says which row of a batch is first; without it that is the one with the least hash of all columns, so the choice hangs on the rows alone and
+    not on where they are.
+    """
+    by = order or [F.xxhash64(*(F.to_json(F.struct(c)) for c in df.columns))]
+    return keep_first(df, [key], by).join(table.select(key), key, "left_anti")
 
-def append_new(df: DataFrame, path: str, key: str) -> int:
-    """Append what is new under ``path`` and return how many rows that were; running it again adds none."""
+
+def append_new(df: DataFrame, path: str, key: str, order: list | None = None) -> int:
+    """Append what is new under ``path`` and return how many rows that were; running it again adds none. The rows are counted while they are written."""
     spark = df.sparkSession
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-    fresh = new_rows(df, spark.read.parquet(path), key) if there else keep_first(df, [key], [F.monotonically_increasing_id()])
-    before = spark.read.parquet(path).count() if there else 0
-    fresh.write.mode("append").parquet(path)
-    return spark.read.parquet(path).count() - before
+    table = spark.read.parquet(path) if there else spark.createDataFrame([], df.select(key).schema)
+    seen = Observation()
+    new_rows(df, table, key, order).select(*df.columns).observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
+    return seen.get["n"]
 
 
 def backfill(df: DataFrame, values: DataFrame, key: str, column: str) -> DataFrame:

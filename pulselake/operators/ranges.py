@@ -28,10 +28,17 @@ def verdict(value: Column, low: Column, high: Column) -> Column:
 
 
 def ranged(results: DataFrame, eras: DataFrame, key: str = "canonical_key", day: str = "panel_date", value: str = "value_num") -> DataFrame:
-    """``results`` with ``asof_low``, ``asof_high`` and ``asof_status`` from the era that held on its day; an equi join with a residual interval."""
-    e = eras.select(F.col("key").alias("_k"), F.col("ref_low").alias("asof_low"), F.col("ref_high").alias("asof_high"), F.col("valid_from").alias("_from"), F.col("valid_to").alias("_to"))
-    on = (F.col(key) == F.col("_k")) & (F.col("_from") <= F.col(day)) & (F.col("_to").isNull() | (F.col(day) <= F.col("_to")))
-    out = results.join(e, on, "left").drop("_k", "_from", "_to")
+    """``results`` with ``asof_low``, ``asof_high`` and ``asof_status`` from the era that held on its day.
+
+    Eras are spread over the years in which they hold and there are results, and meet those of their key and year; the interval is a residual. So a
+    result meets a year's eras and not all of its key's.
+    """
+    last = results.agg(F.max(F.year(day)).alias("_last"))
+    e = eras.crossJoin(F.broadcast(last)).where("year(valid_from) <= _last")
+    until = F.least(F.coalesce(F.year("valid_to"), F.col("_last")), F.col("_last"))
+    e = e.select(F.col("key").alias("_k"), F.col("ref_low").alias("asof_low"), F.col("ref_high").alias("asof_high"), F.col("valid_from").alias("_from"), F.col("valid_to").alias("_to"), F.explode(F.sequence(F.year("valid_from"), F.greatest(F.year("valid_from"), until))).alias("_y"))
+    on = (F.col(key) == F.col("_k")) & (F.year(day) == F.col("_y")) & (F.col("_from") <= F.col(day)) & (F.col("_to").isNull() | (F.col(day) <= F.col("_to")))
+    out = results.join(e, on, "left").drop("_k", "_from", "_to", "_y")
     return out.withColumn("asof_status", verdict(F.col(value), F.col("asof_low"), F.col("asof_high")))
 
 

@@ -116,6 +116,52 @@ def max_sim(queries: DataFrame, docs: DataFrame) -> DataFrame:
     return best.groupBy("q_id", "doc_id").agg(F.sum("s").alias("score"))
 
 
+def ragged(tokens: DataFrame) -> DataFrame:
+    """(doc_id, tokens array<array<float>>): the token vectors of each document in one row, so that it is scored in one place."""
+    return tokens.groupBy("doc_id").agg(F.collect_list(F.col("dv").cast("array<float>")).alias("tokens"))
+
+
+def late_top(queries: DataFrame, docs: DataFrame, k: int = 10, block: int = 4096, digits: int = 6) -> DataFrame:
+    """(q_id, doc_id, score, rank) of the ``k`` best documents by late interaction, ties by id.
+
+    ``queries(q_id, q_pos, qv)`` go to the tasks in blocks of about ``block`` token vectors, whole queries together; ``docs(doc_id, tokens)`` as by ``ragged``. A task keeps k documents of each
+    batch for each query and what ties with the last of them; pairs of tokens never leave it.
+    """
+    spark = queries.sparkSession
+    rows = queries.select("q_id", "q_pos", "qv").where("qv is not null")
+    blocks = max(1, -(-rows.count() // block))
+    numbered = rows.withColumn("b", F.pmod(F.xxhash64("q_id"), F.lit(blocks)))
+    q_kind, kind = (f.dataType.simpleString() for f in (queries.schema["q_id"], docs.schema["doc_id"]))
+    q_arrow = to_arrow_type(queries.schema["q_id"].dataType)
+    out = None
+    for b in range(blocks):
+        part = numbered.where(F.col("b") == b).orderBy("q_id", "q_pos").collect()
+        if not part:
+            continue
+        first = [i for i, r in enumerate(part) if not i or r.q_id != part[i - 1].q_id]
+        held = spark.sparkContext.broadcast((pa.array([part[i].q_id for i in first], q_arrow), np.array([r.qv for r in part], np.float64), np.array(first)))
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            ids, q, starts = held.value
+            for batch in batches:
+                for at in range(0, batch.num_rows, 1000):
+                    some = batch.slice(at, 1000)
+                    some = some.filter(pa.array(np.array([v is not None and len(v) > 0 for v in some.column(1).to_pylist()], bool)))
+                    if not some.num_rows:
+                        continue
+                    per = np.array([len(v) for v in some.column(1).to_pylist()])
+                    tokens = some.column(1).flatten().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(int(per.sum()), -1)
+                    best = np.maximum.reduceat(tokens @ q.T, np.cumsum(per) - per, axis=0)
+                    s = np.round(np.add.reduceat(best, starts, axis=1), digits)
+                    least = np.partition(s, len(s) - k, axis=0)[len(s) - k] if len(s) > k else np.full(s.shape[1], -np.inf)
+                    doc, who = np.nonzero(s >= least)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(who)), some.column(0).take(pa.array(doc)), pa.array(s[doc, who])], ["q_id", "doc_id", "score"])
+
+        one = docs.select("doc_id", "tokens").mapInArrow(run, f"q_id {q_kind}, doc_id {kind}, score double")
+        out = one if out is None else out.union(one)
+    return top(out, k) if out is not None else top(spark.createDataFrame([], f"q_id {q_kind}, doc_id {kind}, score double"), k)
+
+
 def macros(kcal, protein, fat, carbs) -> Column:
     """Energy over 900 and the three macros over 100; null counts as 0."""
     return F.array(F.coalesce(kcal, F.lit(0.0)) / 900, *(F.coalesce(c, F.lit(0.0)) / 100 for c in (protein, fat, carbs)))

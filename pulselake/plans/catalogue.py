@@ -256,8 +256,7 @@ def q_dense_topk(spark, sf_dir):
 
 def _ten(spark, sf_dir) -> DataFrame:
     q, d = _vectors(spark, sf_dir)
-    scores = retrieval.dense_scores(q, d.select("doc_id", "dv")).withColumn("score", F.round("score", 6))
-    return retrieval.top(scores, 10).join(d.select("doc_id", F.col("label").alias("dl")), "doc_id").join(q.select("q_id").join(d.select(F.col("doc_id").alias("q_id"), F.col("label").alias("ql")), "q_id"), "q_id")
+    return retrieval.dense_top(q, d, 10).join(d.select("doc_id", F.col("label").alias("dl")), "doc_id").join(q.select("q_id").join(d.select(F.col("doc_id").alias("q_id"), F.col("label").alias("ql")), "q_id"), "q_id")
 
 
 @query(f"""
@@ -282,7 +281,7 @@ select q_id, doc_id, cosine, macro_sim, score from (select *, row_number() over
 def q_macro_rerank(spark, sf_dir):
     q, d = _vectors(spark, sf_dir)
     four = lambda c: F.transform(F.slice(c, 1, 4), lambda x: F.abs(x).cast("double"))
-    short = retrieval.top(retrieval.dense_scores(q, d).withColumn("score", F.round("score", 6)), 25)
+    short = retrieval.dense_top(q, d, 25)
     both = short.join(q.select("q_id", four("qv").alias("qm")), "q_id").join(d.select("doc_id", four("dv").alias("dm")), "doc_id")
     r = both.withColumn("macro_sim", F.round(retrieval.macro_similarity("qm", "dm"), 6)).withColumnRenamed("score", "cosine")
     r = r.withColumn("score", F.round(0.5 * F.col("cosine") + 0.5 * F.col("macro_sim"), 6)).drop("rank")
@@ -302,12 +301,16 @@ def q_bm25(spark, sf_dir):
     return retrieval.bm25(q, read(spark, sf_dir, "documents").select("doc_id", "text")).select("q_id", "doc_id", F.round("score", 4).alias("score"))
 
 
-@query(f"with {_RANKED}, u as (select q_id, doc_id, rn, row_number() over (partition by q_id order by abs(doc_id - q_id), doc_id) as rn2 from t) select q_id, doc_id, round(1.0/(60+rn-1) + 1.0/(60+rn2-1), 9) as score from u")
+_HEAD = "select q.vec_id as q_id, d.vec_id as doc_id, round(list_sum(list_transform(list_zip(q.embedding[1:8], d.embedding[1:8]), lambda z: z[1]::double * z[2]::double)), 6) as score from embeddings q join embeddings d on q.vec_id % 50 = 0"
+
+
+@query(f"""with {_RANKED}, v as (select *, row_number() over (partition by q_id order by score desc, doc_id) as rn from ({_HEAD})), u as (select q_id, doc_id, rn from t where rn <= 100 union all select q_id, doc_id, rn from v where rn <= 100)
+select q_id, doc_id, round(sum(1.0/(60+rn-1)), 9) as score from u group by 1, 2""")
 def q_rrf(spark, sf_dir):
+    """The hundred best by whole vectors and by their first eight numbers, fused."""
     q, d = _vectors(spark, sf_dir)
-    dense = retrieval.top(retrieval.dense_scores(q, d).withColumn("score", F.round("score", 6)), None)
-    near = retrieval.top(dense.select("q_id", "doc_id", (-F.abs(F.col("doc_id") - F.col("q_id"))).alias("score")), None)
-    return retrieval.fuse([dense, near]).select("q_id", "doc_id", F.round("score", 9).alias("score"))
+    head = retrieval.dense_top(q.withColumn("qv", F.slice("qv", 1, 8)), d.withColumn("dv", F.slice("dv", 1, 8)), 100)
+    return retrieval.fuse([retrieval.dense_top(q, d, 100), head]).select("q_id", "doc_id", F.round("score", 9).alias("score"))
 
 
 @query(f"with {_SIM}, m as (select ql, q_id, dl, max(score) as s from s group by 1,2,3) select ql as q_label, dl as d_label, round(sum(s),4) as score from m group by 1,2")
@@ -320,9 +323,12 @@ def q_maxsim(spark, sf_dir):
 
 def _two_corpora(spark, sf_dir) -> DataFrame:
     q, d = _vectors(spark, sf_dir)
-    s = retrieval.dense_scores(q, d.select("doc_id", "dv")).withColumn("score", F.round("score", 6)).where("doc_id <> q_id")
     label = d.select("doc_id", F.col("label").alias("dl"))
-    best = lambda odd: retrieval.top(s.where(F.col("doc_id") % 2 == odd), 1).join(label, "doc_id")
+
+    def best(odd: int) -> DataFrame:  # the query itself may be among the first two
+        two = retrieval.dense_top(q, d.where(F.col("doc_id") % 2 == odd), 2).where("doc_id <> q_id").drop("rank")
+        return retrieval.top(two, 1).join(label, "doc_id")
+
     ql = d.select(F.col("doc_id").alias("q_id"), F.col("label").alias("ql"))
     a, b = best(0).select("q_id", F.col("score").alias("cos_a"), F.col("dl").alias("la")), best(1).select("q_id", F.col("score").alias("cos_b"), F.col("dl").alias("lb"))
     return a.join(b, "q_id").join(ql, "q_id").select("q_id", "cos_a", "cos_b", (F.col("la") == F.col("ql")).alias("ok_a"), (F.col("lb") == F.col("ql")).alias("ok_b"))
@@ -365,13 +371,17 @@ def q_stems(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.size(text.stems(F.col("text"))).cast("long").alias("n_stems")).where("n_stems > 0")
 
 
-@query(f"""with k as (select item_id, list_distinct(list_transform(regexp_extract_all(lower(array_to_string(string_split(text,' ')[1:2],' ')), '([a-z]+)', 1), lambda w: {_STEM})) as ks from benchmark where item_id % 50 = 0),
-d as (select doc_id, list_distinct(list_transform(regexp_extract_all(lower(text), '([a-z]+)', 1), lambda w: {_STEM})) as ds from documents)
-select item_id, count(*) as n_relevant from k, d where len(ks)>0 and list_has_all(ds, ks) group by 1""")
+#: The stated keywords: any of a row's phrases, all of its words in any order and form.
+_KEYWORDS = [("en", ["the thand", "and ofs"]), ("de", ["und der", "nichts"]), ("fr", ["les parles", "ment"]), ("es", ["que los", "cióna"]), ("none", [])]
+
+
+@query(f"""with k as (select name, unnest(kws) as kw from (values {', '.join(f"('{n}', [{', '.join(repr(x) for x in ks)}]::varchar[])" for n, ks in _KEYWORDS)}) t(name, kws)),
+ks as (select name, kw, list_distinct(list_transform(regexp_extract_all(lower(kw), '([a-z]+)', 1), lambda w: {_STEM})) as ks from k), d as (select doc_id, text, list_distinct(list_transform(regexp_extract_all(lower(text), '([a-z]+)', 1), lambda w: {_STEM})) as ds from documents where text <> '')
+select name, count(distinct doc_id) as n_relevant from ks, d where len(ks) > 0 and list_has_all(ds, ks) group by 1""")
 def q_match(spark, sf_dir):
-    k = read(spark, sf_dir, "benchmark").where("item_id % 50 = 0").select("item_id", F.array(F.array_join(F.slice(F.split("text", " "), 1, 2), " ")).alias("kw"))
+    k = spark.createDataFrame(_KEYWORDS, "name string, kw array<string>")  # five rows
     d = read(spark, sf_dir, "documents").select("text")
-    return d.crossJoin(F.broadcast(k)).where(text.matches(F.col("text"), F.col("kw"))).groupBy("item_id").agg(F.count("*").alias("n_relevant"))
+    return d.crossJoin(F.broadcast(k)).where(text.matches(F.col("text"), F.col("kw"))).groupBy("name").agg(F.count("*").alias("n_relevant"))
 
 
 @query(r"select doc_id, md5(trim(regexp_replace(regexp_replace(lower(strip_accents(text)), '[^a-z0-9 ]', ' ', 'g'), '\s+', ' ', 'g'))) as folded from documents")
