@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from pulselake.llm._store import components
-from pulselake.llm.lines import _radius, edit_distance, fuzzy_lines, line_parts, normal_form, similar, without_fuzzy_lines
+from pulselake.llm.lines import _radius, edit_distance, fuzzy_lines, gram_bitmaps, line_parts, most_grams, normal_form, similar, without_fuzzy_lines
 from pulselake.llm.near import Banding, drop_near_duplicates, estimated_jaccard, minhashes, near_duplicates, odd_sketches
 from pulselake.llm.paragraphs import repeated_paragraphs, tuned, without_repeats
 from pulselake.llm.substrings import refined, remove_repeats
@@ -280,6 +280,10 @@ def test_candidates_of_fuzzy_lines_reach_a_recall_of_nine_tenths(n):
         parts = [line_parts([p[i] for p in pairs]) for i in (0, 1)]
     keys = [[set(p[6][p[7][i] : p[7][i + 1]].tolist()) for i in range(len(pairs))] for p in parts]
     near = np.bitwise_count(parts[0][5].view(np.uint64) ^ parts[1][5].view(np.uint64)) <= _radius(np.minimum(parts[0][2], parts[1][2]))
+    with np.errstate(over="ignore"):
+        bits = [gram_bitmaps([p[i] for p in pairs]) for i in (0, 1)]
+    apart = np.maximum(bits[0][1], bits[1][1]) - np.bitwise_count(bits[0][0] & bits[1][0]).sum(1)
+    near &= apart <= most_grams(np.maximum(parts[0][2], parts[1][2]), 80)
     found = [bool(a & b) and bool(ok) for a, b, ok in zip(*keys, near)]
     print(n, "words: recall", np.mean(found))
     assert np.mean(found) >= 0.9
