@@ -700,3 +700,197 @@ def q_food_map(spark, sf_dir):
     products = e.where("vec_id % 50 = 0").select(name.alias("product"), F.upper(name).alias("en_name"), "embedding", (v(0) * 900).alias("energy_kcal"), (v(1) * 100).alias("protein_g"), none.alias("fat_g"), none.alias("carbs_g"))
     table = food_table(spark, sf_dir).join(e.select(F.col("vec_id").alias("fdc_id"), "embedding"), "fdc_id")
     return foods.food_map(products, table).withColumns({c: F.round(c, 6) for c in ("macro_sim", "score")})
+
+
+# --- sources and sinks: exports written from the star schema to a scratch folder and read back ---
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder where all executors can write: under spark.checkpoint.dir, or one of this machine's if all executors are in this process."""
+    import tempfile
+    import uuid
+
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder")
+        top = tempfile.mkdtemp(prefix="pulselake-")
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _attributes(**values) -> F.Column:
+    """XML attributes of the columns that have a value."""
+    return F.concat_ws(" ", *(F.when(c.isNotNull(), F.concat(F.lit(f'{n}="'), c.cast("string"), F.lit('"'))) for n, c in values.items()))
+
+
+def _said_at(seconds: int = 0) -> F.Column:
+    return F.concat(F.date_format(F.col("ts") + F.expr(f"interval {seconds} seconds"), "yyyy-MM-dd HH:mm:ss"), F.lit(" +0100"))
+
+
+def export_path(spark, sf_dir) -> str:
+    """An export of all events: records, every fifth of them in a correlation of its own and in the open as well, workouts and summaries."""
+    e = read(spark, sf_dir, "events")
+    kind = pick(("HKQuantityTypeIdentifierStepCount", "HKCategoryTypeIdentifierMenstrualFlow", "SomeOtherType"), F.col("event_id"))
+    value = F.when(F.col("event_id") % 3 == 1, "HKCategoryValueVaginalBleedingLight").otherwise(F.round("value").cast("int").cast("string"))
+    record = F.concat(F.lit("<Record "), _attributes(type=kind, sourceName=F.concat(F.lit("s"), F.col("user_id")), unit=F.when(F.col("event_id") % 3 == 0, "count"), startDate=_said_at(), endDate=_said_at(60), value=value), F.lit("/>"))
+    inside = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("\n<Correlation "), _attributes(type=F.lit("HKCorrelationTypeIdentifierFood"), sourceName=F.lit("c"), startDate=_said_at(), endDate=F.col("event_id")), F.lit(">"), record, F.lit("</Correlation>"))).otherwise("")
+    workout = F.when(F.col("event_type") == "purchase", F.concat(F.lit("\n<Workout "), _attributes(workoutActivityType=F.lit("HKWorkoutActivityTypeRunning"), duration=F.col("event_id"), durationUnit=pick(("min", "s"), F.col("event_id")), sourceName=F.lit("w"), startDate=_said_at(), endDate=_said_at(90)), F.lit("/>"))).otherwise("")
+    day = F.date_format("ts", "yyyy-MM-dd")
+    summary = F.concat(F.lit("\n<ActivitySummary "), _attributes(dateComponents=day, activeEnergyBurned=F.lit("7.5"), appleExerciseTime=F.lit("x"), appleStandHours=F.lit(9)), F.lit("/>"))
+    path = scratch(spark, "export")
+    lines = e.select(F.concat(record, inside, workout, F.when(F.col("user_id") == 8, summary).otherwise("")).alias("value"))
+    line = lambda x: spark.createDataFrame([(x,)], "value string")
+    line("<HealthData>").union(lines).union(line("</HealthData>")).coalesce(1).write.text(path)
+    return path
+
+
+_STAMP = "strftime(ts + interval {s} second, '%Y-%m-%d %H:%M:%S') || ' +0100'"
+_RECORDS = f"""x as (select *, ['HKQuantityTypeIdentifierStepCount', 'HKCategoryTypeIdentifierMenstrualFlow', 'SomeOtherType'][event_id % 3 + 1] as kind, case when event_id % 3 = 1 then 'HKCategoryValueVaginalBleedingLight' else round(value)::int::varchar end as v, {_STAMP.format(s=0)} as t0, {_STAMP.format(s=60)} as t1, {_STAMP.format(s=90)} as t2 from events),
+y as (select *, case when event_id % 3 < 2 then regexp_replace(kind, '^HK(Quantity|Category)TypeIdentifier', '') else kind end as metric from x),
+z as (select *, sha1(concat_ws(chr(31), metric, 's' || user_id, t0, t1, v)) as row_key from y)"""
+
+
+@query(f"""with {_RECORDS} select row_key, metric, case event_id % 3 when 0 then 'Quantity' when 1 then 'Category' end as record_kind, try_cast(v as double) as value_num, case when try_cast(v as double) is null then v end as value_str, case when event_id % 3 = 0 then 'count' end as unit,
+  floor(epoch(ts - interval 1 hour))::bigint as start_s, 's' || user_id as source, case when event_id % 5 = 0 then 'corr-' || sha1(concat_ws(chr(31), 'Food', 'c', t0, event_id::varchar))[1:16] end as correlation_id from z qualify row_number() over (partition by row_key order by event_id) = 1""")
+def q_export_records(spark, sf_dir):
+    m = exports.measurements(spark, export_path(spark, sf_dir))
+    return m.select("row_key", "metric", "record_kind", "value_num", "value_str", "unit", F.unix_timestamp("start_ts").alias("start_s"), "source", "correlation_id")
+
+
+@query(f"""with {_RECORDS} select sha1(concat_ws(chr(31), 'Running', 'w', t0, t2, case when event_id <> 0 then event_id::double::varchar else '' end)) as row_key, 'Running' as workout_type, case when event_id % 2 = 0 then event_id * 60.0 else event_id end::double as duration_s, 'w' as source from z where event_type = 'purchase'""")
+def q_export_workouts(spark, sf_dir):
+    return exports.workouts(spark, export_path(spark, sf_dir)).select("row_key", "workout_type", "duration_s", "source")
+
+
+@query("select distinct strftime(ts, '%Y-%m-%d') as date_components, 7.5::double as active_energy, null::double as exercise_time, 9.0::double as stand_hours, null::double as move_time from events where user_id = 8")
+def q_export_summaries(spark, sf_dir):
+    return exports.activity_summary(spark, export_path(spark, sf_dir)).select("date_components", "active_energy", "exercise_time", "stand_hours", "move_time")
+
+
+_SPORT = ("Carrera", "Bicicleta", "Senderismo", "Esquí alpino", "", "Padel")
+_SPORT_AS = ("run", "ride", "hike", "ski", "other", "padel")
+
+
+@query(f"""select 'strava-' || o_orderkey as activity_id, {sql_list(_SPORT_AS)}[o_orderkey % 6 + 1] as activity_type, case when o_orderkey % 2 = 0 then 'name ' || o_orderkey end as name, o_totalprice / 1000 as distance_km, o_custkey::double as duration_s,
+  epoch((o_orderdate::timestamp + interval 6 hour) at time zone 'Europe/Budapest')::bigint as start_s from orders where o_orderkey % 9 <> 0""")
+def q_activity_csv(spark, sf_dir):
+    """A positional export of 21 fields; every ninth row is cut short and skipped."""
+    o = read(spark, sf_dir, "orders")
+    date = F.concat(F.lit('"'), F.dayofmonth("o_orderdate"), F.lit(" "), pick(_MONTHS, F.month("o_orderdate") - 1), F.lit(" "), F.year("o_orderdate"), F.lit(', 6:00:00"'))
+    fields = [F.col("o_orderkey"), date, F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("name "), "o_orderkey")).otherwise(""), pick(_SPORT, F.col("o_orderkey"))] + [F.lit("")] * 11 + [F.col("o_custkey"), F.lit("1"), F.col("o_totalprice"), F.lit("x"), F.lit("2.5"), F.lit("100")]
+    short = F.concat_ws(",", *(f.cast("string") for f in fields[:5]))
+    path = scratch(spark, "activities")
+    lines = o.select(F.when(F.col("o_orderkey") % 9 == 0, short).otherwise(F.concat_ws(",", *(f.cast("string") for f in fields))).alias("value"))
+    head = spark.createDataFrame([(",".join(f"h{i}" for i in range(21)),)], "value string")
+    head.union(lines).coalesce(1).write.text(path)
+    a = exports.activity_csv(spark, path, ZONE)
+    return a.select("activity_id", "activity_type", "name", "distance_km", "duration_s", F.unix_timestamp("start_ts").alias("start_s"))
+
+
+@query(f"with {FOODS} select * from fd")
+def q_foods_from_csv(spark, sf_dir):
+    """The food folder as CSV files, read by name and with its types."""
+    path, t = scratch(spark, "foods"), food_tables(spark, sf_dir)
+    t["food"].withColumn("publication_date", F.lit("2020-01-01")).select("fdc_id", "data_type", "description", "food_category_id", "publication_date").write.csv(f"{path}/food.csv", header=True)
+    t["food_category"].select("id", F.lit("c").alias("code"), "description").write.csv(f"{path}/food_category.csv", header=True)
+    t["food_nutrient"].select(F.lit(1).alias("id"), "fdc_id", "nutrient_id", "amount").write.csv(f"{path}/food_nutrient.csv", header=True)
+    columns = ("id", "fdc_id", "fdc_id_of_input_food", "seq_num", "amount", "sr_code", "sr_description", "unit", "portion_code", "portion_description", "gram_weight", "retention_code")
+    i = t["input_food"]
+    i.select(*(F.col(c) if c in i.columns else F.lit(None).cast("string").alias(c) for c in columns)).write.csv(f"{path}/input_food.csv", header=True)
+    got = exports.food_csvs(spark, path)
+    return foods.foods(got["food"], got["food_category"], got["food_nutrient"])
+
+
+@query("select p_partkey::varchar as code, p_name || ' \"x' as product_name, p_brand as brands, p_size::varchar as energy from part")
+def q_product_tsv(spark, sf_dir):
+    """A gzipped dump of tab-separated text with bare quotes."""
+    p = read(spark, sf_dir, "part")
+    path = scratch(spark, "products")
+    cells = {"code": F.col("p_partkey"), "product_name": F.concat("p_name", F.lit(' "x')), "brands": F.col("p_brand"), "energy-kcal_100g": F.col("p_size")}
+    line = F.concat_ws("\t", *(F.coalesce(cells[c].cast("string"), F.lit("")) if c in cells else F.lit("z") for c in exports.PRODUCT_COLUMNS))
+    head = spark.createDataFrame([("\t".join(exports.PRODUCT_COLUMNS),)], "value string")
+    head.union(p.select(line.alias("value"))).coalesce(1).write.option("compression", "gzip").text(path)
+    t = exports.product_tsv(spark, path, 4)
+    return t.select("code", "product_name", "brands", F.col("`energy-kcal_100g`").alias("energy"))
+
+
+@query(f"with {LOG} select log_date, log_time, meal, product, amount, kcal_total, carbs_total from yl")
+def q_food_log(spark, sf_dir):
+    path, back = scratch(spark, "log"), {n: c for c, (n, _) in exports.LOG_COLUMNS.items()}
+    food_log(spark, sf_dir).withColumnsRenamed(back).select(*exports.LOG_COLUMNS).write.csv(path, header=True)
+    return exports.food_log(spark, path).select("log_date", "log_time", "meal", "product", "amount", "kcal_total", "carbs_total")
+
+
+@query("select 'p' || n_nationkey as product, n_name || '|kw' as keywords, case when n_nationkey % 2 = 0 then 'simple' end as explicit from nation")
+def q_gold_json(spark, sf_dir):
+    n = read(spark, sf_dir, "nation")
+    words = F.concat(F.lit('["'), "n_name", F.lit('", "kw"]'))
+    entry = F.concat(F.lit('"p'), "n_nationkey", F.lit('": '), F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit('{"kw": '), words, F.lit(', "class": "simple"}'))).otherwise(words))
+    path = scratch(spark, "gold")
+    n.agg(F.concat(F.lit("{"), F.array_join(F.collect_list(entry), ", "), F.lit("}")).alias("value")).coalesce(1).write.text(path)
+    g = exports.gold_labels(spark, path)
+    return g.select("product", F.array_join("keywords", "|").alias("keywords"), "explicit")
+
+
+@query(f"with {GRAPH} select 'Food' as \"table\", count(*) as n, sum(fdc_id)::bigint as ids from fd union all select 'HAS_NUTRIENT', count(*), sum(fdc_id)::bigint from hn union all select 'EATEN', count(*), sum(fdc_id)::bigint from ea")
+def q_graph_files(spark, sf_dir):
+    """The graph written as Parquet, table by table, and read back."""
+    path = scratch(spark, "graph")
+    whole_graph(spark, sf_dir).write(path)
+    out = None
+    for name, c in (("Food", "fdc_id"), ("HAS_NUTRIENT", "src"), ("EATEN", "dst")):
+        one = spark.read.parquet(f"{path}/{name}").agg(F.lit(name).alias("table"), F.count("*").alias("n"), F.sum(c).alias("ids"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query(f"with {MEASUREMENTS} select row_key, metric, value_num, source from m")
+def q_ingested(spark, sf_dir):
+    """Two overlapping exports streamed into one table, the second twice."""
+    from ..streaming import increments
+
+    m = measurements(spark, sf_dir)
+    path = scratch(spark, "ingest")
+    first, second = m.where("cast(row_key as long) % 3 < 2"), m.where("cast(row_key as long) % 3 > 0")
+    for part in (first, second, second):
+        part.write.mode("append").parquet(f"{path}/in")
+        increments.ingest(increments.file_stream(spark, f"{path}/in", m.schema), f"{path}/table", f"{path}/checkpoint")
+    return spark.read.parquet(f"{path}/table").select("row_key", "metric", "value_num", "source")
+
+
+@query(f"with {MEASUREMENTS} select day, metric, count(*) as n, sum(value_num) as total from m group by 1, 2")
+def q_streamed_totals(spark, sf_dir):
+    from ..streaming import increments
+
+    m = measurements(spark, sf_dir).withColumn("start_ts", F.col("start_ts").cast("timestamp"))
+    path = scratch(spark, "totals")
+    m.write.parquet(f"{path}/in")
+    name = "totals_" + path.rsplit("-", 1)[-1]
+    q = increments.daily_totals(increments.file_stream(spark, f"{path}/in", m.schema), zone=ZONE).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{path}/checkpoint").start()
+    q.awaitTermination()
+    return spark.table(name)
+
+
+@query("select p_partkey as id, upper(p_name) as said, case when p_size % 2 = 0 then 'again' else 'new' end as state from part")
+def q_text_cache(spark, sf_dir):
+    """Hypothetical documents from a JSON cache: what is there under the same text is kept, what is new or has another text is made again."""
+    from ..sources import providers
+
+    p = read(spark, sf_dir, "part")
+    path = scratch(spark, "hyde")
+    texts = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"))
+    old = p.where("p_size % 2 = 0").select(F.col("p_partkey").alias("id"), F.lit("older text").alias("text"))
+    providers.text_cache(old, "id", "text", path, lambda t: ["stale"] * len(t), "said").count()
+    got = providers.text_cache(texts, "id", "text", path, lambda t: [x.upper() for x in t], "said")
+    return got.join(p.select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") % 2 == 0, "again").otherwise("new").alias("state")), "id").select("id", "said", "state")
+
+
+@query("select p_partkey as id, round(1.0, 4) as length, p_name as said from part")
+def q_embedded(spark, sf_dir):
+    """Vectors of length 1 of every name, and what the translator (a stand-in) made of it."""
+    from ..sources import providers
+
+    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"))
+    v = providers.embed(p, "id", "text")
+    said = providers.per_text(p, "text", lambda t: [x for x in t], "said")
+    return v.join(p, "id").join(said, "text").select("id", F.round(F.sqrt(retrieval.dot("embedding", "embedding")), 4).alias("length"), "said")

@@ -64,6 +64,47 @@ def per_text(df: DataFrame, text: str, provider: Callable[[list[str]], list[str]
     return df.select(text).distinct().mapInPandas(run, f"{text} string, {out} string")
 
 
+def text_cache(df: DataFrame, key: str, text: str, path: str, provider: Callable[[list[str]], list[str]], out: str) -> DataFrame:
+    """(key, out): the provider's reply to each row's text, from the JSON lines under ``path``; rows that it lacks, or has under another text, are asked for and appended.
+
+    The cache holds every reply with the hash of its text, so a changed text finds no stale reply.
+    """
+    spark = df.sparkSession
+    kind = df.schema[key].dataType.simpleString()
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    rows = df.select(key, text, F.sha2(text, 256).alias("_of")).where(F.col(text).isNotNull())
+
+    def known() -> DataFrame:
+        there = p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+        schema = f"{key} {kind}, _of string, {out} string"
+        return spark.read.schema(schema).json(path) if there else spark.createDataFrame([], schema)
+
+    missing = rows.join(known().select(key, "_of"), [key, "_of"], "left_anti")
+    made = missing.join(per_text(missing, text, provider, out), text).select(key, "_of", out)
+    made.write.mode("append").json(path)
+    return rows.join(known(), [key, "_of"]).select(key, out)
+
+
+def encode_tokens(df: DataFrame, key: str, text: str, provider: Callable[[list[str]], list[np.ndarray]], batch: int = 64) -> DataFrame:
+    """(key, tokens array<array<float>>): one vector of length 1 for each token that the provider finds in a text; as many as there are, so rows differ in length."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for i in range(0, len(pdf), batch):
+                part = pdf.iloc[i : i + batch]
+                got = provider([t or "" for t in part[text]])
+                unit = [m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9) if len(m) else m for m in got]
+                yield pd.DataFrame({key: part[key].to_numpy(), "tokens": [[row.tolist() for row in m] for m in unit]})
+
+    return df.select(key, text).mapInPandas(run, f"{key} {kind}, tokens array<array<float>>")
+
+
+def hashed_tokens(texts: list[str], dim: int = 32) -> list[np.ndarray]:
+    """An offline token encoder: the hashed letters of each word."""
+    return [hashed_words(t.lower().split(), "token", dim) if t.split() else np.zeros((0, dim), np.float32) for t in texts]
+
+
 def dictionary(words: dict[str, str]) -> Callable[[list[str]], list[str]]:
     """An offline translator."""
     return lambda texts: [words.get(t, t) for t in texts]

@@ -374,3 +374,87 @@ def test_reports_and_schemas(spark):
     assert {r.rule for r in schemas.violations(twice, "biomarker_map").collect()} == {"null method", "repeated key"}
     p = stats.prediction_scores(spark.createDataFrame([("a", "k"), ("b", None), ("c", "q")], "name string, key string"), spark.createDataFrame([("a", "k"), ("b", "z"), ("c", "r")], "name string, key string")).first()
     assert (p.abstained, p.wrong, round(p.accuracy, 3), p.precision) == (1, 1, 0.333, 0.5)
+
+
+def test_spot_checks_and_counts(spark):
+    m = spark.createDataFrame([("a",)] * 5, "metric string")
+    assert {r.name: (r.actual, r.state) for r in reports.spot_checks(m, {"a": 5, "b": 0, "c": 3}).collect()} == {"a": (5, "OK"), "b": (0, "OK"), "c": (0, "DRIFT")}
+    pages = spark.createDataFrame([("x", ["a" * 70, "b" * 80]), ("y", ["", "c" * 90]), ("z", [])], "path string, pages array<string>")
+    assert {r.route: (r.files, r.pages) for r in labs.route_counts(pages).collect()} == {"text": (1, 2), "mixed": (1, 2), "scanned": (1, 0)}
+
+
+def test_gold_names_and_resolvers(spark):
+    from pulselake.operators import experiments
+    from pulselake.operators.gold import GOLD, gold, novel
+
+    assert len(GOLD) == 148
+    g = gold(spark)
+    got = analytes.resolve(g.select("name", F.lit(None).cast("string").alias("unit"))).select("name", "key")
+    r = experiments.resolver_report({"rules": got}, g).first()
+    assert (r.n, r.accuracy, r.wrong, r.abstained) == (148, 1.0, 0, 0)
+    worse = got.withColumn("key", F.when(F.length("name") > 6, F.col("key")))
+    d = experiments.disagreements(got, worse, g, 5).collect()
+    assert len(d) == 5 and [x.ord for x in d] == sorted(x.ord for x in d) and all(x.key_b is None and x.key_a == x.truth for x in d)
+    n = experiments.novel_ablation({"rules": analytes.resolve(novel(spark).select("name", "unit")).select("name", "key")}, novel(spark)).collect()
+    assert {x.name for x in n if x.ok} >= {"HbA1c"} and len(n) == 4
+
+
+def test_experiments_on_a_small_corpus(spark):
+    from pulselake.operators import experiments
+
+    v = {"a": [1.0, 0.0], "b": [0.6, 0.8], "c": [0.0, 1.0]}
+    main = spark.createDataFrame([(1, v["a"], "x"), (2, v["b"], "y")], "doc_id long, dv array<double>, dkey string")
+    more = spark.createDataFrame([(1, v["c"], "z"), (3, None, "z")], "doc_id long, dv array<double>, dkey string")
+    both = experiments.concatenated({"m": main, "o": more})
+    assert {(r.doc_id, r.corpus) for r in both.collect()} == {("m:1", "m"), ("m:2", "m"), ("o:1", "o"), ("o:3", "o")}
+    q = spark.createDataFrame([(1, v["a"], "x"), (2, v["c"], "z")], "q_id long, qv array<double>, qkey string")
+    got = {r.corpus: (r.n, r.s1, r.supplied) for r in experiments.corpus_ablation(q, {"m": main, "o": more}, "m", lambda a, b: a == b).collect()}
+    assert got == {"m": (2, 0.5, 0), "combined": (2, 1.0, 1)}
+    ranking = spark.createDataFrame([(1, 5, 0), (1, 6, 1), (2, 7, 0), (2, 8, 6)], "q_id long, doc_id long, rank int")
+    right = spark.createDataFrame([(1, 6), (2, 8), (2, 8)], "q_id long, doc_id long")
+    asked = spark.createDataFrame([(1,), (2,), (3,)], "q_id long")
+    r = experiments.recall_at(ranking, right, asked).first()
+    assert (r.r1, round(r.r5, 4), round(r.r10, 4), round(r.mrr, 4)) == (0.0, 0.3333, 0.6667, round((1 / 2 + 1 / 7) / 3, 4))
+    assert experiments.outcomes(ranking, right, asked).count() == 3
+
+
+def test_late_interaction_over_ragged_documents(spark):
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+    docs = [(i, rnd.normal(size=(1 + i % 4, 5)).round(3)) for i in range(40)]
+    asked = [(q, p, rnd.normal(size=5).round(3)) for q in range(3) for p in range(2 + q)]
+    tokens = spark.createDataFrame([(i, row.tolist()) for i, m in docs for row in m], "doc_id long, dv array<double>")
+    queries = spark.createDataFrame([(q, p, v.tolist()) for q, p, v in asked], "q_id long, q_pos int, qv array<double>")
+    want = {}
+    for q in range(3):
+        s = sorted(((-round(sum(float(np.max(m.astype(np.float32).astype(float) @ v)) for qq, _, v in asked if qq == q), 4), i) for i, m in docs))[:7]
+        want[q] = [i for _, i in s]
+    got = {}
+    for r in retrieval.late_top(queries, retrieval.ragged(tokens), 7, block=3, digits=4).collect():
+        got.setdefault(r.q_id, []).append((r["rank"], r.doc_id))
+    assert {q: [d for _, d in sorted(x)] for q, x in got.items()} == want
+    plain = retrieval.top(retrieval.max_sim(queries, tokens.select("doc_id", F.col("dv").cast("array<float>").alias("dv"))).withColumn("score", F.round("score", 4)), 7)
+    assert {(r.q_id, r.doc_id) for r in plain.collect()} == {(q, d) for q, x in want.items() for d in x}
+    assert retrieval.late_top(queries, retrieval.ragged(tokens.limit(0)), 7).count() == 0
+
+
+def test_text_cache_and_token_vectors(spark, tmp_path):
+    df = spark.createDataFrame([(1, "one text"), (2, "other"), (3, None), (4, "")], "id long, text string")
+    asked = str(tmp_path / "cache")
+    first = providers.text_cache(df, "id", "text", asked, lambda t: [x + "!" for x in t], "said")
+    assert {r.id: r.said for r in first.collect()} == {1: "one text!", 2: "other!", 4: "!"}
+    changed = df.withColumn("text", F.when(F.col("id") == 2, "new").otherwise(F.col("text")))
+    again = providers.text_cache(changed, "id", "text", asked, lambda t: [x + "?" for x in t], "said")
+    assert {r.id: r.said for r in again.collect()} == {1: "one text!", 2: "new?", 4: "!"}
+    sizes = {r.id: len(r.tokens) for r in providers.encode_tokens(df, "id", "text", providers.hashed_tokens).collect()}
+    assert sizes == {1: 2, 2: 1, 3: 0, 4: 0}
+
+
+def test_first_write_wins_wherever_the_rows_are(spark):
+    rows = [("k", "b"), ("k", "a"), ("k", "c"), ("l", "z")]
+    df = spark.createDataFrame(rows, "row_key string, v string")
+    empty = df.limit(0)
+    picks = {tuple(sorted((r.row_key, r.v) for r in keys.new_rows(df.repartition(n), empty, "row_key").collect())) for n in (1, 3, 7)}
+    assert len(picks) == 1
+    assert [r.v for r in keys.new_rows(df, empty, "row_key", [F.col("v")]).orderBy("row_key").collect()] == ["a", "z"]
