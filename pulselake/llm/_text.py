@@ -47,8 +47,8 @@ def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[off[0] : off[-1]], off - off[0]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with about ``most`` bytes of text each (one row at least)."""
+def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 17) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about ``most`` bytes of text each (one row at least): arrays of eight bytes for each byte of text then stay in a core's cache."""
     for batch in batches:
         if not batch.num_rows:
             continue

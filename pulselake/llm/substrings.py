@@ -155,7 +155,7 @@ def _anchors(rows: DataFrame, length: int, brief: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
-            for b in pieces(batches, "text", 2 << 20):
+            for b in pieces(batches, "text"):
                 buf, off = bytes_of(b.column("text"))
                 row, lo, n, at, h, ctx = stretches(buf, off, length)
                 lo = lo - off[:-1][row]
@@ -210,12 +210,12 @@ def repeated_intervals(rows: DataFrame, length: int = 200) -> DataFrame:
     carved = cut(texts.mapInArrow(carve, "h long, th binary, lo int, again boolean, crowded boolean, piece binary"), "pieces")
 
     def sort_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Batches of whole anchors, about 2 MB each."""
+        """Batches of whole anchors, about a quarter of a megabyte each: what is sorted then stays in a core's cache."""
         held: list[tuple] = []
         size = 0
         for b in batches:
             for r in zip(*(b.column(c).to_pylist() for c in ("h", "th", "lo", "again", "piece"))):
-                if size > 2 << 20 and held[-1][0] != r[0]:
+                if size > 1 << 18 and held[-1][0] != r[0]:
                     yield _settled(held, length)
                     held, size = [], 0
                 held.append(r)
