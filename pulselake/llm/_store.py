@@ -134,7 +134,7 @@ def components(edges: DataFrame, most: int = ONE_TASK_LINKS) -> DataFrame:
 def star_rounds(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph.
 
-    As ``components``, for any number of links. Alternates large-star and small-star
+    As ``components``, for any number of links: nulls and loops are ignored, repeated links count once, no link gives no row. Alternates large-star and small-star
     steps, so a component that is one long chain needs about log(length) rounds and no vertex's
     neighbours are ever gathered in one row. Every round is written to the shared folder.
     """

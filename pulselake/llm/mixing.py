@@ -29,18 +29,19 @@ def _bag(picked: DataFrame) -> DataFrame:
     return picked.select("id", "y", words.alias("w")).where("w <> ''")
 
 
-def fit_domains(docs: DataFrame, labels: DataFrame, domain: F.Column, id_col: str = "doc_id", text_col: str = "text", most: int = 4_000, most_words: int = 2_000, least_docs: int = 30) -> tuple[list[str], DataFrame, dict[str, float]]:
+def fit_domains(docs: DataFrame, labels: DataFrame, domain: F.Column, id_col: str = "doc_id", text_col: str = "text", most: int = 4_000, most_words: int = 2_000) -> tuple[list[str], DataFrame, dict[str, float]]:
     """Names of the domains, (w, ll array) log-likelihood terms and log priors.
 
-    Domains with fewer than ``least_docs`` labelled documents there are left out. The classifier is fit on the ``most`` labelled documents with the smallest id hashes; the ``most_words``
+    The classifier is fit on the ``most`` labelled documents with the smallest id hashes; the ``most_words``
     words whose likelihoods differ most between domains make its vocabulary. Both bounds are parameters; the
-    vocabulary (most_words rows) is what later joins broadcast.
+    vocabulary (most_words rows) is what later joins broadcast. Null ids and domains, and labels without a document, have no part; of an id's
+    domains the least in order counts, of its texts each; ties go by id and word; without labels or documents there are no names.
     """
     y = labels.select(F.col(id_col).alias("id"), domain.alias("y")).where("id is not null and y is not null")
     y = y.groupBy("id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(most)
     picked = cut(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(y), "id"), "labelled")
     bag = _bag(picked).distinct()
-    n = {r.y: r.n for r in picked.groupBy("y").agg(F.countDistinct("id").alias("n")).collect() if r.n >= least_docs}
+    n = {r.y: r.n for r in picked.groupBy("y").agg(F.countDistinct("id").alias("n")).collect() }
     bag = bag.where(F.col("y").isin(*n)) if n else bag.limit(0)
     names = sorted(n)
     if not names:
@@ -60,7 +61,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domain: F.Column, id_col: st
 def posteriors(docs: DataFrame, model: tuple, id_col: str = "doc_id", text_col: str = "text", damp: float = 0.5) -> DataFrame:
     """(id, text_key, tokens, posterior) for every row of ``docs``; the array is in the order of the model's names.
 
-    A word counts once per document. The log-likelihood is damped by ``damp``, which makes up for the
+    A word counts once per document; a null or empty text has the prior; repeated rows and ids have a row each; an empty table gives an empty one. The log-likelihood is damped by ``damp``, which makes up for the
     dependence of words. One scan: a marker word keeps documents without any word of the vocabulary.
     """
     names, vocabulary, prior = model
@@ -85,7 +86,7 @@ def fit_rates(docs: DataFrame, targets: list[float], rounds: int = 40, tolerance
     Minimises the squared distance of the domains' expected tokens from ``targets`` (token totals) in the norm that the Gram matrix of
     the documents' contributions whitens; from rate 1 for every row, each round takes a full gradient
     step (its Lipschitz constant is 1 in that norm) and projects onto rates of 0 or more. A round
-    is one aggregation to as many sums as there are domains.
+    is one aggregation to as many sums as there are domains. Rows without tokens keep rate 1; a table without rows reaches 0.
     """
     k = len(targets)
     scale = float(docs.agg(F.max("tokens")).first()[0] or 1)
@@ -133,10 +134,10 @@ def _solved(a: list[list[float]], b: list[float]) -> list[float]:
 
 @tidy
 def mix(docs: DataFrame, labels: DataFrame, domain: F.Column, weights: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", rounds: int = 40) -> DataFrame:
-    """(id, text_key, tokens, domains, posterior, rate, repeats) for every row of ``docs``.
+    """(id, text_key, tokens, domains, posterior, rate, targets, reached, repeats) for every row of ``docs``; targets and reached are the domains' token totals, the same in every row.
 
     ``domain`` is an expression over ``labels`` that names a labelled row's domain. ``weights`` (share of all tokens
-    by domain; missing: 0, scaled to 1) default to equal parts of the corpus's own expected share and the uniform one. ``repeats`` is the rate
+    by domain; missing: 0, scaled to 1; if no domain has one, the corpus stays as it is) default to equal parts of the corpus's own expected share and the uniform one. ``repeats`` is the rate
     rounded to a whole number of copies by a fixed pseudo-random draw on the id, so its expectation is the rate.
     Null texts have no tokens and rate 1; without labels there is one domain and every rate is 1; null ids and
     repeated rows get rows of their own; an empty table gives an empty one; other columns are ignored.
@@ -151,13 +152,16 @@ def mix(docs: DataFrame, labels: DataFrame, domain: F.Column, weights: dict[str,
         known = cut(docs.select(id_col, text_key(F.col(text_col)).alias("text_key"), token_count(F.col(text_col)).alias("tokens"), F.array(F.lit(1.0)).alias("posterior")), "posteriors")
     own = known.agg(*(F.coalesce(F.sum(F.col("tokens") * F.col("posterior")[i]), F.lit(0.0)) for i in range(len(names)))).first()
     total = sum(own)
-    if weights:
-        share = [max(0.0, weights.get(n, 0.0)) for n in names]
-        targets = [total * s / (sum(share) or 1) for s in share]
+    share = [max(0.0, (weights or {}).get(n, 0.0)) for n in names]
+    if sum(share):
+        targets = [total * s / sum(share) for s in share]
+    elif weights:  # none of the domains that the labels know has a weight
+        targets = own
     else:
         targets = [0.5 * o + 0.5 * total / len(names) for o in own]
-    rate, _ = fit_rates(known, targets, rounds)
-    out = known.select(id_col, "text_key", "tokens", F.array(*map(F.lit, names)).alias("domains"), "posterior", rate.alias("rate"))
+    rate, met = fit_rates(known, targets, rounds)
+    numbers = lambda xs: F.array(*(F.lit(float(x)) for x in xs))
+    out = known.select(id_col, "text_key", "tokens", F.array(*map(F.lit, names)).alias("domains"), "posterior", rate.alias("rate"), numbers(targets).alias("targets"), numbers(met["reached"]).alias("reached"))
     draw = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("mix")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return out.withColumn("repeats", F.floor(F.col("rate") + draw).cast("int"))
 
@@ -172,7 +176,11 @@ CLEAN_WEIGHTS = {"quality1_toxic0": 0.95, "quality0_toxic0": 0.05}
 
 
 def apply_rates(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with every row as often as ``repeats`` of its id and text in ``mixed`` say; its columns stay as they are."""
+    """``docs`` with every row as often as ``repeats`` of its id and text in ``mixed`` say; its columns stay as they are.
+
+    Null ids match null ids and null texts null texts; rows that repeat an id and text are repeated each, by the least count that ``mixed`` has for them; a row that
+    ``mixed`` lacks goes; an empty table gives an empty one.
+    """
     times = mixed.groupBy(F.col(id_col).alias("__id"), F.col("text_key").alias("__key")).agg(F.min("repeats").alias("__times"))
     out = docs.join(times, docs[id_col].eqNullSafe(times["__id"]) & (text_key(docs[text_col]) == times["__key"]))
     return out.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__times")))).select(*docs.columns)

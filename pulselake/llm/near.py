@@ -349,13 +349,14 @@ def drop_near_duplicates(docs: DataFrame, how: Banding = Banding(), id_col: str
     """``docs`` with one row of each group of near-duplicates, the one with the smallest id (null the largest); all columns stay.
 
     Rows are told apart by id and text, so a repeated or null id neither drops nor saves its other texts. Texts without words
-    are no group. Rows that repeat a kept id and text count once.
+    are no group and all stay. Rows that repeat a kept id and text count once.
     """
     name = F.struct(F.col(id_col).isNull().alias("missing"), F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"))
     found = cut(near_classes(docs.select(name.alias("uid"), F.col(text_col).alias("text")), how, "uid", "text"), "found")
     kept = (F.col("n") == 0) | (F.col("uid") == F.col("component"))
     gone = found.where(~kept).select(F.col("uid.id").alias("_id"), F.col("uid.key").alias("_key")).distinct()
     out = docs.join(gone, docs[id_col].eqNullSafe(gone["_id"]) & (text_key(docs[text_col]) == gone["_key"]), "left_anti")
-    if found.where(kept).groupBy("uid").count().where("count > 1").limit(1).count():
-        out = out.dropDuplicates([id_col, text_col])
+    if found.where(kept & (F.col("n") > 0)).groupBy("uid").count().where("count > 1").limit(1).count():
+        worded = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+        out = out.where(worded).dropDuplicates([id_col, text_col]).union(out.where(~worded))
     return out

@@ -29,7 +29,7 @@ def op4_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import CLEAN_WEIGHTS, label_domain, mix
 
     out = mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), label_domain(), CLEAN_WEIGHTS)
-    return out.select("doc_id", "tokens", F.col("domains")[F.array_position(F.col("posterior"), F.array_max("posterior")).cast("int") - 1].alias("domain"), "posterior", "rate", "repeats")
+    return out.select("doc_id", "tokens", F.col("domains")[F.array_position(F.col("posterior"), F.array_max("posterior")).cast("int") - 1].alias("domain"), "posterior", "rate", "repeats", "targets", "reached")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
