@@ -254,8 +254,8 @@ def main_text(page: Page, inside: list[bool]) -> str:
     return " ".join(w for b in blocks for w in b.split())
 
 
-def training_pages(n: int = 500, seed: int = 7) -> Iterator[tuple[Page, list[bool]]]:
-    """Pages put together by rule from invented words, with the truth for each node.
+def training_pages(n: int = 500, seed: int = 7, named: float = 1.0) -> Iterator[tuple[Page, list[bool]]]:
+    """Pages put together by rule from invented words, with the truth for each node. ``named``: share of the classes and ids that tell what they are; the others are invented words.
 
     Layouts differ in element and attribute names, depth, and in which furniture stands where, inside the article too.
     """
@@ -273,7 +273,7 @@ def training_pages(n: int = 500, seed: int = 7) -> Iterator[tuple[Page, list[boo
         return "<ul>" + "".join(f'<li><a href="/{word()}">{word()} {word() if rnd.random() < 0.4 else ""}</a></li>' for _ in range(m)) + "</ul>"
 
     def cls(*names: str) -> str:
-        name = rnd.choice(names)
+        name = rnd.choice(names) if named >= 1 or rnd.random() < named else word()
         name = rnd.choice([name, name, f"{name}-{word()}", f"site-{name}", f"{word()} {name}", f"js-{name}"])
         return f' {rnd.choice(["class", "class", "id"])}="{name}"'
 

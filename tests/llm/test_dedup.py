@@ -217,6 +217,45 @@ def test_short_paragraphs_are_compared(spark):
     assert got == {(1, 0): (True, False), (1, 1): (True, False), (2, 0): (True, True), (2, 1): (False, False), (3, 0): (True, True)}
 
 
+def test_paragraphs_equal_brute_force(spark):
+    """Every pair of paragraphs, by the Jaccard similarity of their five-word shingles; texts that repeat, near copies and crowds of one passage."""
+    rnd = random.Random(17)
+    passage = letters(rnd, 14)
+    lines = []
+    for _ in range(25):
+        w = letters(rnd, rnd.choice([5, 6, 9, 20, 60, 120])).split()
+        lines.append(" ".join(w))
+        for _ in range(rnd.randint(0, 4)):
+            c = list(w)
+            for _ in range(rnd.randint(0, 1 + len(w) // 40)):
+                c[rnd.randrange(len(c))] = "changed"
+            lines.append(" ".join(c))
+    lines += [f"{letters(rnd, 3)} {passage} {letters(rnd, 2)}" for _ in range(30)] + ["four words are here", ""]
+    rnd.shuffle(lines)
+    docs, at = [], 0
+    while at < len(lines):
+        n = rnd.randint(1, 4)
+        docs.append((len(docs), "\n".join(lines[at : at + n])))
+        at += n
+    flat = [((i, pos), x) for i, t in docs for pos, x in enumerate(t.split("\n")) if len(words(x)) >= 5]
+    roots, _ = brute_components([x for _, x in flat], 5, 80)
+    got = {(r.doc_id, r.pos): (tuple(r.component), r.repeated, r.removed) for r in repeated_paragraphs(spark.createDataFrame(docs, DOC)).collect()}
+    order = [u for u, _ in flat]
+    least = {r: min(order[i] for i in range(len(order)) if roots[i] == r) for r in set(roots)}
+    assert got == {u: (least[r], roots.count(r) > 1, u != least[r]) for u, r in zip(order, roots)}
+    assert any(x[2] for x in got.values())
+
+
+def test_paragraphs_odd_tables(spark):
+    """Null and repeated ids, repeated rows, ties, a very long paragraph, clashing names."""
+    long = " ".join(f"w{i}" for i in range(30_000))
+    rows = [(None, long, 1), (2, long + " tail", 1), (2, "one two three four five six", 1), (2, "one two three four five six", 1), (9, "One TWO three four five six", 2), (7, None, 1), (8, " \n", 1)]
+    got = sorted((str(r.doc_id), r.pos, str(r.component.id), r.removed) for r in repeated_paragraphs(spark.createDataFrame(rows, DOC + ", removed int")).collect())
+    assert len(got) == 5 and [g for g in got if g[0] == "9"] == [("9", 0, "2", True)] and sum(g[3] for g in got) == 2
+    left = without_repeats(spark.createDataFrame(rows, DOC + ", removed int"))
+    assert left.columns == ["doc_id", "text", "removed"] and left.count() == len(rows)
+
+
 def test_band_tuning():
     h = tuned(80, 0.9995, 3)
     assert 1 - (1 - 0.8**3) ** h.bands >= 0.9995 and h.rows == 3

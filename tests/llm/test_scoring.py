@@ -1,8 +1,11 @@
 """Quality, toxicity, mixing, sharding, decontamination, HTML and the pipeline."""
 
+import math
 import random
+import re
 import unicodedata
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -11,7 +14,7 @@ from pyspark.sql import functions as F
 from pulselake.llm.boost import fit_trees
 from pulselake.llm.decontam import find_leaks, greedy_tiles
 from pulselake.llm.html import Page, decode, extract, extract_pages, features, main_text, trained, training_pages
-from pulselake.llm.mixing import apply_rates, fit_rates, label_domain, mix
+from pulselake.llm.mixing import apply_rates, fit_domains, fit_rates, label_domain, mix, posteriors
 from pulselake.llm.quality import clean_lines, line_fault, profile
 from pulselake.llm.sharding import RemainingTree, best_fit_runs, pack
 from pulselake.llm.toxicity import ToxicityModel, drop_toxic, fit_toxicity, folded, hits_of, score_toxicity
@@ -126,6 +129,46 @@ def test_projected_gradient_meets_targets_with_nonnegative_rates(spark):
     assert np.allclose(w, [by_id[i] for i in range(len(rows))], atol=1e-6)
 
 
+def test_posteriors_equal_naive_bayes_by_hand(spark):
+    """Likelihoods, priors and damping counted in plain Python for every document and domain."""
+    docs, labels = toxic_corpus(160)
+    d = spark.createDataFrame(docs, DOC)
+    y = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = fit_domains(d, y, label_domain())
+    names = model[0]
+    got = {r.doc_id: r.posterior for r in posteriors(d, model).collect()}
+    label = {i: f"quality1_toxic{t}" for i, _, t in labels}
+    bags = {i: set(re.split(r"[\x20\x09-\x0D]+", t.lower())) for i, t in docs}
+    n = Counter(label.values())
+    assert names == sorted(n)
+    seen = Counter((label[i], w) for i, b in bags.items() for w in b)
+    total = Counter(w for b in bags.values() for w in b)
+    vocabulary = [w for w, c in total.items() if c >= 5]
+    assert len(vocabulary) <= 2000
+    ll = {w: [math.log((seen[m, w] + 5 * total[w] / len(docs)) / (n[m] + 5)) for m in names] for w in vocabulary}
+    for i, b in bags.items():
+        s = [0.5 * sum(ll[w][k] - sum(ll[w]) / len(names) for w in b if w in ll) + math.log(n[m] / len(docs)) for k, m in enumerate(names)]
+        e = [math.exp(x - max(s)) for x in s]
+        assert np.allclose(got[i], [x / sum(e) for x in e], atol=1e-9)
+
+
+def test_scores_equal_a_plain_count_of_matches(spark):
+    docs, labels = toxic_corpus(120)
+    d = spark.createDataFrame(docs, DOC)
+    model = fit_toxicity(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = {r.doc_id: r.score for r in score_toxicity(d, model).collect()}
+    for i, t in docs:
+        s = folded(t)
+        spared = [(k, k + len(p) - 1) for p in model.exceptions for k in range(len(s)) if s.startswith(p, k)]
+        best = {}
+        for p, w in model.weights.items():
+            for k in range(len(s)):
+                if s.startswith(p, k) and not any(a <= k < b for a, b in spared):
+                    best[k] = max(best.get(k, 0), w)
+        x = 100 * sum(best.values()) / (s.count(" ") - 1 + model.smooth_words)
+        assert abs(got[i] - 1 / (1 + math.exp(-max(-30, min(30, model.slope * x + model.offset))))) < 1e-9
+
+
 def test_mixing_is_native_and_survives_odd_tables(spark):
     docs, labels = toxic_corpus(200)
     d = spark.createDataFrame(docs + [(None, None), (900, ""), (900, "")], DOC)
@@ -314,6 +357,16 @@ def test_extraction_on_held_out_pages():
     assert right >= 0.9 * n
 
 
+def test_extraction_without_telling_names():
+    """Classes and ids are invented words: what is left are elements, depth, density and siblings. Most words still come out right."""
+    trees, shares = trained(), []
+    for page, truth in training_pages(60, 4243, named=0.0):
+        got, want = Counter(main_text(page, decode(page, trees.log_odds(features(page)))).split()), Counter(main_text(page, truth).split())
+        shares.append(2 * sum((got & want).values()) / max(1, got.total() + want.total()))
+    print("share of words", np.mean(shares))
+    assert np.mean(shares) >= 0.75
+
+
 def test_extraction_rules():
     trees = trained()
     html = """<html><head><title>T</title><script>var t="</p>";</script></head><body><nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li></ul></nav>
@@ -333,6 +386,14 @@ def test_decoding_drops_what_hangs_on_a_dropped_node():
     assert main_text(page, inside) == "two"
 
 
+def test_extract_pages_keeps_rows_that_repeat_and_long_ones(spark):
+    page = "<html><body><nav><a href=/>Home</a></nav><article><h1>Title here</h1><p>" + "Some words stand here, and more follow. " * 4000 + "</p></article></body></html>"
+    df = spark.createDataFrame([(1, "u", page, 1), (1, "u", page, 1), (None, None, page, 2), (3, "v", "", 3)], "page_id long, url string, html string, n_chars int")
+    rows = extract_pages(df).collect()
+    assert len(rows) == 4 and len({r.text for r in rows if r.page_id != 3}) == 1 and next(r.text for r in rows if r.page_id == 3) == ""
+    assert next(r.text for r in rows if r.page_id == 1).count("Some words") == 4000
+
+
 def test_extract_pages_odd_tables(spark):
     df = spark.createDataFrame([(1, "u", None, "old"), (None, None, "<p>Some words stand here.</p>", "old")], "page_id long, url string, html string, text string")
     rows = extract_pages(df).collect()
@@ -340,6 +401,29 @@ def test_extract_pages_odd_tables(spark):
     assert extract_pages(df.limit(0)).count() == 0
 
 
+def test_pipeline_stages_on_odd_tables(spark, tmp_path):
+    """Empty tables; null and repeated ids and rows, null texts and clashing names at every stage."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rnd = random.Random(12)
+    long = lambda n: " ".join(f"v{rnd.randrange(9000)}" for _ in range(n)) + "."
+    a, b, c = (long(80) for _ in range(3))
+    rows = [(1, a, "x"), (2, a, "x"), (2, b, "x"), (None, c, "x"), (None, a, "x"), (7, None, None), (7, None, None), (8, "", "")]
+    schema = "doc_id long, text string, tokens string, shard string"
+    docs = spark.createDataFrame([(*r, "s") for r in rows], schema)
+    at = str(tmp_path)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, at).collect()
+        if name == "near_dedup":
+            assert sorted(str((r.doc_id, r.text)) for r in got) == sorted(str(x) for x in [(1, a), (2, b), (None, c), (7, None), (7, None), (8, "")]), name
+        else:
+            assert len(got) == len(rows), name
+        if name != "sharding":
+            assert got[0].__fields__ == docs.columns, name
+        assert stage(spark, docs.limit(0), at).count() == 0, name
+
+
 def test_pipeline_stages(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     rnd = random.Random(11)
