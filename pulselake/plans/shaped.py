@@ -894,3 +894,117 @@ def q_embedded(spark, sf_dir):
     v = providers.embed(p, "id", "text")
     said = providers.per_text(p, "text", lambda t: [x for x in t], "said")
     return v.join(p, "id").join(said, "text").select("id", F.round(F.sqrt(retrieval.dot("embedding", "embedding")), 4).alias("length"), "said")
+
+
+# --- more sinks, and models behind providers (stand-ins by formula) ---
+
+
+@query(f"with {_LAB_ROWS} select date '2024-02-29' as panel_date, source_file, test_name, value_num, value_str, ref_low, flag from la")
+def q_review_csv(spark, sf_dir):
+    """The review file, in its order, read back."""
+    path = scratch(spark, "review")
+    labs.review_csv(labs.lab_rows(replies(spark, sf_dir), "stand-in").drop("extracted_at"), path)
+    back = spark.read.csv(path, header=True, schema="row_key string, panel_date date, source_file string, test_name string, value_num double, value_str string, unit string, ref_low double, ref_high double, ref_text string, flag string, model string", enforceSchema=True)
+    return back.select("panel_date", "source_file", "test_name", "value_num", "value_str", "ref_low", "flag")
+
+
+@query(f"with {_PAGES} select conv_id, len(pages) as n_pages, case when len(list_filter(pages, lambda p: length(trim(p, ' ')) >= 60)) = len(pages) then 'text' when len(list_filter(pages, lambda p: length(trim(p, ' ')) >= 60)) = 0 then 'scanned' else 'mixed' end as kind from pg")
+def q_manifest(spark, sf_dir):
+    path = scratch(spark, "manifest")
+    labs.manifest(report_pages(spark, sf_dir), path)
+    back = spark.read.schema("path string, n_pages long, kind string").json(path)
+    return back.select(F.regexp_extract("path", r"_(\d+)\.pdf$", 1).cast("long").alias("conv_id"), "n_pages", "kind")
+
+
+@query(f"with {_LAB_ROWS} select distinct source_file, test_name, sha1(source_file || chr(31) || test_name || chr(31) || '2024-02-29') as row_key from la")
+def q_loaded_panels(spark, sf_dir):
+    """Two loads, the second of everything again: the first result of each key stays."""
+    path, rows = scratch(spark, "panels"), labs.lab_rows(replies(spark, sf_dir), "stand-in")
+    labs.load_panels(rows.where("flag = 'A'"), path)
+    labs.load_panels(rows, path)
+    assert labs.load_panels(rows, path) == 0
+    return spark.read.parquet(path).select("source_file", "test_name", "row_key")
+
+
+@query("select n_name as first_page, 2 as n_pages, n_name || chr(10) || 'second page of ' || n_name as whole from nation")
+def q_pages_of_files(spark, sf_dir):
+    """One file for each nation, read as bytes by a reader that knows the page mark."""
+    path = scratch(spark, "files")
+    n = read(spark, sf_dir, "nation")
+    n.select(F.concat("n_name", F.lit("\f"), F.lit("second page of "), "n_name").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    pages = labs.read_pages(spark, path, lambda raw: raw.decode().rstrip("\n").split("\f"))
+    return pages.select(F.col("pages")[0].alias("first_page"), F.size("pages").alias("n_pages"), labs.whole_text(F.col("pages")).alias("whole"))
+
+
+@query("select 'f' || n_nationkey as path, case when n_nationkey % 4 > 0 then '{\"n\": ' || length(n_name) || '}' end as reply, case when n_nationkey % 4 > 0 then length(n_name) else 0 end::bigint as tokens_in, case when n_nationkey % 4 > 0 then 1 else 0 end::bigint as tokens_out, case when n_nationkey % 4 = 0 then 'ValueError: unreadable' end as error from nation")
+def q_extracted(spark, sf_dir):
+    """Replies and token counts of a model; a file that it cannot read has its error and stops nothing."""
+
+    def model(text: str) -> tuple[str, int, int]:
+        if text.endswith("!"):
+            raise ValueError("unreadable")
+        return '{"n": %d}' % len(text), len(text), 1
+
+    n = read(spark, sf_dir, "nation")
+    texts = n.select(F.concat(F.lit("f"), "n_nationkey").alias("path"), F.when(F.col("n_nationkey") % 4 == 0, F.concat("n_name", F.lit("!"))).otherwise(F.col("n_name")).alias("text"))
+    return labs.extract(texts, model)
+
+
+@query(f"with {RESULTS} select n.n_name as name, case when n_nationkey % 3 > 0 then {sql_list(r[0] for r in analytes.REGISTRY)}[length(n_name) % {len(analytes.REGISTRY)} + 1] end as key from nation n")
+def q_provider_keys(spark, sf_dir):
+    """Keys by a model that invents some: those that the registry lacks become null."""
+    n = read(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.when(F.col("n_nationkey") % 3 == 0, "invent").otherwise("know").alias("unit"))
+    return analytes.resolve_with_provider(n, lambda pairs, keys: [keys[len(name) % len(keys)] if unit == "know" else "made_up" for name, unit in pairs]).select("name", "key")
+
+
+@query(f"""with {EXPERIMENT}, t as (select q_id, doc_id, -abs(length(q_text) - length(text))::double as score from dr join qs using (q_id) join co using (doc_id) where rank < 20)
+select q_id, doc_id, score, (row_number() over (partition by q_id order by score desc, doc_id) - 1)::int as rank from t""")
+def q_cross_rerank(spark, sf_dir):
+    """The first twenty by vectors in the order of a model that reads query and document together."""
+    from ..sources import providers
+
+    x = experiment(spark, sf_dir)
+    short = retrieval.dense_top(x["queries"].select("q_id", "qv"), x["corpus"].select("doc_id", "dv"), 20)
+    short = short.join(x["queries"].select("q_id", "q_text"), "q_id").join(x["corpus"].select("doc_id", F.col("text").alias("d_text")), "doc_id")
+    return retrieval.top(providers.cross_rerank(short, lambda q, d: [-abs(len(a) - len(b)) for a, b in zip(q, d)]), 20)
+
+
+@query("select r_regionkey, r_name || ' again' as r_name from region")
+def q_replaced(spark, sf_dir):
+    """A table written, replaced and read."""
+    r, path = read(spark, sf_dir, "region"), scratch(spark, "region")
+    reports.save(r, path)
+    reports.save(r.withColumn("r_name", F.concat("r_name", F.lit(" again"))), path)
+    return spark.read.parquet(path).select("r_regionkey", "r_name")
+
+
+@query("select vec_id as id, label + 1 as label, case when vec_id % 2 = 0 then 'changed' else 'kept' end as state from embeddings")
+def q_vector_cache(spark, sf_dir):
+    """A cache of vectors by id and text: rows whose text has changed are made again, and no stale row is read."""
+    from ..sources import providers
+
+    e, path = read(spark, sf_dir, "embeddings"), scratch(spark, "vectors")
+    old = e.select(F.col("vec_id").alias("id"), F.concat(F.lit("text "), "label").alias("text"), "label")
+    new = old.withColumn("text", F.when(F.col("id") % 2 == 0, F.concat("text", F.lit(" changed"))).otherwise(F.col("text")))
+
+    def build(state: str):
+        return lambda df: df.select("id", (F.col("label") + 1).alias("label"), F.lit(state).alias("state"))
+
+    providers.cached(old, "id", path, build("kept"), "text").count()
+    return providers.cached(new, "id", path, build("changed"), "text").select("id", "label", "state")
+
+
+@query()
+def q_hyde(spark, sf_dir):
+    """Queries as they stand, in another language (a stand-in) and as hypothetical documents, over hashed vectors of all documents; hashes have no SQL form, so rows only."""
+    from ..sources import providers
+
+    x = experiment(spark, sf_dir)
+    docs = providers.embed(x["corpus"].select("doc_id", "text"), "doc_id", "text").withColumnRenamed("embedding", "dv")
+    said = {"plain": lambda t: t, "translated": lambda t: [" ".join(s.split()[::-1]) for s in t], "hypothetical": lambda t: [s + " " + s for s in t]}
+    out = {}
+    for name, f in said.items():
+        made = providers.text_cache(x["queries"].select("q_id", "q_text"), "q_id", "q_text", scratch(spark, name), f, "said")
+        q = providers.embed(made, "q_id", "said", side="query").withColumnRenamed("embedding", "qv")
+        out[name] = experiments.outcomes(retrieval.dense_top(q, docs, 10), x["relevant"], x["queries"])
+    return experiments.report(out, "plain")

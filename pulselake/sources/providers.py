@@ -42,13 +42,20 @@ def embed(df: DataFrame, key: str, text: str, provider: Embed = hashed_words, si
     return out.withColumn("embedding", normalized(F.col("embedding")).cast("array<float>"))
 
 
-def cached(df: DataFrame, key: str, path: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The table under ``path`` completed by ``build`` for the ids of ``df`` that it lacks."""
+def cached(df: DataFrame, key: str, path: str, build: Callable[[DataFrame], DataFrame], text: str | None = None) -> DataFrame:
+    """The table under ``path`` completed by ``build`` for the rows of ``df`` that it lacks.
+
+    A row is known by its id, and with ``text`` by the hash of that column too, so a changed text is built again and its older row is not read.
+    """
     spark = df.sparkSession
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     there = p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-    build(df.join(spark.read.parquet(path).select(key), key, "left_anti") if there else df).write.mode("append").parquet(path)
-    return spark.read.parquet(path).join(df.select(key).distinct(), key, "left_semi")
+    of = F.sha2(F.coalesce(F.col(text), F.lit("")), 256) if text else F.lit("")
+    marked = df.withColumn("_of", of)
+    by = [key, "_of"]
+    missing = marked.join(spark.read.parquet(path).select(*by), by, "left_anti") if there else marked
+    build(missing.drop("_of")).join(missing.select(*by).distinct(), key).write.mode("append").parquet(path)
+    return spark.read.parquet(path).join(marked.select(*by).distinct(), by, "left_semi").drop("_of")
 
 
 def per_text(df: DataFrame, text: str, provider: Callable[[list[str]], list[str]], out: str, batch: int = 40) -> DataFrame:

@@ -458,3 +458,14 @@ def test_first_write_wins_wherever_the_rows_are(spark):
     picks = {tuple(sorted((r.row_key, r.v) for r in keys.new_rows(df.repartition(n), empty, "row_key").collect())) for n in (1, 3, 7)}
     assert len(picks) == 1
     assert [r.v for r in keys.new_rows(df, empty, "row_key", [F.col("v")]).orderBy("row_key").collect()] == ["a", "z"]
+
+
+def test_keys_and_required_columns_are_enforced_at_write(spark, tmp_path):
+    good = spark.createDataFrame([("x", "exact", 1), ("y", "none", 0)], "raw_name string, method string, score int")
+    schemas.write(good, "biomarker_map", str(tmp_path / "a"))
+    back = spark.read.parquet(str(tmp_path / "a"))
+    assert back.columns == ["raw_name", "canonical_key", "method", "score"] and dict(back.dtypes)["score"] == "double" and back.count() == 2
+    for bad in (good.union(good), good.withColumn("method", F.lit(None).cast("string"))):
+        with pytest.raises(ValueError, match="biomarker_map"):
+            schemas.write(bad, "biomarker_map", str(tmp_path / "b"))
+    assert not (tmp_path / "b").exists()
