@@ -175,7 +175,7 @@ def measured(spark, rows):
 def test_marts(spark):
     noon = dt.datetime(2025, 5, 1, 12, tzinfo=dt.timezone.utc)
     late = dt.datetime(2025, 5, 1, 21, 30, tzinfo=dt.timezone.utc)
-    m = measured(spark, [("DietaryEnergyConsumed", 200.0, None, noon, "m1"), ("DietaryEnergyConsumed", 300.0, None, noon, "m2"), ("DietaryProtein", 25.0, None, noon, "m1"), ("StepCount", 50.0, None, late, None), ("BasalBodyTemperature", 36.5, None, noon, None), ("MenstrualFlow", None, normalize.HEAD + "VaginalBleedingHeavy", noon, None), ("OvulationTestResult", None, normalize.HEAD + "OvulationTestResultPositive", noon, None), ("Odd", None, "value", noon, None)])
+    m = measured(spark, [("DietaryEnergyConsumed", 200.0, None, noon, "m1"), ("DietaryEnergyConsumed", 300.0, None, noon, "m2"), ("DietaryProtein", 25.0, None, noon, "m1"), ("StepCount", 50.0, None, late, None), ("BasalBodyTemperature", 36.5, None, noon, None), ("MenstrualFlow", None, "HKCategoryValueVaginalBleedingHeavy", noon, None), ("OvulationTestResult", None, "HKCategoryValueOvulationTestResultPositive", noon, None), ("Odd", None, "value", noon, None)])
     n = marts.daily_nutrition(m).first()
     assert (n.energy_kcal, n.protein_g, n.meals_logged, n.fat_g) == (500.0, 25.0, 2, None)
     s = spark.createDataFrame([("2025-05-02", 30.0, 8.0, None)], "date_components string, exercise_time double, stand_hours double, move_time double")
