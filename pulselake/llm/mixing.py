@@ -175,6 +175,15 @@ def label_domain() -> F.Column:
 CLEAN_WEIGHTS = {"quality1_toxic0": 0.95, "quality0_toxic0": 0.05}
 
 
+def quality_domain() -> F.Column:
+    """Domain of a row of a labels table where toxic documents are gone already: its quality mark."""
+    return F.concat(F.lit("quality"), F.col("quality").cast("string"))
+
+
+#: The same shares by the domains of ``quality_domain``.
+QUALITY_WEIGHTS = {"quality1": 0.95, "quality0": 0.05}
+
+
 def apply_rates(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with every row as often as ``repeats`` of its id and text in ``mixed`` say; its columns stay as they are.
 
