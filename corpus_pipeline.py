@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pulselake.llm._store import cut
 from pulselake.llm.decontam import find_leaks
-from pulselake.llm.mixing import CLEAN_WEIGHTS, apply_rates, label_domain, mix
+from pulselake.llm.mixing import QUALITY_WEIGHTS, apply_rates, mix, quality_domain
 from pulselake.llm.near import Banding, drop_near_duplicates
 from pulselake.llm.sharding import pack
 from pulselake.llm.toxicity import drop_toxic, fit_toxicity
@@ -39,7 +39,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows without words, and all rows where there are no labels, stay once; null and repeated ids are matched with their text; an empty table gives an empty one.
     """
-    rates = mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), label_domain(), CLEAN_WEIGHTS)
+    rates = mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), quality_domain(), QUALITY_WEIGHTS)
     return apply_rates(docs, rates)
 
 
