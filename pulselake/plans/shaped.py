@@ -772,7 +772,7 @@ _SPORT_AS = ("run", "ride", "hike", "ski", "other", "padel")
 
 
 @query(f"""select 'strava-' || o_orderkey as activity_id, {sql_list(_SPORT_AS)}[o_orderkey % 6 + 1] as activity_type, case when o_orderkey % 2 = 0 then 'name ' || o_orderkey end as name, o_totalprice / 1000 as distance_km, o_custkey::double as duration_s,
-  epoch((o_orderdate::timestamp + interval 6 hour) at time zone 'Europe/Budapest')::bigint as start_s from orders where o_orderkey % 9 <> 0""")
+  strftime(((o_orderdate::timestamp + interval 6 hour) at time zone 'Europe/Budapest') at time zone 'UTC', '%Y-%m-%d %H:%M:%S') as started from orders where o_orderkey % 9 <> 0""")
 def q_activity_csv(spark, sf_dir):
     """A positional export of 21 fields; every ninth row is cut short and skipped."""
     o = read(spark, sf_dir, "orders")
@@ -784,7 +784,7 @@ def q_activity_csv(spark, sf_dir):
     head = spark.createDataFrame([(",".join(f"h{i}" for i in range(21)),)], "value string")
     head.union(lines).coalesce(1).write.text(path)
     a = exports.activity_csv(spark, path, ZONE)
-    return a.select("activity_id", "activity_type", "name", "distance_km", "duration_s", F.unix_timestamp("start_ts").alias("start_s"))
+    return a.select("activity_id", "activity_type", "name", "distance_km", "duration_s", F.date_format("start_ts", "yyyy-MM-dd HH:mm:ss").alias("started"))
 
 
 @query(f"with {FOODS} select * from fd")
