@@ -418,6 +418,17 @@ def test_experiments_on_a_small_corpus(spark):
     assert experiments.outcomes(ranking, right, asked).count() == 3
 
 
+def test_ablation_leaves_out_a_query_s_own_row_only(spark):
+    """Query 1's best row but its own is query 2's, which no other query may take out of the corpus."""
+    from pulselake.operators import experiments
+
+    main = spark.createDataFrame([(1, [1.0, 0.0], "x"), (2, [0.9, 0.1], "x"), (3, [0.0, 1.0], "y")], "doc_id long, dv array<double>, dkey string")
+    more = spark.createDataFrame([(2, [0.9, 0.1], "z"), (4, [0.0, 0.5], "z")], "doc_id long, dv array<double>, dkey string")
+    q = spark.createDataFrame([(1, [1.0, 0.0], "x"), (2, [0.9, 0.1], "x")], "q_id long, qv array<double>, qkey string")
+    got = {r.corpus: (r.n, r.s1, r.supplied) for r in experiments.corpus_ablation(q, {"m": main, "o": more}, "m", lambda a, b: a == b, itself=False).collect()}
+    assert got == {"m": (2, 1.0, 0), "combined": (2, 1.0, 0)}
+
+
 def test_late_interaction_over_ragged_documents(spark):
     import numpy as np
 
