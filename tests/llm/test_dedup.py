@@ -381,6 +381,50 @@ def test_crowded_block_of_lines_loses_no_link(spark, monkeypatch):
     assert {r.doc_id: r.component[0] for r in fuzzy_lines(docs).collect()} == dict(enumerate(root))
 
 
+def test_alike_lines_with_unlike_simhashes_are_linked(spark):
+    """A letter in most words changed, some words in a row whole: similar by edits, a block in common, SimHashes far apart."""
+    rnd = random.Random(31)
+    pairs = []
+    while len(pairs) < 12:
+        a = ["".join(rnd.choice("bcdfghjklmnpqrstvz") for _ in range(rnd.randint(7, 10))) for _ in range(20)]
+        b = [w if 7 <= i < 13 else w[:3] + "a" + w[4:] for i, w in enumerate(a)]
+        x, y = " ".join(a), " ".join(b)
+        with np.errstate(over="ignore"):
+            parts = line_parts([x, y])
+        keys = [set(parts[6][parts[7][i] : parts[7][i + 1]].tolist()) for i in (0, 1)]
+        if keys[0] & keys[1] and int(np.bitwise_count(parts[5].view(np.uint64)[0] ^ parts[5].view(np.uint64)[1])) > _radius(np.array([len(x)]))[0]:
+            assert edit_distance(x, y) <= len(x) * 20 // 100
+            pairs.append((x, y))
+    got = {r.doc_id: r.component[0] for r in fuzzy_lines(spark.createDataFrame([(i, x) for i, x in enumerate(x for p in pairs for x in p)], DOC)).collect()}
+    assert got == {i: i // 2 * 2 for i in range(2 * len(pairs))}
+
+
+def test_windows_tell_apart_only_what_is_apart():
+    from pulselake.llm.lines import LONG_LINE, _code_points, surely_apart
+
+    rnd = random.Random(8)
+    x, y = [], []
+    for n in (1, 5, 12, 30, 60, 90, 250):
+        for _ in range(60):
+            a = letters(rnd, n)
+            c = list(a)
+            for _ in range(rnd.randint(0, max(1, len(a) // 3))):
+                at = rnd.randrange(len(c) + 1)
+                c[at : at + rnd.randint(0, 1)] = rnd.choice(["", "x", "\u0451", "\U0001f600", " "])
+                c = c or ["q"]
+            b = "".join(c) if rnd.random() < 0.8 else letters(rnd, n // 2 + 1) + a[len(a) // 3 :]
+            x.append(a), y.append(b)
+    (dx, ox), (dy, oy) = _code_points(x), _code_points(y)
+    n, m = np.diff(ox), np.diff(oy)
+    most = np.maximum(n, m) * 20 // 100
+    near = np.abs(n - m) <= most
+    true = np.array([edit_distance(a, b) for a, b in zip(x, y)]) <= most
+    with np.errstate(over="ignore"):
+        apart = surely_apart(dx, ox[:-1], n, dy, oy[:-1], m, most) & near
+        assert not (apart & true).any() and apart.sum() > 50 and (n > LONG_LINE).any()
+        assert (similar(x, y, 80) == true).all()
+
+
 def test_fuzzy_lines_odd_tables(spark):
     """Repeated rows and ids, null ids, ties, clashing column names and a very long text."""
     long = " ".join(f"w{i}" for i in range(20_000))
