@@ -117,9 +117,8 @@ def near_classes(units: DataFrame, how: Banding = Banding(), id_col: str = "doc_
     source = units.select(F.col(id_col).alias("uid"), F.col(text_col).alias("text"))
 
     def finish(members: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-        rows = nodes.select("node", "n", "bands").join(fine_sketches(texts.join(_light(nodes.select("node")), "node"), how), "node")
-        pairs = cut(open_pairs(members.join(rows, "node"), how.percent, fine_limit(how.percent)), "open-pairs")
-        return confirm(pairs, texts, how)
+        rows = nodes.select("node", "n", "bands").join(shingle_sets(texts.join(_light(nodes.select("node")), "node"), how), "node")
+        return open_links(members.join(rows, "node"), how)
 
     return linked_classes(signatures(units, how, id_col, text_col), source, ["n", "bands", "s0", "s1", "s2", "s3"], lambda a, b: _alike(how, a, b), lambda pairs, texts: confirm(pairs, texts, how), lambda texts: _only_own(texts, how), finish)
 
@@ -222,23 +221,25 @@ def _alike(how: Banding, a: str, b: str):
 FINE_WORDS = 32
 
 
-def fine_sketches(texts: DataFrame, how: Banding) -> DataFrame:
-    """(node, fine) odd sketches into which every shingle of ``texts(node, text)`` is folded.
-
-    The bits in which two of them differ tell the size of the symmetric difference of the whole sets, without the sampling error of
-    MinHash.
-    """
+def shingle_sets(texts: DataFrame, how: Banding) -> DataFrame:
+    """(node, shingles) of ``texts(node, text)``: the sorted 64-bit hashes of the shingles, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for b in pieces(batches, "text"):
-                sketch = []
-                for x in _sets(b.column("text"), how.shingle):
-                    odd = np.bincount((mix(x ^ _SEED[7]) % np.uint64(64 * FINE_WORDS)).astype(np.int64), minlength=64 * FINE_WORDS) % 2
-                    sketch.append(np.packbits(odd.astype(np.uint8)).tobytes())
-                yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sketch, pa.binary())], ["node", "fine"])
+                yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([x.tobytes() for x in _sets(b.column("text"), how.shingle)], pa.binary())], ["node", "shingles"])
 
-    return texts.select("node", "text").mapInArrow(run, "node long, fine binary")
+    return texts.select("node", "text").mapInArrow(run, "node long, shingles binary")
+
+
+def fine_sketch(shingles: np.ndarray) -> np.ndarray:
+    """An odd sketch of FINE_WORDS words into which every shingle is folded.
+
+    The bits in which two of them differ tell the size of the symmetric difference of the whole sets, without the sampling error of
+    MinHash.
+    """
+    odd = np.bincount((mix(shingles ^ _SEED[7]) % np.uint64(64 * FINE_WORDS)).astype(np.int64), minlength=64 * FINE_WORDS) % 2
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
 def fine_limit(percent: int):
@@ -305,25 +306,55 @@ def meeting(t: pa.Table, percent: int, width: int) -> Iterator[tuple[np.ndarray,
         yield x + at, y
 
 
-def open_pairs(members: DataFrame, percent: int, most) -> DataFrame:
-    """(a, b) of ``members(key, m, node, root, n, bands, fine)`` in one bucket, of different roots, that the screen lets through; a pair comes from the first bucket that it shares only."""
+def open_links(members: DataFrame, how: Banding) -> DataFrame:
+    """(a, b): true links among ``members(key, m, node, root, n, bands, shingles)`` in one bucket, of different roots.
 
-    def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, node, n = t.column("key")[0].as_py(), t.column("node").to_numpy(), t.column("n").to_numpy()
+    A pair is compared, on the full sets, in the first bucket that it shares only, and not if links found in its task connect it already; so a task
+    hands on fewer links than it has members, and every true link's ends are connected.
+    """
+    most = fine_limit(how.percent)
+
+    def compare(t: pa.Table) -> Iterator[tuple[np.ndarray, ...]]:
+        key, node, n, root = t.column("key")[0].as_py(), *(t.column(c).to_numpy() for c in ("node", "n", "root"))
         bands = np.stack([np.array(x, np.int64) for x in t.column("bands").to_pylist()])
-        fine = np.frombuffer(b"".join(t.column("fine").to_pylist()), np.uint64).reshape(len(node), -1)
-        out_a, out_b = [node[:0]], [node[:0]]
-        for x, y in meeting(t, percent, fine.shape[1] * 8):
+        sets = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
+        fine = np.stack([fine_sketch(x) for x in sets])
+        for x, y in meeting(t, how.percent, fine.shape[1] * 8):
             for cut_at in range(0, len(x), 100_000):
                 p, q = x[cut_at : cut_at + 100_000], y[cut_at : cut_at + 100_000]
-                near = np.bitwise_count(fine[p] ^ fine[q]).sum(1) <= most(n[p], n[q])
-                p, q = p[near], q[near]
+                apart = np.bitwise_count(fine[p] ^ fine[q]).sum(1)
+                near = apart <= most(n[p], n[q])
+                p, q, apart = p[near], q[near], apart[near]
                 first = bands[p, (bands[p] == bands[q]).argmax(1)] == key
-                out_a.append(node[p[first]])
-                out_b.append(node[q[first]])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
-
-    return in_blocks(members, compare, "a long, b long")
+                p, q = p[first], q[first]
+                order = np.argsort(apart[first], kind="stable")
+                yield zip(p[order].tolist(), q[order].tolist()), node, root, sets
+
+    def links(found) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                parent[x] = parent.get(up, up)
+                x = up
+            return x
+
+        for pairs, node, root, sets in found:
+            out_a, out_b = [], []
+            for i, j in pairs:
+                a, b = top(int(root[i])), top(int(root[j]))
+                if a == b:
+                    continue
+                x, y = sets[i], sets[j]
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both and 100 * both >= how.percent * (len(x) + len(y) - both):
+                    parent[max(a, b)] = min(a, b)
+                    out_a.append(int(node[i]))
+                    out_b.append(int(node[j]))
+            if out_a:
+                yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+
+    return in_blocks(members, compare, "a long, b long", links)
 
 
 def _only_own(texts: DataFrame, how: Banding) -> DataFrame:

@@ -425,6 +425,20 @@ def test_windows_tell_apart_only_what_is_apart():
         assert (similar(x, y, 80) == true).all()
 
 
+def test_open_links_grow_with_members_not_with_pairs(spark):
+    """One bucket of 60 nodes that are all alike and of different roots: 59 links join them, not 1 770."""
+    from pyspark.sql import functions as F
+
+    from pulselake.llm.near import Banding, open_links, shingle_sets
+
+    how = Banding(shingle=2, bands=1, rows=1)
+    words = [f"w{i}" for i in range(40)]
+    texts = spark.createDataFrame([(i, " ".join(words + [f"x{i}"])) for i in range(60)] + [(99, "quite another text")], "node long, text string")
+    members = shingle_sets(texts, how).select(F.lit(5).cast("long").alias("key"), F.lit(61).cast("long").alias("m"), "node", F.col("node").alias("root"), F.lit(40).cast("long").alias("n"), F.array(F.lit(5).cast("long")).alias("bands"), "shingles")
+    got = open_links(members, how).collect()
+    assert len(got) == 59 and len({x for r in got for x in (r.a, r.b)}) == 60 and 99 not in {x for r in got for x in (r.a, r.b)}
+
+
 def test_fuzzy_lines_odd_tables(spark):
     """Repeated rows and ids, null ids, ties, clashing column names and a very long text."""
     long = " ".join(f"w{i}" for i in range(20_000))
