@@ -418,6 +418,20 @@ def test_experiments_on_a_small_corpus(spark):
     assert experiments.outcomes(ranking, right, asked).count() == 3
 
 
+def test_first_ranks_by_words_meet_equal_texts_once(spark):
+    """The same ranks as from all scores, with copies, ties, an empty and a missing text."""
+    from pyspark.sql import functions as F
+
+    from pulselake.operators import retrieval
+
+    said = ["red bolt", "blue bolt old", "red red ring", "", None, "old ring of brass"]
+    docs = spark.createDataFrame([(i, said[i * 7 % 6]) for i in range(40)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "red ring"), (2, "red ring"), (3, "old old brass"), (4, "none such"), (5, None)], "q_id long, q_text string")
+    want = retrieval.top(retrieval.bm25(asked, docs).withColumn("score", F.round("score", 6)), 8).select("q_id", "doc_id", "score", "rank")
+    got = retrieval.bm25_top(asked, docs, 8)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 10
+
+
 def test_ablation_leaves_out_a_query_s_own_row_only(spark):
     """Query 1's best row but its own is query 2's, which no other query may take out of the corpus."""
     from pulselake.operators import experiments
