@@ -17,6 +17,9 @@ OBSERVED = {"CervicalMucusQuality": "cervical_mucus", "MenstrualFlow": "menstrua
 #: Logged total and the nutrient that it counts towards.
 LOGGED = {"kcal_total": "energy", "protein_total": "protein", "carbs_total": "carbohydrate", "fat_total": "fat"}
 
+#: Inputs that are kept while the graph is written.
+SHARED = ("biomarker_reference_ranges", "activities", "cycle_phases", "foods")
+
 
 def unpivot(df: DataFrame, ids: list[str], columns: dict[str, str], key: str, value: str) -> DataFrame:
     """(ids, key, value) with one row for each column that has a value."""
@@ -189,8 +192,14 @@ class Graph:
         return out
 
     def write(self, path: str) -> None:
-        for name, df in (self.vertices | self.edges).items():
-            df.write.mode("overwrite").parquet(f"{path}/{name}")
+        """One folder of Parquet for each vertex and edge table; inputs that several of them read and that are small beside their sources are computed once."""
+        held = [t.persist() for n in SHARED if (t := self._table(n)) is not None and not t.is_cached]
+        try:
+            for name, df in (self.vertices | self.edges).items():
+                df.write.mode("overwrite").parquet(f"{path}/{name}")
+        finally:
+            for t in held:
+                t.unpersist()
 
     def dangling(self) -> DataFrame:
         """(edge, side, n) of edge ends without a vertex; empty if the graph is whole."""

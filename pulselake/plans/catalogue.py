@@ -229,7 +229,7 @@ def q_range_window(spark, sf_dir):
     e = read(spark, sf_dir, "events")
     w = e.where("event_type = 'purchase'").select("event_id", "user_id", F.col("ts").alias("s"), F.expr("ts + interval 6 hours").alias("e"))
     points = e.where("event_type <> 'purchase'").select("user_id", "value", "ts")
-    return activities.window_sums(w, points, "event_id", "s", "e", "ts", [F.count("*").alias("n"), exact("value").alias("amount")], ("user_id",)).select("event_id", "n", "amount")
+    return activities.window_sums(w, points, "event_id", "s", "e", "ts", {"n": F.lit(1), "amount": F.col("value").cast("decimal(18,6)")}, ("user_id",)).select("event_id", "n", F.col("amount").cast("double").alias("amount"))
 
 
 @query(f"""select {DAY} as day, count(*) as n_activities, round(sum(round(value)::bigint)/60.0, 6) as active_minutes, sum(value::decimal(18,6))::double as distance_km, string_agg(distinct event_type, ', ' order by event_type) as activity_types from events group by 1""")

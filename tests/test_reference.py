@@ -3,6 +3,7 @@
 import datetime as dt
 import gzip
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -287,6 +288,35 @@ def test_activities(spark, tmp_path):
     assert activities.daily_events(activities.from_workouts(w, m)).first().n_activities == 2
 
 
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_window_sums_meet_no_pairs(spark, kind):
+    rng, base = random.Random(3), dt.datetime(1969, 12, 31, 22)
+    at = lambda: base + dt.timedelta(microseconds=rng.choice([rng.randrange(20), rng.randrange(10**7), rng.randrange(10**11), rng.randrange(10**13)]))
+    points = [(rng.choice([1, 2, None]), rng.choice([None, float(rng.randrange(9))]), rng.choice([None, at(), at(), at(), at()])) for _ in range(300)]
+    spans = []
+    for i in range(200):
+        a = rng.choice([at(), rng.choice(points)[2]])
+        b = rng.choice([a, at(), rng.choice(points)[2], None])
+        spans.append((i if i % 9 else 7 if i % 2 else None, rng.choice([1, 2, None]), a, b))
+    far = dt.datetime(2200, 1, 1)
+    spans += [(1000, 1, dt.datetime(1900, 1, 1), far), (1001, 2, base, base + dt.timedelta(days=200)), (1002, 1, far, base)]
+    s = spark.createDataFrame(spans, f"key int, user int, a {kind}, b {kind}")
+    p = spark.createDataFrame(points, f"user int, v double, ts {kind}")
+    sums = {"n": F.lit(1), "total": F.col("v")}
+    for same in ((), ("user",)):
+        hits = {}
+        for k, u, a, b in spans:
+            if k is not None and a is not None and b is not None:
+                hits.setdefault(k, []).extend(v for w, v, t in points if t is not None and a <= t <= b and (not same or (u is not None and u == w)))
+        want = sorted((k or -1, len(h) if (h := hits.get(k)) else None, sum(v for v in h if v is not None) if h and any(v is not None for v in h) else None) for k, *_ in spans)
+        df = activities.window_sums(s, p if same else p.drop("user"), "key", "a", "b", "ts", sums, same)
+        assert repr(sorted(((r.key or -1, r.n, r.total) for r in df.collect()), key=repr)) == repr(sorted(want, key=repr))
+        joins = [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+        assert joins and not any(">=" in line or "<=" in line for line in joins)  # each point once, however many spans it falls into
+    assert activities.window_sums(s.limit(0), p, "key", "a", "b", "ts", sums, ("user",)).count() == 0
+    assert activities.window_sums(s, p.limit(0), "key", "a", "b", "ts", sums, ("user",)).where("n is not null").count() == 0
+
+
 def test_retrieval_and_statistics(spark):
     s = spark.createDataFrame([(1, i, v) for i, v in enumerate([0.1, 0.9, 0.5])], "q_id int, doc_id int, score double")
     r = retrieval.top(s, None)
