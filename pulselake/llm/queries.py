@@ -73,11 +73,20 @@ def _by_document(docs: DataFrame, found: DataFrame) -> DataFrame:
     return out.select("doc_id", F.coalesce("n", F.lit(0)).alias("n_units"), F.coalesce("r", F.lit(0)).alias("n_repeated"), F.coalesce(F.size("p"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("p", F.array().cast("array<int>")).alias("removed"))
 
 
+def _with_passages(docs: DataFrame, units: DataFrame) -> DataFrame:
+    """``units`` with n_repeated and n_repeated_words: passages of over 50 words that other documents hold word for word, wherever in a paragraph they begin; n_alike: paragraphs with one alike."""
+    from .passages import shared_passages
+
+    most = shared_passages(docs).groupBy(F.col("doc_id").alias("of")).agg(F.max("n_passages").alias("p"), F.max("n_words").alias("w"))
+    out = units.withColumnRenamed("n_repeated", "n_alike").join(most, F.col("doc_id").eqNullSafe(F.col("of")), "left")
+    return out.select("doc_id", "n_units", "n_alike", F.coalesce("p", F.lit(0)).alias("n_repeated"), F.coalesce("w", F.lit(0)).alias("n_repeated_words"), "n_removed", "removed")
+
+
 def op7_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .paragraphs import repeated_paragraphs
 
     docs = _table(spark, sf_dir, "documents")
-    return _by_document(docs, repeated_paragraphs(docs))
+    return _with_passages(docs, _by_document(docs, repeated_paragraphs(docs)))
 
 
 def op8_benchmark_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:

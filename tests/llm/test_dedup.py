@@ -11,6 +11,7 @@ from pulselake.llm._store import components
 from pulselake.llm.lines import _radius, edit_distance, fuzzy_lines, gram_bitmaps, line_parts, most_grams, normal_form, similar, without_fuzzy_lines
 from pulselake.llm.near import Banding, drop_near_duplicates, estimated_jaccard, minhashes, near_duplicates, odd_sketches
 from pulselake.llm.paragraphs import repeated_paragraphs, tuned, without_repeats
+from pulselake.llm.passages import least_within, shared_passages
 from pulselake.llm.substrings import refined, remove_repeats
 from pulselake.llm._text import text_shingles
 
@@ -246,6 +247,51 @@ def test_paragraphs_equal_brute_force(spark):
     assert any(x[2] for x in got.values())
 
 
+def test_passages_equal_brute_force(spark):
+    """Passages at any place of a line and over its end, next to each other, in one text twice; runs one word too short; repeated rows and ids."""
+    rnd = random.Random(11)
+    passages = [letters(rnd, n).split() for n in (50, 51, 51, 52, 60, 130, 300)] + [["la"] * 70, ["a", "b"] * 40]
+    docs = []
+    for i in range(160):
+        words = letters(rnd, rnd.choice([0, 3, 40, 200])).split()
+        for _ in range(rnd.randrange(3)):
+            at = rnd.randint(0, len(words))
+            words[at:at] = rnd.choice(passages)
+        docs.append((i, "".join(w + rnd.choice("  \n \t") for w in words)))
+    docs += [(5, docs[9][1]), docs[7], (None, docs[12][1]), (None, docs[12][1]), (900, None), (901, ""), (902, docs[6][1].upper() if docs[6][1].isascii() else docs[6][1])]
+    folded = [(i, t, re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))) for i, t in docs]
+    holders = {}
+    for i, _, w in folded:
+        for at in range(len(w) - 50):
+            holders.setdefault(tuple(w[at : at + 51]), set()).add(i)
+    want = set()
+    for i, t, w in folded:
+        inside = set()
+        for at in range(len(w) - 50):
+            if len(holders[tuple(w[at : at + 51])]) > 1:
+                inside.update(range(at, at + 51))
+        if inside:
+            # runs that only touch are one
+            want.add((str(i), sum(x - 1 not in inside for x in inside), len(inside)))
+    got = shared_passages(spark.createDataFrame(docs, DOC).repartition(5)).collect()
+    assert {(str(r.doc_id), r.n_passages, r.n_words) for r in got} == want and len(want) > 60
+    assert len(got) == len({(r.doc_id, r.txt) for r in got})
+    assert shared_passages(spark.createDataFrame(docs[:1], DOC)).count() == 0 and shared_passages(spark.createDataFrame([], DOC)).count() == 0
+    v = np.array([rnd.randrange(1000) for _ in range(200)], np.uint64)
+    assert all(least_within(v, k).tolist() == [min(v[i : i + k]) for i in range(len(v) - k + 1)] for k in (1, 2, 3, 31, 44))
+
+
+def test_passage_inside_other_paragraphs(spark):
+    """Over 50 words in two paragraphs that are otherwise unlike count as repeated; a short line that many documents have is alike, but no such passage."""
+    from pulselake.llm import queries
+
+    rnd = random.Random(5)
+    same, short = letters(rnd, 55), letters(rnd, 8)
+    docs = spark.createDataFrame([(1, f"{letters(rnd, 90)} {same}\n{short}"), (2, f"{letters(rnd, 30)} {same} {letters(rnd, 60)}"), (3, f"{letters(rnd, 70)}\n{short}"), (4, None)], DOC)
+    got = {r.doc_id: (r.n_units, r.n_alike, r.n_repeated, r.n_repeated_words, r.n_removed) for r in queries._with_passages(docs, queries._by_document(docs, repeated_paragraphs(docs))).collect()}
+    assert got == {1: (2, 1, 1, 55, 0), 2: (1, 0, 1, 55, 0), 3: (2, 1, 0, 0, 1), 4: (0, 0, 0, 0, 0)}
+
+
 def test_paragraphs_odd_tables(spark):
     """Null and repeated ids, repeated rows, ties, a very long paragraph, clashing names."""
     long = " ".join(f"w{i}" for i in range(30_000))
