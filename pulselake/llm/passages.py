@@ -68,12 +68,12 @@ def _edges(*columns: np.ndarray) -> np.ndarray:
 
 
 def _common(t: pa.Table, words: int) -> pa.RecordBatch:
-    """(id, txt, start, end): runs of windows in ``t(g, id, txt, doc, first, back, windows)`` that rows of another ``doc`` have too."""
+    """(id, txt, start, end): runs of windows in ``t(g, id, txt, doc, first, back, windows)`` that rows of another ``doc`` have too; ``first``: all places of such windows in the text."""
     blobs = t.column("windows").to_pylist()
     n = np.array([len(b) // 8 for b in blobs], np.int64)
     row = np.repeat(np.arange(len(n)), n)
     nth = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    g, doc, first, back = (t.column(c).to_numpy() for c in ("g", "doc", "first", "back"))
+    g, doc, back = (t.column(c).to_numpy() for c in ("g", "doc", "back"))
     key = mix(np.frombuffer(b"".join(blobs), np.uint64) + g.view(np.uint64)[row] * np.uint64(0x9E3779B97F4A7C15) + (back[row] - nth).astype(np.uint64))
     order = np.argsort(key, kind="stable")
     edge = _edges(key[order])
@@ -81,7 +81,15 @@ def _common(t: pa.Table, words: int) -> pa.RecordBatch:
     several = np.minimum.reduceat(d, edge) != np.maximum.reduceat(d, edge)
     hit = np.zeros(len(row), bool)
     hit[order] = np.repeat(several, np.diff(np.append(edge, len(row))))
-    r, at = row[hit], (first[row] + nth)[hit]
+    places = t.column("first").combine_chunks()
+    off, flat = places.offsets.to_numpy(), places.values.to_numpy()
+    count = np.diff(off)
+    r, which = row[hit], nth[hit]
+    each = np.repeat(np.arange(len(r)), count[r])
+    nth_place = np.arange(len(each)) - np.repeat(np.cumsum(count[r]) - count[r], count[r])
+    r, at = r[each], flat[off[r[each]] + nth_place].astype(np.int64) + which[each]
+    order = np.lexsort((at, r))
+    r, at = r[order], at[order]
     begin = _edges(r, at - np.arange(len(at)))
     last = np.append(begin[1:], len(at))[: len(begin)] - 1
     who = pa.array(r[begin])
@@ -121,10 +129,13 @@ def shared_passages(docs: DataFrame, words: int = 51, id_col: str = "doc_id", te
                 spot = g[at] >> shift
                 ok = ((bits[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63))) & np.uint64(1)).astype(bool)
                 at, end = at[ok], end[ok]
-                who = pa.array(row[at])
-                blobs = pa.array([h[x:y].tobytes() for x, y in zip(at, end)], pa.binary())
+                begin, back, of, key = start[at].tolist(), (place - start)[at].tolist(), row[at].tolist(), g[at].view(np.int64).tolist()
+                same: dict[tuple, list[int]] = {}  # what a text repeats leaves it once
+                for i, (x, y) in enumerate(zip(at.tolist(), end.tolist())):
+                    same.setdefault((of[i], key[i], back[i], h[x:y].tobytes()), []).append(begin[i])
+                who = pa.array([k[0] for k in same], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(g[at].view(np.int64)), *(b.column(c).take(who) for c in ("id", "txt", "doc")), pa.array(start[at].astype(np.int32)), pa.array((place - start)[at].astype(np.int32)), blobs],
+                    [pa.array([k[1] for k in same], pa.int64()), *(b.column(c).take(who) for c in ("id", "txt", "doc")), pa.array(list(same.values()), pa.list_(pa.int32())), pa.array([k[2] for k in same], pa.int32()), pa.array([k[3] for k in same], pa.binary())],
                     ["g", "id", "txt", "doc", "first", "back", "windows"],
                 )
 
@@ -147,7 +158,7 @@ def shared_passages(docs: DataFrame, words: int = 51, id_col: str = "doc_id", te
             if held:
                 yield _common(pa.Table.from_batches(held), words)
 
-    spread = source.mapInArrow(windows, f"g long, id {kind}, txt long, doc long, first int, back int, windows binary")
+    spread = source.mapInArrow(windows, f"g long, id {kind}, txt long, doc long, first array<int>, back int, windows binary")
     runs = spread.repartition("g").sortWithinPartitions("g").mapInArrow(compare, f"id {kind}, txt long, start int, end int")
     each = runs.groupBy("id", "txt").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("runs"))
     zero = F.struct(F.lit(-1).alias("end"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("words"))

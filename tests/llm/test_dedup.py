@@ -281,6 +281,16 @@ def test_passages_equal_brute_force(spark):
     assert all(least_within(v, k).tolist() == [min(v[i : i + k]) for i in range(len(v) - k + 1)] for k in (1, 2, 3, 31, 44))
 
 
+def test_words_said_over_and_over_meet_once(spark, monkeypatch):
+    """A text that says one pair of words a thousand times sends its windows once, not once a place."""
+    seen = []
+    docs = spark.createDataFrame([(1, "la li " * 1000), (2, "la li " * 900 + "end")], DOC)
+    real = type(docs).repartition
+    monkeypatch.setattr(type(docs), "repartition", lambda df, *a: (seen.append(df.count()), real(df, *a))[1])
+    got = {r.doc_id: (r.n_passages, r.n_words) for r in shared_passages(docs).collect()}
+    assert got == {1: (1, 2000), 2: (1, 1800)} and seen and seen[0] < 50
+
+
 def test_passage_inside_other_paragraphs(spark):
     """Over 50 words in two paragraphs that are otherwise unlike count as repeated; a short line that many documents have is alike, but no such passage."""
     from pulselake.llm import queries
