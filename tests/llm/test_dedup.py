@@ -506,3 +506,53 @@ def test_fuzzy_lines_odd_tables(spark):
 def test_hash_of_text_is_sha256_of_kept_bytes(spark):
     r = remove_repeats(spark.createDataFrame([(1, "é b")], DOC)).selectExpr("sha2(kept, 256) as h").first()
     assert r.h == hashlib.sha256("é b".encode()).hexdigest()
+
+
+def test_band_of_diagonals_tells_what_is_beyond():
+    """Many pairs at once, bands of one to six words, all classes and pairs at the very limit: as the edit distance says."""
+    from pulselake.llm.lines import _classes, _code_points, beyond
+
+    rnd = random.Random(12)
+    for n in (3, 64, 200, 330, 700, 1700):
+        x, y = [], []
+        for _ in range(40):
+            a = [rnd.choice("abc é0") for _ in range(n)]
+            b = list(a)
+            for _ in range(rnd.randrange(max(2, n // 3))):
+                i = rnd.randrange(len(b) + 1)
+                b[i : i + rnd.randrange(3)] = rnd.choice(["", "a", "bc", "ééé"])
+            x.append("".join(min(a, b, key=len))), y.append("".join(max(a, b, key=len)))
+        (dx, ox), (dy, oy) = _code_points(x), _code_points(y)
+        c, d = _classes(np.concatenate([dx, dy])), np.array([edit_distance(a, b) for a, b in zip(x, y)])
+        for most in (np.diff(oy) * 20 // 100, d, np.maximum(0, d - 1)):
+            with np.errstate(over="ignore"):
+                assert (beyond(c, ox[:-1], np.diff(ox), oy[:-1] + len(dx), np.diff(oy), most) == (d > most)).all()
+
+
+def test_shared_blocks_equal_brute_force(spark):
+    """Keys that two marks have, once for each mark, however often and in however many rows a mark has them."""
+    from pulselake.llm.lines import shared_blocks
+
+    rnd = random.Random(5)
+    of = {m: sorted({rnd.randrange(900) for _ in range(6)}) for m in range(200)}
+    rows = [(m - 100, of[m]) for m in of for _ in range(1 + (m % 7 == 0) * 5)] + [(7_000, []), (7_001, [10**14, 10**14 + 1])]
+    got = [(r.mark, r.key) for r in shared_blocks(spark.createDataFrame(rows, "mark long, bands array<long>").repartition(5)).collect()]
+    want = {(m - 100, k) for m in of for k in of[m] if sum(k in v for v in of.values()) > 1}
+    assert len(got) == len(set(got)) and set(got) == want
+    assert shared_blocks(spark.createDataFrame([], "mark long, bands array<long>")).count() == 0
+
+
+def test_scan_hands_on_wanted_lines_only(spark):
+    """Of 4 000 lines the 40 wanted ones come, in normal form; not another one of the same id and position."""
+    from pyspark.sql import functions as F
+
+    from pulselake.llm.lines import line_signatures, wanted_lines
+
+    rnd = random.Random(6)
+    rows = [(i if i else None, "\n".join(letters(rnd, 6).upper() + "  12!" for _ in range(40))) for i in range(100)]
+    docs = spark.createDataFrame([*rows, (5, "\n".join(["quite another line"] * 40))], "doc_id long, text string")
+    sig = line_signatures(docs.where("text not like 'quite%'"), "doc_id", "text", 1)
+    wanted = sig.where("uid.id % 10 = 5 and uid.pos < 4 or uid.id is null and uid.pos = 39").select((F.coalesce("uid.id", F.lit(0)) * 100 + F.col("uid.pos")).alias("node"), "uid", "set_key").cache()
+    found = wanted_lines(docs, wanted, "doc_id", "text")
+    assert {r.node: r.text for r in found.collect()} == {(i or 0) * 100 + p: normal_form(t.split("\n")[p]) for i, t in rows for p in range(40) if (i and i % 10 == 5 and p < 4) or (i is None and p == 39)}
+    assert found.count() == 41
