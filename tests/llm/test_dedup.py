@@ -481,6 +481,62 @@ def test_windows_tell_apart_only_what_is_apart():
         assert (similar(x, y, 80) == true).all()
 
 
+def test_pieces_tell_apart_only_what_is_apart():
+    """Changed copies within and beyond the threshold, other alphabets and unlike lengths: none that is near is ruled out, unlike lines of one vocabulary nearly all are."""
+    from pulselake.llm.lines import _classes, _code_points, in_pieces_apart
+
+    rnd = random.Random(18)
+    x, y = [], []
+    for n in (1, 3, 8, 20, 60, 90, 250):
+        for kind in range(120):
+            a = letters(rnd, n) if kind % 5 else "".join(rnd.choice("\u0430\u0431\u0451\u4e2d ab") for _ in range(5 * n))
+            c = list(a)
+            for _ in range(rnd.randint(0, max(1, len(a) // 4))):
+                at = rnd.randrange(len(c) + 1)
+                c[at : at + rnd.randint(0, 1)] = rnd.choice(["", "x", "\u0451", "\U0001f600", " ", "ab"])
+                c = c or ["q"]
+            cut = rnd.randint(0, len(c) // 5)
+            x.append(a), y.append("".join(c[cut:] + (c[:cut] if kind % 3 == 0 else [])) or "q")
+    (dx, ox), (dy, oy) = _code_points(x), _code_points(y)
+    n, m = np.diff(ox), np.diff(oy)
+    most = np.maximum(n, m) * 20 // 100
+    true = np.array([edit_distance(a, b) for a, b in zip(x, y)]) <= most
+    c, oy = _classes(np.concatenate([dx, dy])), oy + len(dx)
+    with np.errstate(over="ignore"):
+        apart = in_pieces_apart(c, ox[:-1], n, oy[:-1], m, most)
+        assert not (apart & true).any() and true.sum() > 100
+        assert not (in_pieces_apart(c, oy[:-1], m, ox[:-1], n, most) & true).any()
+        words = [letters(rnd, 1) for _ in range(400)]
+        lines = [" ".join(rnd.choice(words) for _ in range(rnd.randint(55, 65))) for _ in range(60)]
+        d, off = _code_points(lines)
+        i, j = np.triu_indices(60, 1)
+        n = np.diff(off)
+        most = np.maximum(n[i], n[j]) * 20 // 100
+        close = np.abs(n[i] - n[j]) <= most
+        assert in_pieces_apart(_classes(d), off[i], n[i], off[j], n[j], most)[close].mean() > 0.9
+
+
+def test_few_unlike_lines_of_a_block_are_compared(monkeypatch):
+    """Of the pairs of a crowded bucket only those that pieces leave open reach the comparison; the links are those of the edit distance."""
+    import pyarrow as pa
+
+    from pulselake.llm import lines as module
+
+    rnd = random.Random(19)
+    words = [letters(rnd, 1) for _ in range(70)]
+    texts = [" ".join(rnd.sample(words, 64)) for _ in range(80)]
+    texts += [f"{t} again" for t in texts[:7]]
+    n = len(texts)
+    ints = lambda v: pa.array(v, pa.int64())
+    bucket = pa.table({"key": ints([5] * n), "node": ints(range(n)), "root": ints(range(n)), "n": ints([len(t) for t in texts]), "s0": ints([0] * n), "bands": pa.array([[5]] * n, pa.list_(pa.int64())), "text": texts, "i": ints([0] * n), "j": ints([0] * n), "own": ints([0] * n)})
+    compared, within = [], module.within
+    monkeypatch.setattr(module, "within", lambda d, c, x0, *rest: compared.append(len(x0)) or within(d, c, x0, *rest))
+    with np.errstate(over="ignore"):
+        got = {(a, b) for r in module.true_links(iter([bucket]), 80) for a, b in zip(r.column("a").to_pylist(), r.column("b").to_pylist())}
+    assert got == {(i, 80 + i) for i in range(7)}
+    assert sum(compared) < 500, sum(compared)  # of 3 741 pairs
+
+
 def test_open_links_grow_with_members_not_with_pairs(spark):
     """One bucket of 60 nodes that are all alike and of different roots: 59 links join them, not 1 770."""
     from pyspark.sql import functions as F
